@@ -20,6 +20,9 @@ APP_NOW = datetime(2024, 1, 31)
 ORDER_NOW = datetime(2001, 8, 2)
 SHIP_NOW = datetime(2001, 11, 5)
 
+# Columns the test tables always fill.
+FILLED = ("value", "timestamp")
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 ORDERS = "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
 LINEITEM = "l_orderkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
@@ -57,7 +60,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def app_columns(df: DataFrame) -> DataFrame:
     fields = {"event_id": "event_id", "name": F.lit("app_event"), "value": "value"}
     fields |= {"tag": "event_type", "additional_info": "props", "timestamp": "ts"}
-    return normalize_events(df, fields, APP_NOW)
+    return normalize_events(df, fields, APP_NOW, complete=FILLED)
 
 
 def user_columns(df: DataFrame) -> DataFrame:
@@ -69,7 +72,7 @@ def user_columns(df: DataFrame) -> DataFrame:
         "additional_info": F.col("user_id").cast("string"),
         "timestamp": "ts",
     }
-    return normalize_events(df, fields, APP_NOW)
+    return normalize_events(df, fields, APP_NOW, complete=FILLED)
 
 
 def app(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,13 +86,13 @@ def user(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = {"event_id": "o_orderkey", "name": F.lit("order"), "value": "o_totalprice"}
     fields |= {"tag": "o_orderstatus", "additional_info": "o_orderpriority", "timestamp": "o_orderdate"}
-    return normalize_events(spark.read.schema(ORDERS).parquet(f"{sf_dir}/orders.parquet"), fields, ORDER_NOW)
+    return normalize_events(spark.read.schema(ORDERS).parquet(f"{sf_dir}/orders.parquet"), fields, ORDER_NOW, complete=FILLED)
 
 
 def ship(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = {"event_id": "l_orderkey", "name": F.lit("shipment"), "value": "l_quantity"}
     fields |= {"tag": "l_returnflag", "additional_info": "l_linestatus", "timestamp": "l_shipdate"}
-    return normalize_events(spark.read.schema(LINEITEM).parquet(f"{sf_dir}/lineitem.parquet"), fields, SHIP_NOW)
+    return normalize_events(spark.read.schema(LINEITEM).parquet(f"{sf_dir}/lineitem.parquet"), fields, SHIP_NOW, complete=FILLED)
 
 
 def everything(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from catalog.base import APP_NOW, LINEITEM, query, raw_events
+from tickloom.functions.timestamps import parse_event_time
 from tickloom.operators import metrics
 from tickloom.sources import logs, push
 
@@ -221,6 +222,21 @@ def push_quarantine_rows(spark, sf):
     return rejected.select("request_id", "pos", "error")
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL WHEN event_id % 4 = 2 THEN ts ELSE date_trunc('second', ts) END AS "at"
+    FROM events""")
+def parse_event_times(spark, sf):
+    """Event time texts: plain, inside other text, ISO with fraction, and none at all."""
+    plain = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    kind = F.col("event_id") % 4
+    text = (
+        F.when(kind == 0, plain)
+        .when(kind == 1, F.concat(F.lit("at "), plain, F.lit(".25 UTC")))
+        .when(kind == 2, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+        .otherwise(F.lit("noon"))
+    )
+    return raw_events(spark, sf).select("event_id", parse_event_time(text).alias("at"))
+
+
 # Metric samples.
 def counter_samples(df):
     """A growing counter per user that falls back to 0 now and then."""

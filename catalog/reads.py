@@ -156,8 +156,8 @@ def store_scan(spark, sf):
 def store_appends(spark, sf):
     path = fresh_dir(spark, "store")
     event_store.append_events(user(spark, sf), path)
-    event_store.append_events(order(spark, sf), path)
-    event_store.append_events(order(spark, sf), path)
+    event_store.append_events(order(spark, sf), path, period="month")
+    event_store.append_events(order(spark, sf), path, period="month")
     stored = event_store.read_events(spark, path).groupBy("name")
     return stored.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 

@@ -22,6 +22,7 @@ from catalog.base import (
 from tickloom.functions.conditions import evaluate
 from tickloom.operators import charts, tables
 from tickloom.operators.series import series_frame
+from tickloom.operators.timeseries import interval_aggregate
 from tickloom.plans.specs import SeriesSpec
 from tickloom.plans.view import run_view
 
@@ -203,6 +204,14 @@ def scatter_widget(spark, sf):
     return run_view(events, view, APP_NOW).widgets["Points"]
 
 
+@query(f"""SELECT x.b AS "timestamp", x.v AS x, y.v AS y FROM
+    (SELECT date_trunc('hour', "timestamp") AS b, max(value) AS v FROM {APP} WHERE tag = 'click' GROUP BY 1) x JOIN
+    (SELECT date_trunc('hour', "timestamp") AS b, max(value) AS v FROM {APP} WHERE tag = 'view' GROUP BY 1) y ON x.b = y.b""")
+def scatter_pairs(spark, sf):
+    series = [SeriesSpec.parse({"id": "app", "tags": [t]}) for t in ("click", "view")]
+    return charts.scatter_pairs(interval_aggregate(series_frame({"app": app(spark, sf)}, series), "hour", "max"))
+
+
 # A log-like table over orders.
 COLUMNS = [
     {"title": "idx", "event_field": "index"},

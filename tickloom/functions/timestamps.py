@@ -41,15 +41,23 @@ def parse_event_time(text: Column) -> Column:
     )
 
 
+# Fixed value: the forms of ISO-8601 text taken as they are.
+ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?)?$"
+
+
 def parse_iso(text: Column) -> Column:
     """ISO-8601 date or date-time, basic or extended, `Z` or offset; else NULL."""
     basic = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(?=$|\D)", "$1-$2-$3")
-    clock = F.regexp_replace(basic, r"^(\S{10}.\d{2})(\d{2})(\d{2})?(?=$|[.,Z+-])", "$1:$2:$3")
-    clock = F.regexp_replace(clock, r":(?=$|[.,Z+-])", "")
-    full = F.regexp_replace(clock, r"^(\S{10}.\d{2})(?=$|[Z+-])", "$1:00")
+    clock = F.regexp_replace(basic, r"^(\S{10}[T ]\d{2})(\d{2})(\d{2})(?=$|[.,Z+-])", "$1:$2:$3")
+    clock = F.regexp_replace(clock, r"^(\S{10}[T ]\d{2})(\d{2})(?=$|[Z+-])", "$1:$2")
+    full = F.regexp_replace(clock, r"^(\S{10}[T ]\d{2})(?=$|[Z+-])", "$1:00")
+    full = F.regexp_replace(full, r"^(\S{10}[T ]\d{2}:\d{2})(?=$|[Z+-])", "$1:00")
     full = F.regexp_replace(full, r"(\d),(\d)", "$1.$2")
-    shape = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
-    return F.when(full.rlike(shape), full.try_cast("timestamp"))
+    full = F.regexp_replace(full, r"(:\d{2}(?:\.\d+)?[+-]\d{2})(\d{2})$", "$1:$2")
+    full = F.regexp_replace(full, r"(:\d{2}(?:\.\d+)?[+-]\d{2})$", "$1:00")
+    return F.when(text.rlike(ISO_SHAPE), text.try_cast("timestamp")).when(
+        full.rlike(ISO_SHAPE), full.try_cast("timestamp")
+    )
 
 
 def spark_pattern(fmt: str) -> str:
@@ -71,18 +79,19 @@ def spark_pattern(fmt: str) -> str:
     def is_number(k: int) -> bool:
         return 0 <= k < len(tokens) and tokens[k][0] == "field" and tokens[k][1] not in _TEXT_DIRECTIVES
 
-    out = []
-    for k, (kind, what) in enumerate(tokens):
+    out, literal = [], ""
+    for k, (kind, what) in enumerate([*tokens, ("end", "")]):
+        if kind == "text":
+            literal += what
+            continue
+        if literal:
+            plain = not any(c.isalpha() or c in "[]{}#'" for c in literal)
+            out.append(literal if plain else "'" + literal.replace("'", "''") + "'")
+            literal = ""
         if kind == "field":
             if what not in _DIRECTIVES:
                 raise ValueError(f"unsupported directive %{what} in {fmt!r}")
             out.append(_DIRECTIVES[what][1 if is_number(k - 1) or is_number(k + 1) else 0])
-        elif what.isalpha():
-            out.append(f"'{what}'")
-        elif what in "[]{}#'":
-            out.append("''" if what == "'" else f"'{what}'")
-        else:
-            out.append(what)
     return "".join(out)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -64,12 +64,15 @@ def normalize_events(
     mapping: Mapping[str, Column | str],
     as_of: Instant,
     value_mode: str = "double",
+    complete: Collection[str] = (),
 ) -> DataFrame:
     """Project any table into the event frame and fill the defaults.
 
     `mapping` gives a column or column name per event field. A missing value
     becomes 0 and a missing timestamp `as_of`; tag and info stay NULL.
-    `value_mode="int"` truncates values toward zero.
+    `value_mode="int"` truncates values toward zero. Fields named in `complete`
+    are never missing in this table: they are taken as they are, which lets
+    filters on them reach the scan.
     """
     unknown = set(mapping) - set(EVENT_COLUMNS)
     if unknown:
@@ -82,7 +85,7 @@ def normalize_events(
         if given is None:
             return default if default is not None else F.lit(None)
         column = F.col(given) if isinstance(given, str) else given
-        return column if default is None else F.coalesce(column, default)
+        return column if default is None or field in complete else F.coalesce(column, default)
 
     value = source("value", F.lit(0)).cast("double")
     if value_mode == "int":

@@ -99,3 +99,10 @@ def scatter(df: DataFrame) -> DataFrame:
         F.coalesce(leading_number(F.col("additional_info")), F.unix_millis("timestamp").cast("double")).alias("x"),
         F.when(F.isnan("value"), F.lit(0.0)).otherwise(F.coalesce("value", F.lit(0.0))).alias("y"),
     )
+
+
+def scatter_pairs(values: DataFrame) -> DataFrame:
+    """Interval values of series 0 and 1 as x and y of the buckets both have."""
+    of = {i: F.max(F.when(F.col("series_idx") == i, F.col("value"))) for i in (0, 1)}
+    pairs = values.groupBy("timestamp").agg(of[0].alias("x"), of[1].alias("y"))
+    return pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull())

@@ -3,7 +3,7 @@
 A window over a key puts all of the key's rows into one task, which fails once
 a single key holds a large share of the table. Here rows are first cut into
 time slices holding about equally many rows each; windows run inside
-(key, slice), and a small per-slice table carries values across slice borders.
+(key, slice), and one small row per slice carries values across the borders.
 """
 
 from __future__ import annotations
@@ -15,10 +15,22 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tickloom.model import order_key
 
 SLICES = 256
+_STRIDE = 16
 
 
-def _position(cuts: Column, x: Column) -> Column:
-    return F.size(F.filter(cuts, lambda cut: cut <= x))
+def _cuts(x: Column, slices: int) -> Column:
+    """Quantiles that cut `x` into slices, and every 16th of them to search first."""
+    shares = [i / slices for i in range(1, slices)]
+    cuts = F.percentile_approx(x, shares, 20 * slices)
+    coarse = F.filter(cuts, lambda cut, i: F.pmod(i + 1, F.lit(_STRIDE)) == 0)
+    return F.struct(cuts.alias("all"), coarse.alias("coarse"))
+
+
+def _position(cuts: str, x: Column) -> Column:
+    """How many cuts are at most x, looked up in two short steps."""
+    skipped = F.size(F.filter(F.col(f"{cuts}.coarse"), lambda cut: cut <= x)) * _STRIDE
+    near = F.slice(F.col(f"{cuts}.all"), skipped + 1, F.lit(_STRIDE))
+    return skipped + F.size(F.filter(near, lambda cut: cut <= x))
 
 
 def slice_rows(df: DataFrame, ts: str = "timestamp", tie: str = "event_id", slices: int = SLICES) -> DataFrame:
@@ -28,19 +40,16 @@ def slice_rows(df: DataFrame, ts: str = "timestamp", tie: str = "event_id", slic
     subquery). A moment shared by more than one slice's worth of rows shows up
     as a repeated cut; its rows are cut again by `tie`.
     """
-    shares = [i / slices for i in range(1, slices)]
-    accuracy = 20 * slices
+    us = F.unix_micros(ts)
     cuts = df.agg(
-        F.struct(
-            F.percentile_approx(F.unix_micros(ts), shares, accuracy).alias("ts"),
-            F.percentile_approx(F.col(tie).cast("long"), shares, accuracy).alias("tie"),
-        )
+        F.struct(_cuts(us, slices).alias("ts"), _cuts(F.col(tie).cast("long"), slices).alias("tie"))
     ).scalar()
-    us = F.unix_micros(ts)
-    crowded = F.size(F.filter(F.col("_cuts.ts"), lambda cut: cut == us)) > 1
-    within = F.when(crowded, _position(F.col("_cuts.tie"), F.col(tie))).otherwise(F.lit(slices))
-    place = _position(F.col("_cuts.ts"), us) * (slices + 1) + within
-    return df.withColumn("_cuts", cuts).withColumn("_slice", F.coalesce(place, F.lit(0))).drop("_cuts")
+    placed = df.withColumn("_cuts", cuts).withColumn("_at", _position("_cuts.ts", us))
+    crowded = (F.col("_at") > 1) & (F.element_at("_cuts.ts.all", F.greatest(F.col("_at") - 1, F.lit(1))) == us)
+    within = F.when(crowded, _position("_cuts.tie", F.col(tie))).otherwise(F.lit(slices))
+    # Rows without a time come first, as they do when sorting.
+    place = F.coalesce(F.col("_at") * (slices + 1) + within, F.lit(-1))
+    return placed.withColumn("_slice", place).drop("_cuts", "_at")
 
 
 def with_previous(
@@ -57,41 +66,23 @@ def with_previous(
     `bounded=True` says the rows per key are few for another reason (bucketed
     or capped by a limit); then one window per key is the cheaper plan.
     """
-    order = [ts] if tie is None else [ts, tie]
     if bounded or tie is None:
-        by_key = Window.partitionBy(*keys).orderBy(*order)
+        by_key = Window.partitionBy(*keys).orderBy(ts) if tie is None else Window.partitionBy(*keys).orderBy(ts, tie)
         return df.select("*", *[F.lag(c).over(by_key).alias(f"prev_{c}") for c in columns])
 
-    # NULL keys form a key of their own, so join on never-NULL stand-ins.
-    stand_ins: list[str] = []
     sliced = slice_rows(df, ts, tie, slices)
-    for i, key in enumerate(keys):
-        sliced = sliced.withColumn(f"_k{i}", F.coalesce(F.col(key).cast("string"), F.lit("")))
-        sliced = sliced.withColumn(f"_n{i}", F.col(key).isNull())
-        stand_ins += [f"_k{i}", f"_n{i}"]
-
-    inside = Window.partitionBy(*stand_ins, "_slice").orderBy(*order)
-    local = sliced.select(
-        "*",
-        F.row_number().over(inside).alias("_nth"),
-        *[F.lag(c).over(inside).alias(f"_lag_{c}") for c in columns],
-    )
     latest = order_key(ts, tie)
-    borders = sliced.groupBy(*stand_ins, "_slice").agg(
-        *[F.max_by(c, latest).alias(f"_last_{c}") for c in columns]
-    )
-    across = Window.partitionBy(*stand_ins).orderBy("_slice")
-    carried = borders.select(
-        *stand_ins,
-        "_slice",
-        *[F.lag(f"_last_{c}").over(across).alias(f"_carry_{c}") for c in columns],
-    )
-    joined = local.join(carried, [*stand_ins, "_slice"], "left")
-    previous = [
-        F.when(F.col("_nth") == 1, F.col(f"_carry_{c}")).otherwise(F.col(f"_lag_{c}")).alias(f"prev_{c}")
-        for c in columns
-    ]
-    return joined.select(*df.columns, *previous)
+    ends = sliced.groupBy(*keys, "_slice").agg(*[F.max_by(c, latest).alias(c) for c in columns])
+    # One row per key and slice: few per key, however many rows the key has.
+    across = Window.partitionBy(*keys).orderBy("_slice")
+    heads = ends.select(*keys, "_slice", *[F.lag(c).over(across).alias(f"_in_{c}") for c in columns])
+    rows = sliced.select(
+        "*", *[F.col(c).alias(f"_in_{c}") for c in columns], F.lit(1).alias("_is_row")
+    ).unionByName(heads.withColumn("_is_row", F.lit(0)), allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, "_slice").orderBy("_is_row", ts, tie)
+    previous = [F.lag(f"_in_{c}").over(inside).alias(f"prev_{c}") for c in columns]
+    names = [f"prev_{c}" for c in columns]
+    return rows.select("*", *previous).where(F.col("_is_row") == 1).select(*df.columns, *names)
 
 
 def number_rows(
@@ -105,15 +96,18 @@ def number_rows(
     """Add the 1-based position of every row in (first, ts, tie) order.
 
     Rows are numbered inside their slice and shifted by the size of all earlier
-    slices. `first` names an outer ordering column with few distinct values.
+    slices. `first` names an outer ordering column with few distinct values,
+    such as a source position.
     """
     outer = [first] if first else []
     sliced = slice_rows(df, ts, tie, slices)
     place = [*outer, "_slice"]
     sizes = sliced.groupBy(*place).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
-    # At most (slices + 1)^2 rows per outer value, however large the frame is.
+    # At most (slices + 1)^2 rows per outer value, however large the frame is:
+    # small enough for the one-task window and for a broadcast.
     shifts = sizes.select(*place, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
     inside = Window.partitionBy(*place).orderBy(ts, tie)
-    numbered = sliced.join(shifts, place).withColumn(name, F.row_number().over(inside) + F.col("_shift"))
-    return numbered.select(*df.columns, F.col(name).cast("long").alias(name))
+    ranked = sliced.withColumn("_nth", F.row_number().over(inside))
+    numbered = ranked.join(F.broadcast(shifts), place)
+    return numbered.select(*df.columns, (F.col("_nth") + F.col("_shift")).cast("long").alias(name))

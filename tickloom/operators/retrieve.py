@@ -59,10 +59,14 @@ def chronological(df: DataFrame) -> DataFrame:
     return df.orderBy("timestamp", "event_id")
 
 
+def newest(df: DataFrame, n: int) -> DataFrame:
+    """The n newest rows. Every task keeps its own top n, so nothing large is sorted."""
+    return df.orderBy(F.col("timestamp").desc(), F.col("event_id").desc()).limit(n)
+
+
 def latest(df: DataFrame, n: int) -> DataFrame:
     """The n newest rows, oldest of them first."""
-    newest = df.orderBy(F.col("timestamp").desc(), F.col("event_id").desc()).limit(n)
-    return chronological(newest)
+    return chronological(newest(df, n))
 
 
 def get_events(
@@ -94,13 +98,13 @@ def latest_by_tag(df: DataFrame, name: str, tags: Tags = None, ties: str = "all"
         raise ValueError(f"unknown ties {ties!r}")
     rows = with_tags(named(df, name), tags).where(F.col("tag").isNotNull())
     if ties == "all":
-        place, rows = "timestamp", rows
+        place = "timestamp"
     else:
         place, rows = "_order", rows.withColumn("_order", order_key())
-    newest = rows.groupBy("tag").agg(F.max(place).alias(place))
+    ends = rows.groupBy("tag").agg(F.max(place).alias(place))
     if 0 < len(tag_list(tags)) <= BROADCAST_TAGS:
-        newest = F.broadcast(newest)
-    return rows.join(newest, ["tag", place]).select(df.columns)
+        ends = F.broadcast(ends)
+    return rows.join(ends, ["tag", place]).select(df.columns)
 
 
 def event_names(df: DataFrame) -> DataFrame:

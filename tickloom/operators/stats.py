@@ -8,7 +8,7 @@ from tickloom.functions.numbers import steady_round
 
 RUN_LOG_SCHEMA = (
     "module string, unique_id string, started timestamp, duration_ms double, "
-    "n_events long, cleanups long, deleted long, error string"
+    "n_events long, rejected long, cleanups long, deleted long, error string"
 )
 
 

@@ -75,7 +75,7 @@ class SourceSpec:
         rows = retrieve.with_tags(retrieve.named(events, name), self.tags)
         rows = retrieve.newer_than(rows, as_of, self.max_age_days)
         # Widgets order their own output, so only the limit needs an order here.
-        return retrieve.latest(rows, self.max_results) if self.capped else rows
+        return retrieve.newest(rows, self.max_results) if self.capped else rows
 
 
 @dataclass(frozen=True)

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from datetime import datetime
 from typing import Any
 
+from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -51,6 +52,14 @@ def read_cursor(spark: SparkSession, path: str, key: str) -> datetime | None:
     )
 
 
+def _observed(watch: Observation) -> dict[str, Any]:
+    """Metrics of a finished write; Spark keeps none for a frame it plans away as empty."""
+    try:
+        return watch.get
+    except Py4JError:
+        return {}
+
+
 def run_collectors(
     spark: SparkSession,
     collectors: Sequence[Collector],
@@ -69,14 +78,17 @@ def run_collectors(
     for c in collectors:
         began, error, seen = time.monotonic(), None, {}
         try:
-            named, _ = gate_named(c.collect(spark, c.config, read_cursor(spark, cursors, c.key)))
-            watch = Observation()
-            append_events(
-                named.observe(watch, F.count(F.lit(1)).alias("n"), F.max(F.unix_micros("timestamp")).alias("newest")),
-                store,
+            collected = c.collect(spark, c.config, read_cursor(spark, cursors, c.key))
+            watch, nameless = Observation(), F.col("name").isNull()
+            collected = collected.observe(
+                watch,
+                F.count_if(~nameless).alias("n"),
+                F.count_if(nameless).alias("rejected"),
+                F.max(F.unix_micros("timestamp")).alias("newest"),
             )
-            seen = watch.get
-            if seen["newest"] is not None:
+            append_events(gate_named(collected)[0], store)
+            seen = _observed(watch)
+            if seen.get("newest") is not None:
                 moved = spark.range(1, numPartitions=1).select(
                     F.lit(c.key).alias("key"), F.timestamp_micros(F.lit(seen["newest"])).alias("last_timestamp")
                 )
@@ -84,9 +96,9 @@ def run_collectors(
         except Exception as failure:  # one bad collector must not stop the rest
             error = f"{type(failure).__name__}: {failure}"
         took = (time.monotonic() - began) * 1000
-        rows.append((c.module, c.unique_id, took, int(seen.get("n") or 0), error))
+        rows.append((c.module, c.unique_id, took, seen.get("n") or 0, seen.get("rejected") or 0, error))
     log = spark.createDataFrame(
-        rows, "module string, unique_id string, duration_ms double, n_events long, error string"
+        rows, "module string, unique_id string, duration_ms double, n_events long, rejected long, error string"
     ).withColumns({"started": instant(as_of), "cleanups": F.lit(0).cast("long"), "deleted": F.lit(0).cast("long")})
     columns = [part.split()[0] for part in RUN_LOG_SCHEMA.split(", ")]
     log.select(*columns).write.mode("append").parquet(run_log)

@@ -1,4 +1,4 @@
-"""The event table on disk: Parquet partitioned by event name and day."""
+"""The event table on disk: Parquet partitioned by event name and period (day or month)."""
 
 from __future__ import annotations
 
@@ -7,25 +7,25 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
-from tickloom.model import EVENT_COLUMNS, EVENT_SCHEMA, normalize_events
+from tickloom.model import EVENT_COLUMNS, EVENT_SCHEMA, Instant, instant, normalize_events
 from tickloom.operators.retention import RetentionRule, check_rules, first_matching_rule
 
 RECORD_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
-STORE_SCHEMA = StructType([*EVENT_SCHEMA.fields, StructField("day", DateType())])
+STORE_SCHEMA = StructType([*EVENT_SCHEMA.fields, StructField("period", DateType())])
 
 
-def _by_partition(df: DataFrame) -> DataFrame:
-    """Rows arranged for a partitioned write.
+def append_events(df: DataFrame, path: str, period: str = "day") -> None:
+    """Add events to the table. Nothing is replaced: equal events are kept twice.
 
-    The rebalance hint gathers each (name, day) into few files and splits one
-    that is much larger than the rest over several tasks.
+    `period="month"` suits names with few events a day. The rebalance hint
+    gathers each (name, period) into few files and splits one that is much
+    larger than the rest over several tasks.
     """
-    return df.withColumn("day", F.to_date("timestamp")).hint("rebalance", "name", "day")
-
-
-def append_events(df: DataFrame, path: str) -> None:
-    """Add events to the table. Nothing is replaced: equal events are kept twice."""
-    _by_partition(df.select(*EVENT_COLUMNS)).write.mode("append").partitionBy("name", "day").parquet(path)
+    if period not in ("day", "month"):
+        raise ValueError(f"unknown period {period!r}")
+    start = F.date_trunc(period, "timestamp").cast("date")
+    rows = df.select(*EVENT_COLUMNS, start.alias("period")).hint("rebalance", "name", "period")
+    rows.write.mode("append").partitionBy("name", "period").parquet(path)
 
 
 def append_event(
@@ -49,14 +49,21 @@ def append_event(
     append_events(normalize_events(row, fields, timestamp or as_of), path)
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """The event frame of a table; filters on `name` prune its folders."""
-    stored = spark.read.schema(STORE_SCHEMA).parquet(path)
+def read_events(spark: SparkSession, path: str, since: Instant | None = None) -> DataFrame:
+    """The event frame of a table; filters on `name` prune its folders.
+
+    `since` leaves out older events, and with them the folders of periods that
+    ended before the month of that moment.
+    """
+    stored = read_partitions(spark, path)
+    if since is not None:
+        stored = stored.where(F.col("timestamp") >= instant(since))
+        stored = stored.where(F.col("period") >= F.date_trunc("month", instant(since)).cast("date"))
     return stored.select(*EVENT_COLUMNS)
 
 
 def read_partitions(spark: SparkSession, path: str) -> DataFrame:
-    """Events with the day of the folder they lie in."""
+    """Events with the first day of the folder they lie in."""
     return spark.read.schema(STORE_SCHEMA).parquet(path)
 
 
@@ -70,7 +77,12 @@ def read_records(spark: SparkSession, path: str, schema: StructType | str) -> Da
 
 
 def copy_retained(
-    spark: SparkSession, path: str, target: str, rules: list[RetentionRule], as_of: datetime
+    spark: SparkSession,
+    path: str,
+    target: str,
+    rules: list[RetentionRule],
+    as_of: datetime,
+    period: str = "day",
 ) -> None:
     """Write the events that survive the rules to a new table.
 
@@ -79,13 +91,13 @@ def copy_retained(
     """
     check_rules(rules)
     kept = read_events(spark, path).where(first_matching_rule(rules, as_of).isNull())
-    append_events(kept, target)
+    append_events(kept, target, period)
 
 
 def apply_retention(spark: SparkSession, path: str, rules: list[RetentionRule], as_of: datetime) -> None:
     """Remove expired events in place, rewriting only folders that hold some.
 
-    A rule reaches the folders of its event name up to the day of its cutoff.
+    A rule reaches the folders of its event name that begin before its cutoff.
     Those folders are rewritten by dynamic partition overwrite: their new files
     are staged and moved in on commit. A folder left without rows is not part
     of the written result, so it is removed afterwards.
@@ -94,10 +106,10 @@ def apply_retention(spark: SparkSession, path: str, rules: list[RetentionRule],
     rule = first_matching_rule(rules, as_of)
     reach = F.lit(False)
     for r in rules:
-        reach = reach | ((F.col("name") == r.event_name) & (F.col("day") <= F.to_date(r.cutoff(as_of))))
+        reach = reach | ((F.col("name") == r.event_name) & (F.col("period") <= F.to_date(r.cutoff(as_of))))
     touched = read_partitions(spark, path).where(reach).withColumn("_expired", rule.isNotNull())
     # One row per folder, never per event.
-    folders = touched.groupBy("name", "day").agg(
+    folders = touched.groupBy("name", "period").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("_expired").alias("expired")
     )
     hit = folders.where(F.col("expired") > 0).collect()
@@ -106,22 +118,22 @@ def apply_retention(spark: SparkSession, path: str, rules: list[RetentionRule],
     partial = [f for f in hit if f["expired"] < f["rows"]]
     emptied = [f for f in hit if f["expired"] == f["rows"]]
     if partial:
-        wanted = spark.createDataFrame([(f["name"], f["day"]) for f in partial], "name string, day date")
-        kept = touched.where(~F.col("_expired")).drop("_expired").join(wanted, ["name", "day"], "left_semi")
-        kept = kept.select(*EVENT_COLUMNS, "day").hint("rebalance", "name", "day")
+        wanted = spark.createDataFrame([(f["name"], f["period"]) for f in partial], "name string, period date")
+        kept = touched.where(~F.col("_expired")).drop("_expired").join(wanted, ["name", "period"], "left_semi")
+        kept = kept.select(*EVENT_COLUMNS, "period").hint("rebalance", "name", "period")
         (
             kept.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("name", "day")
+            .partitionBy("name", "period")
             .parquet(path)
         )
     if emptied:
-        _remove_folders(spark, path, [(f["name"], f["day"]) for f in emptied])
+        _remove_folders(spark, path, [(f["name"], f["period"]) for f in emptied])
 
 
 def _remove_folders(spark: SparkSession, path: str, folders: list[tuple[str, object]]) -> None:
     jvm = spark.sparkContext._jvm
     escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    for name, day in folders:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/name={escape(name)}/day={day}")
+    for name, period in folders:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/name={escape(name)}/period={period}")
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -6,12 +6,13 @@ value of one row, so a request is judged where it was read, without a shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.functions.timestamps import parse_iso
 from tickloom.model import EVENT_COLUMNS, EVENT_SCHEMA, Instant, instant
 
-QUARANTINE_COLUMNS = ["request_id", "pos", "error", "raw"]
+
+FIELDS = ("name", "value", "tag", "additional_info", "timestamp")
 
 # The messages of the request checks.
 NOT_AN_OBJECT = "Request body must be a JSON object"
@@ -31,53 +32,67 @@ def _json_type(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit(""))
 
 
-def _get(v: Column, key: str, kind: str) -> Column:
-    return F.try_variant_get(v, f"$.{key}", kind)
+def _get(v: Column, key: str) -> Column:
+    return F.try_variant_get(v, f"$.{key}", "variant")
 
 
 def _is_number(kind: Column) -> Column:
     return kind.isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN") | kind.startswith("DECIMAL")
 
 
-def _blank(v: Column) -> Column:
+def _blank(v: Column, kind: Column) -> Column:
     """Whether a JSON value counts as not given: null, "", 0, false, [] or {}."""
-    kind = _json_type(v)
     return (
-        v.isNull()
-        | kind.isin("", "VOID", "ARRAY<VOID>", "OBJECT<>")
-        | ((kind == "STRING") & (v.try_cast("string") == ""))
-        | ((kind == "BOOLEAN") & ~F.coalesce(v.try_cast("boolean"), F.lit(False)))
-        | (_is_number(kind) & (kind != "BOOLEAN") & (F.coalesce(v.try_cast("double"), F.lit(1.0)) == 0))
+        F.when(kind.isin("", "VOID", "ARRAY<VOID>", "OBJECT<>"), F.lit(True))
+        .when(kind == "STRING", v.try_cast("string") == "")
+        .when(kind == "BOOLEAN", ~v.try_cast("boolean"))
+        .when(_is_number(kind), F.coalesce(v.try_cast("double") == 0, F.lit(False)))
+        .otherwise(F.lit(False))
     )
 
 
-def _optional_text(event: Column, key: str) -> Column:
-    """Whether a field is a string, null or absent."""
-    return _json_type(_get(event, key, "variant")).isin("", "VOID", "STRING")
+def _fields(event: Column) -> Column:
+    """The fields of one event, each taken out of its JSON once."""
+    return F.struct(
+        event.try_cast("map<string,variant>").isNotNull().alias("object"),
+        *[_get(event, key).alias(key) for key in FIELDS],
+    )
 
 
-def event_error(event: Column) -> Column:
-    """Key of the first failed check of one event, NULL if it is fine."""
-    value = _get(event, "value", "variant")
-    stamp = _get(event, "timestamp", "variant")
-    named = (_json_type(_get(event, "name", "variant")) == "STRING") & (
-        F.length(_get(event, "name", "string")) > 0
-    )
-    numeric = value.isNull() | (_is_number(_json_type(value)) & _number(value).isNotNull())
-    timed = _blank(stamp) | ((_json_type(stamp) == "STRING") & parse_iso(stamp.try_cast("string")).isNotNull())
-    return (
-        F.when(~_json_type(event).startswith("OBJECT"), "object")
-        .when(~F.coalesce(named, F.lit(False)), "name")
-        .when(~numeric, "value")
-        .when(~_optional_text(event, "tag"), "tag")
-        .when(~_optional_text(event, "additional_info"), "additional_info")
-        .when(~timed, "timestamp")
-    )
+def _typed(event: Column) -> Column:
+    kinds = [_json_type(event[key]).alias(f"{key}_type") for key in FIELDS]
+    stamp = F.when(_json_type(event["timestamp"]) == "STRING", parse_iso(event["timestamp"].try_cast("string")))
+    return F.struct(event.alias("field"), *kinds, stamp.alias("time"))
 
 
-def _number(value: Column) -> Column:
-    """JSON number as a whole number, cut toward zero; true counts 1."""
-    return value.try_cast("bigint")
+def _checked(event: Column) -> Column:
+    """Key of the first failed check of one event (NULL if it is fine) and its values."""
+    field = event["field"]
+
+    def kind(key: str) -> Column:
+        return event[f"{key}_type"]
+
+    name = F.when(kind("name") == "STRING", field["name"].try_cast("string"))
+    # A JSON number as a whole number, cut toward zero; true counts 1.
+    value = F.when(kind("value") == "", F.lit(0).cast("bigint")).when(
+        _is_number(kind("value")), field["value"].try_cast("bigint")
+    )
+    error = (
+        F.when(~field["object"], "object")
+        .when(F.coalesce(F.length(name), F.lit(0)) == 0, "name")
+        .when(value.isNull(), "value")
+        .when(~kind("tag").isin("", "VOID", "STRING"), "tag")
+        .when(~kind("additional_info").isin("", "VOID", "STRING"), "additional_info")
+        .when(event["time"].isNull() & ~_blank(field["timestamp"], kind("timestamp")), "timestamp")
+    )
+    return F.struct(
+        error.alias("error"),
+        name.alias("name"),
+        value.cast("double").alias("value"),
+        field["tag"].try_cast("string").alias("tag"),
+        field["additional_info"].try_cast("string").alias("additional_info"),
+        event["time"].alias("timestamp"),
+    )
 
 
 def _message(key: Column, pos: Column) -> Column:
@@ -88,20 +103,29 @@ def _message(key: Column, pos: Column) -> Column:
 
 
 def judge_requests(requests: DataFrame) -> DataFrame:
-    """Add to (request_id, body): `error`, the event array and per-event errors."""
-    body = F.try_parse_json("body")
-    parsed = requests.withColumn("_doc", body)
-    listed = _get(F.col("_doc"), "events", "variant")
-    parsed = parsed.withColumn("_listed", listed)
-    request_error = (
-        F.when(~_json_type(F.col("_doc")).startswith("OBJECT"), NOT_AN_OBJECT)
-        .when(_blank(F.col("_listed")), NO_EVENTS)
-        .when(~_json_type(F.col("_listed")).startswith("ARRAY"), NOT_AN_ARRAY)
+    """Add to (request_id, body): `request_error` and the `checked` event array.
+
+    Each step is a projection of its own, so that no part is computed twice.
+    """
+    doc = F.col("_doc")
+    # Valid JSON that begins with a brace is an object.
+    is_object = doc.isNotNull() & F.col("body").rlike(r"^\s*\{")
+    listed = _get(doc, "events")
+    error = (
+        F.when(~is_object, NOT_AN_OBJECT)
+        .when(F.size("_items") > 0, F.lit(None).cast("string"))
+        .when(_blank(listed, _json_type(listed)), NO_EVENTS)
+        .otherwise(NOT_AN_ARRAY)
     )
-    judged = parsed.withColumn("request_error", request_error).withColumn(
-        "_events", F.when(F.col("request_error").isNull(), F.col("_listed").try_cast("array<variant>"))
+    return (
+        requests.withColumn("_doc", F.try_parse_json("body"))
+        .withColumn("_items", F.try_variant_get("_doc", "$.events", "array<variant>"))
+        .withColumn("request_error", error)
+        .withColumn("_fields", F.transform("_items", _fields))
+        .withColumn("_typed", F.transform("_fields", _typed))
+        .withColumn("checked", F.transform("_typed", _checked))
+        .drop("_doc", "_fields", "_typed")
     )
-    return judged.withColumn("_errors", F.transform("_events", event_error))
 
 
 def split_requests(
@@ -112,49 +136,41 @@ def split_requests(
     "atomic": one bad event rejects its whole request, reported once at its
     first bad index. "row": bad events are reported one by one and the rest of
     their request is accepted.
+
+    What is kept is chosen inside the array before it is exploded: a filter on
+    the request would be pushed below the checks and run them a second time.
     """
     if mode not in ("atomic", "row"):
         raise ValueError(f"unknown mode {mode!r}")
     judged = judge_requests(requests)
-    bad_places = F.filter(
-        F.transform("_errors", lambda e, i: F.when(e.isNotNull(), i)), lambda i: i.isNotNull()
-    )
-    judged = judged.withColumn("_bad", bad_places)
-
-    clean = F.col("request_error").isNull()
     if mode == "atomic":
-        clean = clean & (F.size("_bad") == 0)
-    items = judged.where(clean).select(
-        "request_id", F.posexplode(F.arrays_zip(F.col("_events").alias("event"), F.col("_errors").alias("error")))
-    )
-    if mode == "row":
-        items = items.where(F.col("col.error").isNull())
-    event = F.col("col.event")
+        kept = F.when(~F.exists("checked", lambda e: e["error"].isNotNull()), F.col("checked"))
+    else:
+        kept = F.transform("checked", lambda e: F.when(e["error"].isNull(), e))
+    items = judged.select("request_id", F.posexplode(kept)).where(F.col("col").isNotNull())
     accepted = items.select(
-        _get(event, "name", "string").alias("name"),
-        F.coalesce(_number(_get(event, "value", "variant")), F.lit(0)).cast("double").alias("value"),
-        _get(event, "tag", "string").alias("tag"),
-        _get(event, "additional_info", "string").alias("additional_info"),
-        F.coalesce(
-            parse_iso(F.when(~_blank(_get(event, "timestamp", "variant")), _get(event, "timestamp", "string"))),
-            instant(as_of),
-        ).alias("timestamp"),
+        *[F.col(f"col.{c}").alias(c) for c in ("name", "value", "tag", "additional_info")],
+        F.coalesce(F.col("col.timestamp"), instant(as_of)).alias("timestamp"),
         "request_id",
         "pos",
     )
 
-    whole = judged.where(F.col("request_error").isNotNull()).select(
-        "request_id", F.lit(None).cast("int").alias("pos"), F.col("request_error").alias("error"), F.col("body").alias("raw")
+    nowhere = F.struct(F.lit(None).cast("int").alias("pos"), F.col("request_error").alias("error"), F.col("body").alias("raw"))
+    faults = F.filter(
+        F.transform("checked", lambda e, i: F.when(e["error"].isNotNull(), F.struct(i.alias("pos"), e["error"].alias("key")))),
+        lambda f: f.isNotNull(),
     )
-    faulty = judged.where(F.col("request_error").isNull() & (F.size("_bad") > 0))
-    places = F.slice("_bad", 1, 1) if mode == "atomic" else F.col("_bad")
-    single = faulty.select("request_id", "body", "_events", "_errors", F.explode(places).alias("pos")).select(
-        "request_id",
-        F.col("pos").cast("int").alias("pos"),
-        _message(F.element_at("_errors", F.col("pos") + 1), F.col("pos")).alias("error"),
-        (F.col("body") if mode == "atomic" else F.to_json(F.element_at("_events", F.col("pos") + 1))).alias("raw"),
-    )
-    return accepted, whole.unionByName(single)
+    if mode == "atomic":
+        faults = F.slice(faults, 1, 1)
+
+    def report(fault: Column) -> Column:
+        pos = fault["pos"]
+        raw = F.col("body") if mode == "atomic" else F.to_json(F.element_at("_items", pos + 1))
+        return F.struct(pos.alias("pos"), _message(fault["key"], pos).alias("error"), raw.alias("raw"))
+
+    reports = F.when(F.col("request_error").isNotNull(), F.array(nowhere)).otherwise(F.transform(faults, report))
+    rejected = judged.select("request_id", F.inline(reports))
+    return accepted, rejected
 
 
 def accepted_events(accepted: DataFrame) -> DataFrame:
@@ -167,7 +183,7 @@ def accepted_events(accepted: DataFrame) -> DataFrame:
     return with_id.select(*[F.col(c).cast(EVENT_SCHEMA[c].dataType).alias(c) for c in EVENT_COLUMNS])
 
 
-def read_requests(spark, path: str, one_per_file: bool = False) -> DataFrame:
+def read_requests(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
     """Requests from text: one JSON document per line, or one per file."""
-    lines = spark.read.option("wholetext", one_per_file).text(path)
+    lines = spark.read.text(path, wholetext=one_per_file)
     return lines.select(F.monotonically_increasing_id().alias("request_id"), F.col("value").alias("body"))
