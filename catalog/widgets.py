@@ -101,7 +101,8 @@ RECENT = f"""(SELECT * FROM {APP} WHERE "timestamp" >= TIMESTAMP '2024-01-17 00:
 
 
 def _monitor(spark, sf, title, **kwargs):
-    return run_view(app(spark, sf), MONITOR, APP_NOW, **kwargs).widgets[title]
+    page = MONITOR | {"widgets": [w for w in MONITOR["widgets"] if w["title"] == title]}
+    return run_view(app(spark, sf), page, APP_NOW, **kwargs).widgets[title]
 
 
 @query(f"""SELECT abs(min(value - 50)) AS value, CASE WHEN abs(min(value - 50)) / 200 * 100 <= 10 THEN 'success'

@@ -135,6 +135,18 @@ def test_match_is_anchored_at_the_start_only(spark):
     assert [g[3] for g in got] == [us("2025-01-01T00:00:02")]
 
 
+def test_unusual_lines(spark):
+    """Non-ASCII text and lines holding the separator are read like all others."""
+    lines = [
+        "2025-01-01 00:00:01 größe x Übermaß",
+        f"2025-01-01 00:00:02 info y a{logs.SEPARATOR}b",
+        f"{logs.SEPARATOR}2025-01-01 00:00:03 info y a",
+        "2025-01-01 00:00:04 info y $1 \\1",
+    ]
+    got = parse(spark, lines, log_pattern=r"(\S+ \S+) (\w+) \w (.+)")
+    assert [g[:2] for g in got] == [("GRÖSSE", "Übermaß"), ("INFO", f"a{logs.SEPARATOR}b"), ("INFO", "a"), ("INFO", "$1 \\1")]
+
+
 def test_pattern_translation():
     assert logs.java_regex(r"(?P<a>x)(?P=a)\Z") == r"(?U)(?<a>x)\k<a>\z"
     assert re.match(r"(?P<a>x)(?P=a)\Z", "xx")

@@ -15,22 +15,28 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tickloom.model import order_key
 
 SLICES = 256
-_STRIDE = 16
 
 
 def _cuts(x: Column, slices: int) -> Column:
-    """Quantiles that cut `x` into slices, and every 16th of them to search first."""
-    shares = [i / slices for i in range(1, slices)]
-    cuts = F.percentile_approx(x, shares, 20 * slices)
-    coarse = F.filter(cuts, lambda cut, i: F.pmod(i + 1, F.lit(_STRIDE)) == 0)
-    return F.struct(cuts.alias("all"), coarse.alias("coarse"))
+    """The quantiles that cut `x` into slices."""
+    if slices < 2 or slices & (slices - 1):
+        raise ValueError(f"slices must be a power of two, got {slices}")
+    return F.percentile_approx(x, [i / slices for i in range(1, slices)], 20 * slices)
 
 
-def _position(cuts: str, x: Column) -> Column:
-    """How many cuts are at most x, looked up in two short steps."""
-    skipped = F.size(F.filter(F.col(f"{cuts}.coarse"), lambda cut: cut <= x)) * _STRIDE
-    near = F.slice(F.col(f"{cuts}.all"), skipped + 1, F.lit(_STRIDE))
-    return skipped + F.size(F.filter(near, lambda cut: cut <= x))
+def _with_position(df: DataFrame, name: str, cuts: str, x: Column, slices: int) -> DataFrame:
+    """Add how many cuts are at most x, by binary search.
+
+    One projection per step: they stay in generated code, where a lambda over
+    the cuts would be interpreted.
+    """
+    found = F.col(name)
+    df = df.withColumn(name, F.lit(0))
+    for i in range(1, slices.bit_length()):
+        stride = slices >> i
+        further = F.when(F.element_at(F.col(cuts), found + stride) <= x, stride).otherwise(0)
+        df = df.withColumn(name, found + further)
+    return df
 
 
 def slice_rows(df: DataFrame, ts: str = "timestamp", tie: str = "event_id", slices: int = SLICES) -> DataFrame:
@@ -41,15 +47,19 @@ def slice_rows(df: DataFrame, ts: str = "timestamp", tie: str = "event_id", slic
     as a repeated cut; its rows are cut again by `tie`.
     """
     us = F.unix_micros(ts)
-    cuts = df.agg(
-        F.struct(_cuts(us, slices).alias("ts"), _cuts(F.col(tie).cast("long"), slices).alias("tie"))
-    ).scalar()
-    placed = df.withColumn("_cuts", cuts).withColumn("_at", _position("_cuts.ts", us))
-    crowded = (F.col("_at") > 1) & (F.element_at("_cuts.ts.all", F.greatest(F.col("_at") - 1, F.lit(1))) == us)
-    within = F.when(crowded, _position("_cuts.tie", F.col(tie))).otherwise(F.lit(slices))
+    tied = F.col(tie).cast("long")
+    cuts = df.agg(F.struct(_cuts(us, slices).alias("ts"), _cuts(tied, slices).alias("tie"))).scalar()
+    placed = df.select("*", cuts.alias("_cuts"), us.alias("_us"))
+    placed = _with_position(placed, "_at", "_cuts.ts", F.col("_us"), slices)
+    before = F.element_at("_cuts.ts", F.greatest(F.col("_at") - 1, F.lit(1)))
+    crowded = (F.col("_at") > 1) & (before == F.col("_us"))
+    # Only rows of a crowded moment look for their place among the ties.
+    placed = placed.withColumn("_tie", F.when(crowded, tied))
+    placed = _with_position(placed, "_within", "_cuts.tie", F.col("_tie"), slices)
+    within = F.when(F.col("_tie").isNull(), slices).otherwise(F.col("_within"))
     # Rows without a time come first, as they do when sorting.
-    place = F.coalesce(F.col("_at") * (slices + 1) + within, F.lit(-1))
-    return placed.withColumn("_slice", place).drop("_cuts", "_at")
+    place = F.when(F.col("_us").isNull(), -1).otherwise(F.col("_at") * (slices + 1) + within)
+    return placed.select(*df.columns, place.alias("_slice"))
 
 
 def with_previous(

@@ -92,19 +92,21 @@ def latest_by_tag(df: DataFrame, name: str, tags: Tags = None, ties: str = "all"
     With `ties="all"` every event at a tag's newest moment is kept, with "one"
     the highest event_id decides. Newest moments come from a hash aggregate and
     are joined back, so a tag or moment shared by a third of the rows is still
-    spread over tasks; with a tag list the join side is known to be small.
+    spread over tasks. Rows older than every tag's newest moment are left out
+    before the join; with a tag list the join side is known to be small.
     """
     if ties not in ("all", "one"):
         raise ValueError(f"unknown ties {ties!r}")
     rows = with_tags(named(df, name), tags).where(F.col("tag").isNotNull())
-    if ties == "all":
-        place = "timestamp"
-    else:
-        place, rows = "_order", rows.withColumn("_order", order_key())
-    ends = rows.groupBy("tag").agg(F.max(place).alias(place))
+    oldest = rows.groupBy("tag").agg(F.max("timestamp").alias("timestamp")).agg(F.min("timestamp")).scalar()
+    recent = rows.where(F.col("timestamp") >= oldest)
+    place = "timestamp"
+    if ties == "one":
+        place, recent = "_order", recent.withColumn("_order", order_key())
+    ends = recent.groupBy("tag").agg(F.max(place).alias(place))
     if 0 < len(tag_list(tags)) <= BROADCAST_TAGS:
         ends = F.broadcast(ends)
-    return rows.join(ends, ["tag", place]).select(df.columns)
+    return recent.join(ends, ["tag", place]).select(df.columns)
 
 
 def event_names(df: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 from typing import Any
@@ -14,6 +14,8 @@ from tickloom.functions.timestamps import parse_log_time, strip
 from tickloom.model import EVENT_COLUMNS, EVENT_SCHEMA, Instant, instant
 
 DEFAULT_EVENT_NAME = "log_message"  # fixed value
+SEPARATOR = "\x1f"
+_ALL = 2**31 - 1
 
 
 @dataclass(frozen=True)
@@ -39,11 +41,11 @@ class LogFormat:
         return cls(**{k: config[k] for k in cls.__dataclass_fields__ if config.get(k) is not None})
 
 
-def java_regex(pattern: str) -> str:
+def java_regex(pattern: str, unicode: bool = True) -> str:
     """A Python pattern as Java reads it: named groups and Unicode classes."""
     pattern = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
     pattern = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern)
-    return "(?U)" + pattern.replace(r"\Z", r"\z")
+    return ("(?U)" if unicode else "") + pattern.replace(r"\Z", r"\z")
 
 
 def search(text: Column, pattern: str) -> Column:
@@ -66,6 +68,32 @@ def skip_until(lines: DataFrame, pattern: str) -> DataFrame:
     return lines.join(first, "file").where(F.col("pos") >= F.col("_first")).drop("_first")
 
 
+def with_groups(lines: DataFrame, pattern: str, indexes: Sequence[int]) -> DataFrame:
+    """Add `_groups`: the wanted groups of an anchored match, NULL without a match.
+
+    One replacement yields all groups: a matching line becomes them, each after
+    a separator, while other lines stay as they are. Lines that hold the
+    separator themselves take one extraction per group. On ASCII lines the much
+    faster ASCII classes mean the same.
+    """
+    line = F.col("line")
+    out = "".join(f"{SEPARATOR}${i}" for i in indexes)
+    ascii_regex, full_regex = java_regex(pattern, False), java_regex(pattern)
+
+    def replaced(regex: str) -> Column:
+        return F.regexp_replace(line, f"^(?:{regex})(?s:.*)$", out)
+
+    clear = ~F.contains(line, F.lit(SEPARATOR))
+    is_ascii = F.octet_length(line) == F.length(line)
+    matched = F.when(clear & is_ascii, replaced(ascii_regex)).when(clear, replaced(full_regex))
+    apart = F.array(*[F.regexp_extract(line, f"^(?:{full_regex})", i) for i in indexes])
+    groups = (
+        F.when(F.col("_matched").isNull(), F.when(line.rlike(f"^(?:{full_regex})"), apart))
+        .when(F.startswith("_matched", F.lit(SEPARATOR)), F.split(F.substring("_matched", 2, _ALL), SEPARATOR))
+    )
+    return lines.withColumn("_matched", matched).select(*lines.columns, groups.alias("_groups"))
+
+
 def parse_lines(lines: DataFrame, fmt: LogFormat, as_of: Instant) -> DataFrame:
     """Add name, value, tag, additional_info and timestamp; unparsable lines are dropped."""
     lines = trimmed_lines(lines)
@@ -75,26 +103,29 @@ def parse_lines(lines: DataFrame, fmt: LogFormat, as_of: Instant) -> DataFrame:
         lines = lines.where(search(F.col("line"), fmt.include_regex))
     if fmt.exclude_regex:
         lines = lines.where(~search(F.col("line"), fmt.exclude_regex))
-    anchored = java_regex(f"^(?:{fmt.log_pattern})")
+    wanted = [fmt.timestamp_group_index, fmt.severity_group_index, fmt.content_group_index]
+    if fmt.value_group_index:
+        wanted.append(fmt.value_group_index)
+    grouped = with_groups(lines, fmt.log_pattern, wanted)
 
-    def group(index: int) -> Column:
-        return F.regexp_extract("line", anchored, index)
+    def group(place: int) -> Column:
+        return F.element_at("_groups", place + 1)
 
     if fmt.value_group_index:
-        digits = strip(group(fmt.value_group_index))
+        digits = strip(group(3))
         value = F.when(digits.rlike(r"^[+-]?\d+$"), digits.try_cast("bigint"))
     else:
         value = F.lit(1).cast("long")
-    parsed = lines.where(F.col("line").rlike(anchored)).select(
-        "*",
+    # A filter on the parsed columns would be pushed below them and parse every
+    # line twice; emitting zero or one rows per line keeps it above.
+    event = F.struct(
         F.lit(fmt.event_name).alias("name"),
         value.cast("double").alias("value"),
-        F.upper(group(fmt.severity_group_index)).alias("tag"),
-        strip(group(fmt.content_group_index)).alias("additional_info"),
-        parse_log_time(
-            group(fmt.timestamp_group_index), fmt.timestamp_format, F.year(instant(as_of))
-        ).alias("timestamp"),
+        F.upper(group(1)).alias("tag"),
+        strip(group(2)).alias("additional_info"),
+        parse_log_time(group(0), fmt.timestamp_format, F.year(instant(as_of))).alias("timestamp"),
     )
+    parsed = grouped.select(*lines.columns, F.inline(F.when(F.col("_groups").isNotNull(), F.array(event))))
     return parsed.where(F.col("timestamp").isNotNull() & F.col("value").isNotNull())
 
 
