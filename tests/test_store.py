@@ -26,6 +26,7 @@ def rules(*configs):
 
 def test_filter_on_name_prunes_folders(spark, sf_dir, tmp_path):
     path = str(tmp_path / "store")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     event_store.append_events(user(spark, sf_dir), path)
     frame = retrieve.named(event_store.read_events(spark, path, since=datetime(2024, 1, 20)), "user_error")
     scan = next(line for line in plan(frame).splitlines() if "FileScan" in line)
