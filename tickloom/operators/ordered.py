@@ -28,7 +28,9 @@ def _with_position(df: DataFrame, name: str, cuts: str, x: Column, slices: int)
     """Add how many cuts are at most x, by binary search.
 
     One projection per step: they stay in generated code, where a lambda over
-    the cuts would be interpreted.
+    the cuts would be interpreted. Nothing may join or filter on the result
+    before a shuffle: such a predicate would be pushed down through all steps,
+    doubling at each.
     """
     found = F.col(name)
     df = df.withColumn(name, F.lit(0))
@@ -114,10 +116,13 @@ def number_rows(
     place = [*outer, "_slice"]
     sizes = sliced.groupBy(*place).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
-    # At most (slices + 1)^2 rows per outer value, however large the frame is:
-    # small enough for the one-task window and for a broadcast.
-    shifts = sizes.select(*place, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy(*place).orderBy(ts, tie)
-    ranked = sliced.withColumn("_nth", F.row_number().over(inside))
-    numbered = ranked.join(F.broadcast(shifts), place)
-    return numbered.select(*df.columns, (F.col("_nth") + F.col("_shift")).cast("long").alias(name))
+    # At most (slices + 1)^2 rows per outer value, however large the frame is.
+    heads = sizes.select(*place, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    rows = sliced.withColumn("_is_row", F.lit(1)).unionByName(
+        heads.withColumn("_is_row", F.lit(0)), allowMissingColumns=True
+    )
+    # The head of a slice comes first and hands its shift to the rows behind it.
+    inside = Window.partitionBy(*place).orderBy("_is_row", ts, tie)
+    number = F.row_number().over(inside) - 1 + F.first("_shift").over(inside)
+    numbered = rows.select("*", number.alias("_number")).where(F.col("_is_row") == 1)
+    return numbered.select(*df.columns, F.col("_number").cast("long").alias(name))
