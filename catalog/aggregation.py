@@ -108,7 +108,7 @@ def mutators_arith(spark, sf):
     )
 
 
-@query(f"""SELECT event_id, floor(v + 0.5) AS rounded, floor(v) AS floored, ceil(v) AS ceiled, abs(v) AS magnitude,
+@query(f"""SELECT event_id, floor(v + 0.5) AS rounded, floor(v) AS floored, ceil(v) + 0.0 AS ceiled, abs(v) AS magnitude,
     CASE WHEN v < 0 THEN 0.0 ELSE v END AS no_negatives FROM (SELECT event_id, value - 50 AS v FROM {APP})""")
 def mutators_rounding(spark, sf):
     v = F.col("value") - 50
@@ -129,7 +129,7 @@ def mutator_delta(spark, sf):
     return changed.select("event_id", "tag", "value")
 
 
-@query(f"""SELECT event_id, tag, CASE WHEN p <> 0 THEN round((value - p) / abs(p) * 100, 4) END AS value FROM
+@query(f"""SELECT event_id, tag, CASE WHEN p <> 0 THEN round((value - p) / abs(p) * 100, 4) + 0.0 END AS value FROM
     (SELECT *, lag(value) OVER (PARTITION BY tag ORDER BY "timestamp", event_id) AS p FROM
      (SELECT event_id, tag, "timestamp", CASE WHEN event_id % 7 = 0 THEN 0 ELSE value - 50 END AS value FROM {APP}))""")
 def mutator_pct_change(spark, sf):

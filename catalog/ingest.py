@@ -153,7 +153,7 @@ JUDGED_SQL = f"""(SELECT *, event_id // 10 AS request_id, CAST(event_id % 10 AS
     {ITEM_ERROR_SQL} AS item_error, count({ITEM_ERROR_SQL}) OVER (PARTITION BY event_id // 10) AS faults FROM events)"""
 ACCEPTED_SQL = """SELECT request_id, pos,
     CASE event_id % 97 WHEN 8 THEN 'app_event' WHEN 9 THEN 'app_event' ELSE 'user_' || event_type END AS name,
-    CASE event_id % 97 WHEN 8 THEN 1.0 WHEN 9 THEN 0.0 ELSE trunc(value - 50) END AS value,
+    CASE event_id % 97 WHEN 8 THEN 1.0 WHEN 9 THEN 0.0 ELSE trunc(value - 50) + 0.0 END AS value,
     CASE event_id % 97 WHEN 8 THEN NULL WHEN 9 THEN NULL ELSE event_type END AS tag,
     CASE event_id % 97 WHEN 8 THEN NULL WHEN 9 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS additional_info,
     CASE event_id % 97 WHEN 8 THEN TIMESTAMP '2024-01-02 03:04:05' WHEN 9 THEN TIMESTAMP '2024-01-31 00:00:00' ELSE ts END AS "timestamp" """

@@ -113,7 +113,7 @@ def source_latest_unique(spark, sf):
 
 
 @query("""SELECT event_id, event_type AS name,
-    CAST(CASE WHEN event_id % 7 = 0 THEN 0 ELSE trunc(value - 50) END AS DOUBLE) AS value,
+    CAST(CASE WHEN event_id % 7 = 0 THEN 0 ELSE trunc(value - 50) + 0.0 END AS DOUBLE) AS value,
     CAST(NULL AS VARCHAR) AS tag, props AS additional_info,
     CASE WHEN event_id % 5 = 0 THEN TIMESTAMP '2024-01-31 00:00:00' ELSE ts END AS "timestamp" FROM events""")
 def normalize_defaults(spark, sf):

@@ -26,7 +26,7 @@ def _cell(x: object) -> object:
     if isinstance(x, bool) or x is None or isinstance(x, str | date | datetime):
         return x
     if isinstance(x, float):
-        return ("float", "nan" if math.isnan(x) else x + 0.0)
+        return ("float", "nan" if math.isnan(x) else repr(x))
     if isinstance(x, Decimal):
         return ("decimal", x)
     return ("int", int(x))
