@@ -81,6 +81,7 @@ MONITOR = {
             "data_sources": ["recent"],
             "max_rows": 50,
             "slice_from": "end",
+            "filters": [{"field": "kind"}, {"field": "reading", "choices": 5}, {"field": "no such column"}],
             "table_columns": [
                 {"title": "idx", "event_field": "index"},
                 {"title": "kind", "event_field": "tag"},
@@ -169,6 +170,16 @@ def table_widget(spark, sf):
     return _monitor(spark, sf, "Latest")
 
 
+@query(f"""SELECT 'kind' AS field, tag AS choice FROM (SELECT DISTINCT tag FROM {RECENT}) UNION ALL
+    SELECT 'reading', choice FROM (SELECT CASE WHEN value = trunc(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR)
+        ELSE CAST(value AS VARCHAR) END AS choice, count(*) AS n FROM {RECENT} GROUP BY 1 ORDER BY n DESC, choice LIMIT 5)""")
+def table_widget_choices(spark, sf):
+    page = MONITOR | {"widgets": [w for w in MONITOR["widgets"] if w["type"] == "table"]}
+    choices = run_view(app(spark, sf), page, APP_NOW).choices
+    kind, reading = (choices["Latest", f].withColumn("field", F.lit(f)) for f in ("kind", "reading"))
+    return kind.unionByName(reading)
+
+
 @query(f"""WITH counts(title, type, n_rows) AS (
     SELECT 'Last value', 'gauge', (SELECT count(*) FROM {APP})
     UNION ALL SELECT 'Spread', 'counter', (SELECT count(*) FROM {APP})

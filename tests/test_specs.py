@@ -69,6 +69,7 @@ def test_widget_checks():
         {"type": "counter", "data_sources": ["s", "t"], "counter_type": "sum"},
         {"type": "counter", "data_sources": ["s"], "counter_type": "median"},
         {"type": "gauge", "data_sources": []},
+        {"type": "gauge", "data_sources": ["s"], "aggregation_type": "last_datetime"},
         {"type": "pie_chart", "data_sources": ["s"], "style": {"aggregation_type": "median"}},
     ):
         with pytest.raises(ValueError):

@@ -15,7 +15,7 @@ from tickloom.model import normalize_events
 from tickloom.operators import retention, retrieve, stats
 from tickloom.operators.retention import RetentionRule
 from tickloom.sources import event_store
-from tickloom.sources.collectors import Collector, read_cursor, run_collectors
+from tickloom.sources.collectors import Collector, read_cursor, run_collectors, run_retention
 
 NOW = datetime(2024, 1, 31)
 
@@ -69,7 +69,7 @@ def test_retention_touches_only_what_expired(spark, tmp_path):
     event_store.append_events(events(spark, STORED), path)
     before = {f: sorted(os.listdir(os.path.join(path, f))) for f in folders(path)}
     week = rules({"event_name": "x y", "tag": "a", "max_age_days": 7}, {"event_name": "z", "max_age_days": 1})
-    event_store.apply_retention(spark, path, week, NOW)
+    assert event_store.apply_retention(spark, path, week, NOW) == {0: 1, 1: 1}
     assert sorted(r.event_id for r in event_store.read_events(spark, path).collect()) == [2, 3, 4]
     after = {f: sorted(os.listdir(os.path.join(path, f))) for f in folders(path)}
     changed = {f for f in before if before[f] != after.get(f)}
@@ -142,6 +142,59 @@ def test_collectors_fail_alone_and_resume(spark, tmp_path):
     assert table["good"].avg_execution_time_ms > 0 and table["good"].error_message == ""
 
 
+def test_retention_of_collectors(spark, tmp_path):
+    store, log = str(tmp_path / "store"), str(tmp_path / "log")
+    event_store.append_events(events(spark, STORED), store)
+
+    def nothing(spark, config, cursor):
+        return events(spark, [])
+
+    collectors = [
+        Collector("xy", nothing, {"days": 7}, retention=lambda c: [{"event_name": "x y", "max_age_days": c["days"]}]),
+        Collector("rest", nothing, retention=lambda c: [{"event_name": n, "max_age_days": 1} for n in ("x y", "z")]),
+        Collector("none", nothing),
+    ]
+    assert run_retention(spark, collectors, store, log, NOW) == {"xy_": 3, "rest_": 2, "none_": 0}
+    table = {r.module: r for r in stats.run_stats(spark.read.parquet(log)).collect()}
+    assert [(table[m].runs_count, table[m].cleanup_times, table[m].deleted_events_count) for m in ("xy", "rest", "none")] == [
+        (0, 1, 3),
+        (0, 1, 2),
+        (0, 1, 0),
+    ]
+    bad = Collector("bad", nothing, retention=lambda c: [{"event_name": "x y"}])
+    with pytest.raises(ValueError):
+        run_retention(spark, [*collectors, bad], store, log, NOW)
+
+
+def test_configured_log_collector(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "app.log").write_text("INFO 2024-01-02 03:04:05 hello\nERROR 2024-01-02 03:04:06 again\n")
+    entry = {
+        "module": "logs_collector",
+        "unique_id": "app",
+        "collect_interval_in_minutes": 5,
+        "config": {
+            "log_file_path": str(folder),
+            "log_pattern": r"(\w+) (\S+ \S+) (.*)",
+            "timestamp_format": "%Y-%m-%d %H:%M:%S",
+            "severity_group_index": 1,
+            "timestamp_group_index": 2,
+            "retention_days": 60,
+        },
+    }
+    collector = Collector.parse(entry)
+    assert collector.interval_minutes == 5
+    assert collector.retention_rules() == rules({"event_name": "log_message", "max_age_days": 60})
+    paths = [str(tmp_path / p) for p in ("store", "cursors", "log")]
+    for _ in range(2):
+        run_collectors(spark, [collector], *paths, NOW)
+    got = values(event_store.read_events(spark, paths[0]).orderBy("timestamp"), "tag", "additional_info", "value")
+    assert got == [("INFO", "hello", 1.0), ("ERROR", "again", 1.0)]
+    with pytest.raises(ValueError):
+        Collector.parse({"module": "unheard of"})
+
+
 def test_records_keep_microseconds(spark, tmp_path):
     frame = normalize_events(events(spark, STORED), {c: c for c in events(spark, []).columns}, NOW)
     path = str(tmp_path / "out")

@@ -16,12 +16,12 @@ def run_stats(log: DataFrame) -> DataFrame:
     """Per collector: runs, errors, events, mean time, last run, clean-ups.
 
     The last error is the error text of the newest run, blank when that run
-    succeeded. Failed runs count as runs and leave the mean time as it is.
+    succeeded. Failed runs count as runs and leave the mean time as it is. Log
+    rows without a start are clean-ups and not runs.
     """
-    failed = F.col("error").isNotNull()
-    runs = log.where(F.col("started").isNotNull()).groupBy("module", "unique_id")
-    return runs.agg(
-        F.count(F.lit(1)).alias("runs_count"),
+    is_run, failed = F.col("started").isNotNull(), F.col("error").isNotNull()
+    return log.groupBy("module", "unique_id").agg(
+        F.count_if(is_run).alias("runs_count"),
         F.count_if(failed).alias("errors_count"),
         F.coalesce(F.sum(F.when(~failed, F.col("n_events"))), F.lit(0)).alias("collected_events"),
         F.ceil(F.round(F.coalesce(F.avg(F.when(~failed, F.col("duration_ms"))), F.lit(0.0)), 9))

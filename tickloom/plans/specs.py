@@ -164,6 +164,8 @@ class WidgetSpec:
         aggregate = config.get("counter_type") if kind == "counter" else cls._aggregate(config)
         if kind in ("counter", "gauge", "pie_chart") and aggregate not in SCALAR_KINDS:
             raise ValueError(f"unknown aggregate {aggregate!r} for widget {title!r}")
+        if kind in ("gauge", "pie_chart") and aggregate.endswith("datetime"):
+            raise ValueError(f"{kind} widget {title!r} needs a number, not {aggregate!r}")
         time_aggregation = config.get("time_aggregation")
         return cls(
             type=kind,

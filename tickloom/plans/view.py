@@ -19,12 +19,16 @@ from tickloom.plans.specs import DEFAULT_TABLE_ROWS, SourceSpec, ViewSpec, Widge
 
 @dataclass
 class ViewResult:
-    """Widget results and the events behind them, by widget title."""
+    """Widget results and the events behind them, by widget title.
+
+    `choices` holds the choices of table filters by (widget title, column title).
+    """
 
     view_id: str
     widgets: dict[str, DataFrame] = field(default_factory=dict)
     inputs: dict[str, DataFrame] = field(default_factory=dict)
     types: dict[str, str] = field(default_factory=dict)
+    choices: dict[tuple[str, str], DataFrame] = field(default_factory=dict)
     _held: list[DataFrame] = field(default_factory=list)
 
     def summary(self) -> DataFrame:
@@ -108,11 +112,7 @@ def widget_result(
         return charts.time_chart(frame, interval, as_of, age, range(len(widget.series)), default)
     if widget.type == "scatter_map":
         return charts.scatter(frame)
-    by_tag = F.lit(False)
-    for i, s in enumerate(widget.series):
-        if specs[s.id].last_unique_by_tag:
-            by_tag = by_tag | (F.col("series_idx") == i)
-    rows = frame.withColumn("source_pos", F.col("series_idx")).withColumn("tag_place", F.when(by_tag, F.col("tag")))
+    rows = table_rows(widget, frame, specs)
     max_rows = widget.config.get("max_rows")
     return tables.table(
         rows,
@@ -124,6 +124,15 @@ def widget_result(
     )
 
 
+def table_rows(widget: WidgetSpec, frame: DataFrame, specs: Mapping[str, SourceSpec]) -> DataFrame:
+    """Input of a table with the columns that order it."""
+    by_tag = F.lit(False)
+    for i, s in enumerate(widget.series):
+        if specs[s.id].last_unique_by_tag:
+            by_tag = by_tag | (F.col("series_idx") == i)
+    return frame.withColumn("source_pos", F.col("series_idx")).withColumn("tag_place", F.when(by_tag, F.col("tag")))
+
+
 def run_view(
     events: DataFrame,
     view: ViewSpec | Mapping[str, object],
@@ -169,6 +178,12 @@ def run_view(
         frame = widget_input(widget, frames, specs, interval, time_range)
         result.types[title] = widget.type
         result.inputs[title] = frame
+        titles = tables.fields_by_title(widget.config.get("table_columns") or ())
+        for each in widget.config.get("filters") or () if widget.type == "table" else ():
+            if each["field"] in titles:
+                rows = table_rows(widget, frame, specs)
+                offered = tables.filter_choices(rows, titles[each["field"]], each.get("choices"))
+                result.choices[title, each["field"]] = offered
         result.widgets[title] = widget_result(
             widget, frame, specs, interval, as_of, (selected or {}).get(title)
         )

@@ -12,14 +12,27 @@ from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from tickloom.model import gate_named, instant
+from tickloom.model import gate_named, micros
 from tickloom.operators.retention import RetentionRule
 from tickloom.operators.stats import RUN_LOG_SCHEMA
-from tickloom.sources.event_store import append_events
+from tickloom.sources.event_store import append_events, apply_retention
+from tickloom.sources.logs import DEFAULT_EVENT_NAME, LogFormat, read_log_events
+
+LOG_RETENTION_DAYS = 30  # fixed value
 
 Collect = Callable[[SparkSession, Mapping[str, Any], datetime | None], DataFrame]
 
 
+Retention = Callable[[Mapping[str, Any]], Sequence[Mapping[str, Any]]]
+
+# Collect functions and retention rules by module name, for configs that name them.
+REGISTRY: dict[str, tuple[Collect, Retention | None]] = {}
+
+
+def register(module: str, collect: Collect, retention: Retention | None = None) -> None:
+    REGISTRY[module] = (collect, retention)
+
+
 @dataclass
 class Collector:
     """`collect(spark, config, cursor)` returns an event frame newer than the cursor."""
@@ -28,7 +41,24 @@ class Collector:
     collect: Collect
     config: Mapping[str, Any] = field(default_factory=dict)
     unique_id: str = ""
-    retention: Callable[[Mapping[str, Any]], Sequence[Mapping[str, Any]]] | None = None
+    retention: Retention | None = None
+    interval_minutes: float | None = None
+
+    @classmethod
+    def parse(cls, config: Mapping[str, Any]) -> Collector:
+        """A collector from its config entry; the module must be registered."""
+        module = config.get("module")
+        if module not in REGISTRY:
+            raise ValueError(f"unknown collector module {module!r}, registered: {sorted(REGISTRY)}")
+        collect, retention = REGISTRY[module]
+        return cls(
+            module,
+            collect,
+            config.get("config") or {},
+            config.get("unique_id") or "",
+            retention,
+            config.get("collect_interval_in_minutes"),
+        )
 
     @property
     def key(self) -> str:
@@ -97,8 +127,50 @@ def run_collectors(
             error = f"{type(failure).__name__}: {failure}"
         took = (time.monotonic() - began) * 1000
         rows.append((c.module, c.unique_id, took, seen.get("n") or 0, seen.get("rejected") or 0, error))
-    log = spark.createDataFrame(
-        rows, "module string, unique_id string, duration_ms double, n_events long, rejected long, error string"
-    ).withColumns({"started": instant(as_of), "cleanups": F.lit(0).cast("long"), "deleted": F.lit(0).cast("long")})
-    columns = [part.split()[0] for part in RUN_LOG_SCHEMA.split(", ")]
-    log.select(*columns).write.mode("append").parquet(run_log)
+    _log(spark, run_log, [(*row, as_of, 0, 0) for row in rows])
+
+
+def run_retention(
+    spark: SparkSession, collectors: Sequence[Collector], store: str, run_log: str, as_of: datetime
+) -> dict[str, int]:
+    """Apply the rules of all collectors in one pass and log what each deleted.
+
+    All rules are checked before anything is removed. An event counts for the
+    first rule that hits it, in collector order.
+    """
+    owned = [(c, rule) for c in collectors for rule in c.retention_rules()]
+    counts = apply_retention(spark, store, [rule for _, rule in owned], as_of)
+    deleted = {c.key: 0 for c in collectors}
+    for i, (c, _) in enumerate(owned):
+        deleted[c.key] += counts[i]
+    _log(spark, run_log, [(c.module, c.unique_id, None, None, None, None, None, 1, deleted[c.key]) for c in collectors])
+    return deleted
+
+
+def _log(spark: SparkSession, run_log: str, rows: Sequence[tuple[Any, ...]]) -> None:
+    """Append run or clean-up rows; a moment is kept as microseconds until it is written."""
+    columns = "module string, unique_id string, duration_ms double, n_events long, rejected long, error string"
+    packed = [(*r[:6], None if r[6] is None else micros(r[6]), *r[7:]) for r in rows]
+    log = spark.createDataFrame(packed, f"{columns}, started long, cleanups long, deleted long")
+    log = log.withColumn("started", F.timestamp_micros("started"))
+    order = [part.split()[0] for part in RUN_LOG_SCHEMA.split(", ")]
+    log.select(*order).write.mode("append").parquet(run_log)
+
+
+def collect_logs(spark: SparkSession, config: Mapping[str, Any], cursor: datetime | None) -> DataFrame:
+    """Events of the log files at `log_file_path` that are newer than the cursor.
+
+    `as_of` in the config gives the year of formats that carry none.
+    """
+    if not config.get("log_file_path"):
+        raise ValueError("log_file_path not specified in collector configuration")
+    as_of = config.get("as_of") or datetime.now()
+    return read_log_events(spark, config["log_file_path"], LogFormat.parse(config), as_of, cursor)
+
+
+def log_retention(config: Mapping[str, Any]) -> list[dict[str, Any]]:
+    name = config.get("event_name") or DEFAULT_EVENT_NAME
+    return [{"event_name": name, "max_age_days": config.get("retention_days", LOG_RETENTION_DAYS)}]
+
+
+register("logs_collector", collect_logs, log_retention)

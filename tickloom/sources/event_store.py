@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -80,7 +81,7 @@ def copy_retained(
     spark: SparkSession,
     path: str,
     target: str,
-    rules: list[RetentionRule],
+    rules: Sequence[RetentionRule],
     as_of: datetime,
     period: str = "day",
 ) -> None:
@@ -94,32 +95,31 @@ def copy_retained(
     append_events(kept, target, period)
 
 
-def apply_retention(spark: SparkSession, path: str, rules: list[RetentionRule], as_of: datetime) -> None:
-    """Remove expired events in place, rewriting only folders that hold some.
+def apply_retention(
+    spark: SparkSession, path: str, rules: Sequence[RetentionRule], as_of: datetime
+) -> dict[int, int]:
+    """Remove expired events in place and return the deleted count per rule index.
 
-    A rule reaches the folders of its event name that begin before its cutoff.
-    Those folders are rewritten by dynamic partition overwrite: their new files
-    are staged and moved in on commit. A folder left without rows is not part
-    of the written result, so it is removed afterwards.
+    A rule reaches the folders of its event name that begin before its cutoff;
+    of those, only folders holding expired events are rewritten, by dynamic
+    partition overwrite: new files are staged and moved in on commit. A folder
+    left without rows is not part of the written result, so it is removed
+    afterwards. A run cut short can simply be repeated.
     """
     check_rules(rules)
-    rule = first_matching_rule(rules, as_of)
     reach = F.lit(False)
     for r in rules:
         reach = reach | ((F.col("name") == r.event_name) & (F.col("period") <= F.to_date(r.cutoff(as_of))))
-    touched = read_partitions(spark, path).where(reach).withColumn("_expired", rule.isNotNull())
-    # One row per folder, never per event.
-    folders = touched.groupBy("name", "period").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if("_expired").alias("expired")
-    )
-    hit = folders.where(F.col("expired") > 0).collect()
-    if not hit:
-        return
-    partial = [f for f in hit if f["expired"] < f["rows"]]
-    emptied = [f for f in hit if f["expired"] == f["rows"]]
-    if partial:
-        wanted = spark.createDataFrame([(f["name"], f["period"]) for f in partial], "name string, period date")
-        kept = touched.where(~F.col("_expired")).drop("_expired").join(wanted, ["name", "period"], "left_semi")
+    reached = read_partitions(spark, path).where(reach)
+    touched = reached.withColumn("_rule", first_matching_rule(rules, as_of))
+    # A few rows per folder, never one per event.
+    counts = touched.groupBy("name", "period", "_rule").agg(F.count(F.lit(1)).alias("n")).collect()
+    deleted = {i: sum(c["n"] for c in counts if c["_rule"] == i) for i in range(len(rules))}
+    hit = {(c["name"], c["period"]) for c in counts if c["_rule"] is not None}
+    staying = {(c["name"], c["period"]) for c in counts if c["_rule"] is None}
+    if hit & staying:
+        wanted = spark.createDataFrame(sorted(hit & staying), "name string, period date")
+        kept = touched.where(F.col("_rule").isNull()).drop("_rule").join(wanted, ["name", "period"], "left_semi")
         kept = kept.select(*EVENT_COLUMNS, "period").hint("rebalance", "name", "period")
         (
             kept.write.mode("overwrite")
@@ -127,8 +127,8 @@ def apply_retention(spark: SparkSession, path: str, rules: list[RetentionRule],
             .partitionBy("name", "period")
             .parquet(path)
         )
-    if emptied:
-        _remove_folders(spark, path, [(f["name"], f["period"]) for f in emptied])
+    _remove_folders(spark, path, sorted(hit - staying))
+    return deleted
 
 
 def _remove_folders(spark: SparkSession, path: str, folders: list[tuple[str, object]]) -> None:
