@@ -53,8 +53,13 @@ def search(text: Column, pattern: str) -> Column:
 
 
 def trimmed_lines(lines: DataFrame, column: str = "line") -> DataFrame:
-    """Lines without surrounding blanks; blank lines are dropped."""
-    return lines.withColumn(column, strip(F.col(column))).where(F.length(column) > 0)
+    """Lines without surrounding blanks; blank lines are dropped.
+
+    Exploding the one trimmed line keeps this and later filters above the trim;
+    pushed below it, each of them would trim every line again.
+    """
+    others = [c for c in lines.columns if c != column]
+    return lines.select(*others, F.explode(F.array(strip(F.col(column)))).alias(column)).where(F.length(column) > 0)
 
 
 def skip_until(lines: DataFrame, pattern: str) -> DataFrame:
