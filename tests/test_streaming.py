@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from datetime import datetime
 
 import pytest
@@ -81,6 +82,7 @@ def test_live_rates_across_batches_and_restarts(spark, sf_dir, dirs):
     # A reading from before the carried one arrives too late.
     samples.where("event_id = 5").withColumn("event_id", F.lit(5000).cast("long")).write.mode("append").parquet(path)
     live.live_counter_rates(spark.readStream.schema(samples.schema).parquet(path), target, carry, dirs("cp")).awaitTermination()
+    assert sorted(f for f in os.listdir(carry) if f.startswith("batch_id")) == ["batch_id=3", "batch_id=4"]
     got = live.read_rates(spark, target).select("event_id", "tag", F.col("value").cast("long"))
     want = counter_rates(samples, bounded=True).select("event_id", "tag", "value")
     assert sorted(got.collect(), key=repr) == sorted(want.collect(), key=repr)

@@ -16,6 +16,12 @@ def land(df: DataFrame, path: str, batch_id: int, partition_by: Sequence[str] =
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/batch_id={batch_id}")
 
 
+def forget(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Remove the folder of a batch that no later batch will read again."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={batch_id}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def landed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, batch_id long").parquet(path)
 

@@ -10,7 +10,7 @@ from tickloom.functions.buckets import CALENDAR_INTERVALS, bucket, check_interva
 from tickloom.functions.numbers import round_half_up, steady_round
 from tickloom.model import order_key
 from tickloom.operators.metrics import counter_rates
-from tickloom.streaming.landing import land, landed, newest_per_key, triggered
+from tickloom.streaming.landing import forget, land, landed, newest_per_key, triggered
 
 PARTIAL_DDL = "start timestamp, name string, tag string, n long, total double, low double, high double"
 LATEST_DDL = "name string, tag string, event_id long, value double, additional_info string, timestamp timestamp"
@@ -147,6 +147,8 @@ def live_counter_rates(
             F.max("timestamp").alias("timestamp"),
         )
         land(last.select(*columns), carry, batch_id)
+        # A repeated batch reads what the one before it carried, nothing older.
+        forget(spark, carry, batch_id - 2)
 
     writer = samples.writeStream.foreachBatch(derive).option("checkpointLocation", checkpoint)
     return triggered(writer, interval_minutes).start()
