@@ -1,12 +1,69 @@
-"""A corpus pipeline of text operators: each stage works on all that the one before kept."""
+"""A corpus pipeline of text operators: each stage works on all that the one before kept.
+
+Language identification and the quality classifier learn from the labelled rows
+of their own input that are not held out, and drop what they reject. Near
+duplicates leave the smallest doc_id of each group. Repeated byte strings then
+leave the texts, and packing turns these into sequences of token ids.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tickloom.llm import language_id, line_crf, minhash, packing, suffix_array
 from tickloom.session import fresh_dir
 
-STAGES: list = []
+# Below these a document is rejected.
+LANGUAGE_SHARE = 0.5
+QUALITY_SCORE = 0.5
+SHINGLE_WORDS = 5
+
+
+def _columns(df: DataFrame, names: list[str]) -> list:
+    return [(F.col("text") if c == "text" else F.col(f"kept_{c}")).alias(c) for c in names]
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters whose language is clear."""
+    told = language_id.predict(docs, language_id.fit(docs), keep=tuple(docs.columns))
+    clear = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LANGUAGE_SHARE)
+    return told.filter(clear).select(*_columns(told, docs.columns))
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose lines are rather good than bad."""
+    field = line_crf.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    told = line_crf.predict(docs, field, keep=tuple(docs.columns))
+    return told.filter(F.col("score") >= QUALITY_SCORE).select(*_columns(told, docs.columns))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group; of rows with one doc_id the first by text."""
+    gone = minhash.near_duplicates(docs, SHINGLE_WORDS).filter(~F.col("kept")).select("doc_id").distinct()
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    kept = docs.join(gone, "doc_id", "left_anti").withColumn("rank_of_id", rank)
+    return kept.filter("rank_of_id = 1 or doc_id is null").select(*docs.columns)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the byte strings that occur again elsewhere."""
+    kept = suffix_array.dedup_texts(docs, keep=tuple(c for c in docs.columns if c != "text"))
+    return kept.select(*_columns(kept, docs.columns)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of token ids, each a power of two long."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language", known_language),
+    ("quality", good_quality),
+    ("near-duplicates", without_near_duplicates),
+    ("repeats", without_repeats),
+    ("packing", packed),
+]
 
 # Tokenizers and trained models are beyond SQL; tests hold the rows against a brute-force run.
 ORACLE_SQL = None
