@@ -24,6 +24,7 @@ HEADLINE = (
     "interval_10m interval_hour interval_day interval_week interval_month interval_year line_gap_fill bar_gap_fill "
     "mutator_chain mutator_delta mutator_pct_change gauge_widget pie_widget scatter_widget table_slice_end "
     "table_unsliced table_top_k_choices view_summary retention_kept retention_deleted_counts run_stats query_stats "
+    "store_appends retention_in_place stream_push stream_interval_hour "
     "parse_logs parse_logs_syslog skip_until_logs push_accept push_quarantine counter_rates sample_unpivot"
 ).split()
 

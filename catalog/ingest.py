@@ -11,24 +11,24 @@ from tickloom.functions.timestamps import parse_event_time
 from tickloom.operators import metrics
 from tickloom.sources import logs, push
 
-# Log lines: `SEVERITY | time | module | message`, some malformed, some blank.
+# Log lines: `time #severity# module -> message`, some malformed, some blank.
 SEVERITY = {"click": "debug", "view": "Info", "signup": "WARNING", "purchase": "ERROR", "error": "CRITICAL"}
 LOG_CONFIG = {
-    "log_pattern": r"^(\w+)\s*\|\s*(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2},\d{3})\s*\|\s*([^|]+)\s*\|\s*(.+)$",
-    "timestamp_format": "%Y-%m-%d %H:%M:%S,%f",
-    "timestamp_group_index": 2,
-    "severity_group_index": 1,
+    "log_pattern": r"([-0-9]+T[0-9:.]+) #([A-Za-z]+)# (mod[0-9]) -> (.*)",
+    "timestamp_format": "%Y-%m-%dT%H:%M:%S.%f",
+    "timestamp_group_index": 1,
+    "severity_group_index": 2,
     "content_group_index": 4,
 }
 _SEVERITY_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SEVERITY.items()) + " END"
 LOG_SQL = f"""(SELECT event_id, ts, event_id // 1000 AS file, CASE WHEN event_id % 70 = 0 THEN '   '
-    WHEN event_id % 50 = 0 THEN 'Traceback (most recent call last)'
-    ELSE '  ' || {_SEVERITY_SQL} || ' | ' || strftime(ts, '%Y-%m-%d %H:%M:%S,%g') || ' | mod' || CAST(user_id % 10 AS VARCHAR)
-        || ' | user ' || CAST(user_id AS VARCHAR) || ' did ' || event_type || ' for ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)
+    WHEN event_id % 50 = 0 THEN 'a line of another layout'
+    ELSE '  ' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || ' #' || {_SEVERITY_SQL} || '# mod' || CAST(user_id % 10 AS VARCHAR)
+        || ' -> user ' || CAST(user_id AS VARCHAR) || ' did ' || event_type || ' for ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)
         || CASE WHEN event_id % 9 = 0 THEN ' units' ELSE '' END || '  ' END AS line FROM events)"""
 GOOD = "event_id % 70 <> 0 AND event_id % 50 <> 0"
-PARSED_SQL = f"""(SELECT event_id, 'log_message' AS name, CAST(1 AS DOUBLE) AS value, upper(regexp_extract(trim(line), '^(\\w+)', 1)) AS tag,
-    regexp_extract(trim(line), '\\| ([^|]+)$', 1) AS additional_info, date_trunc('millisecond', ts) AS "timestamp", line
+PARSED_SQL = f"""(SELECT event_id, 'log_message' AS name, CAST(1 AS DOUBLE) AS value, upper(regexp_extract(line, '#(\\w+)#', 1)) AS tag,
+    regexp_extract(trim(line), '-> (.+)$', 1) AS additional_info, date_trunc('millisecond', ts) AS "timestamp", line
     FROM {LOG_SQL} WHERE {GOOD})"""
 LOG_COLUMNS = ["event_id", "name", "value", "tag", "additional_info", "timestamp"]
 
@@ -47,11 +47,11 @@ def log_lines(df):
         F.when(F.col("event_id") % 9 == 0, F.lit(" units")).otherwise(F.lit("")),
     )
     module = F.concat(F.lit("mod"), (F.col("user_id") % 10).cast("string"))
-    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS")
-    full = F.concat(F.lit("  "), F.concat_ws(" | ", severity, stamp, module, message), F.lit("  "))
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    full = F.concat(F.lit("  "), stamp, F.lit(" #"), severity, F.lit("# "), module, F.lit(" -> "), message, F.lit("  "))
     line = (
         F.when(F.col("event_id") % 70 == 0, F.lit("   "))
-        .when(F.col("event_id") % 50 == 0, F.lit("Traceback (most recent call last)"))
+        .when(F.col("event_id") % 50 == 0, F.lit("a line of another layout"))
         .otherwise(full)
     )
     file = F.floor(F.col("event_id") / 1000).cast("long")
@@ -79,7 +79,7 @@ def parse_logs_filtered(spark, sf):
     regexp_extract(line, 'did (\\w+)', 1) AS additional_info, "timestamp" FROM {PARSED_SQL} WHERE event_id % 9 <> 0""")
 def parse_logs_value(spark, sf):
     """Value read from the line; lines where it is no number are dropped."""
-    pattern = r"(?P<level>\w+) \| ([^|]+) \| mod\d \| user \d+ did (\w+) for (.+)"
+    pattern = r"(\S+) #(?P<level>\w+)# \w+ -> user \d+ did (\w+) for (.+)"
     config = LOG_CONFIG | {"log_pattern": pattern, "content_group_index": 3, "value_group_index": 4}
     return _parse(log_lines(raw_events(spark, sf)), config)
 
@@ -89,9 +89,9 @@ def parse_logs_value(spark, sf):
 def parse_logs_syslog(spark, sf):
     """Times without a year take the year of `as_of`."""
     text = F.concat(
-        F.date_format("ts", "MMM d HH:mm:ss"), F.lit(" warning "), "event_type", F.lit(" by "), F.col("user_id").cast("string")
+        F.date_format("ts", "MMM d HH:mm:ss"), F.lit(" <warning> "), "event_type", F.lit(" by "), F.col("user_id").cast("string")
     )
-    config = {"log_pattern": r"^(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\w+)\s+(.+)$", "timestamp_format": "%b %d %H:%M:%S"}
+    config = {"log_pattern": r"([A-Z][a-z]+ +[0-9]+ [0-9:]+) <([a-z]+)> (.+)", "timestamp_format": "%b %d %H:%M:%S"}
     return _parse(raw_events(spark, sf).select("event_id", text.alias("line")), config)
 
 
@@ -116,6 +116,16 @@ def skip_until_logs(spark, sf):
     return _parse(log_lines(raw_events(spark, sf)), LOG_CONFIG | {"skip_until": "mod5 .*purchase"})
 
 
+@query(f"""SELECT event_id, 'log_message' AS name, CAST(1 AS DOUBLE) AS value, upper(regexp_extract(line, '#(\\w+)#', 1)) AS tag,
+    regexp_extract(trim(line), '-> (.+)$', 1) AS additional_info, date_trunc('millisecond', ts) AS "timestamp"
+    FROM {LOG_SQL} WHERE {GOOD} AND NOT contains(line, '#Info#')""")
+def parse_logs_optional_group(spark, sf):
+    """Lines whose severity is not there are dropped, not kept without one."""
+    lines = log_lines(raw_events(spark, sf)).withColumn("line", F.regexp_replace("line", "#Info# ", ""))
+    config = LOG_CONFIG | {"log_pattern": r"(\S+T\S+) (?:#(\w+)# )?(mod\d) -> (.*)"}
+    return _parse(lines, config)
+
+
 # Pushed documents: ten events each. Some events and some bodies are faulty.
 BAD_ITEMS = {
     0: ('{"value": 1}', "missing required 'name' field (string)"),

@@ -8,6 +8,7 @@ from catalog.base import APP, APP_NOW, EVERYTHING, USER, app, everything, mean_s
 from tickloom.operators import retention, stats
 from tickloom.session import fresh_dir
 from tickloom.sources import event_store
+from tickloom.sources.collectors import Collector, run_collectors
 
 RULES = [
     retention.RetentionRule.parse(r)
@@ -60,6 +61,36 @@ def retention_copy(spark, sf):
     return event_store.read_events(spark, target)
 
 
+@query(f"SELECT count(*) AS n, CAST(2 AS BIGINT) AS refused FROM {USER}")
+def retention_refused(spark, sf):
+    """Rules without a name or an age are refused as a whole, before anything is deleted."""
+    path, refused = fresh_dir(spark, "store"), 0
+    event_store.append_events(user(spark, sf), path)
+    good = retention.RetentionRule.parse({"event_name": "user_click", "max_age_days": 1})
+    for bad in (retention.RetentionRule("", 1), retention.RetentionRule("user_view", None)):
+        try:
+            event_store.apply_retention(spark, path, [good, bad], APP_NOW)
+        except ValueError:
+            refused += 1
+    return event_store.read_events(spark, path).agg(F.count("*").alias("n"), F.lit(refused).cast("long").alias("refused"))
+
+
+def _collect_users(spark, config, cursor):
+    rows = user(spark, config["folder"]).withColumn("name", F.when(F.col("event_id") % 9 != 0, F.col("name")).otherwise(""))
+    ready = rows.where(F.col("timestamp") < F.lit(config["until"]).cast("timestamp"))
+    return ready if cursor is None else ready.where(F.col("timestamp") > F.lit(cursor))
+
+
+@query(f"""SELECT name, value, tag, additional_info, "timestamp" FROM {USER} WHERE event_id % 9 <> 0""")
+def collector_runs(spark, sf):
+    """A collector run twice: the second run goes on behind the cursor of the first."""
+    store, cursors, log = (fresh_dir(spark, x) for x in ("store", "cursors", "runs"))
+    for until in ("2024-01-15", "2025-01-01"):
+        collector = Collector("users", _collect_users, {"folder": sf, "until": until})
+        run_collectors(spark, [collector], store, cursors, log, APP_NOW)
+    return event_store.read_events(spark, store).drop("event_id")
+
+
 @query("""SELECT event_type AS module, CAST(user_id % 3 AS VARCHAR) AS unique_id, count(*) AS runs_count,
     count(*) FILTER (event_id % 11 = 0) AS errors_count,
     CAST(coalesce(sum(user_id) FILTER (event_id % 11 <> 0), 0) AS BIGINT) AS collected_events,

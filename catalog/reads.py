@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from catalog.base import (
     APP,
@@ -87,11 +87,10 @@ def event_name_counts(spark, sf):
 @query(f"""SELECT *, row_number() OVER (ORDER BY "timestamp", event_id) AS row_index FROM
     (SELECT * FROM {ORDER} ORDER BY "timestamp" DESC, event_id DESC LIMIT 10000)""")
 def raw_event_page(spark, sf):
-    return retrieve.raw_event_page(order(spark, sf), "order")
+    return retrieve.raw_event_page(order(spark, sf), "order", 10_000)
 
 
-@query(f"""SELECT * FROM {USER} WHERE name = 'user_view' AND "timestamp" >= TIMESTAMP '2024-01-01 00:00:00'
-    ORDER BY "timestamp" DESC, event_id DESC LIMIT 1000""")
+@query(f"""SELECT * FROM {USER} WHERE name = 'user_view'""")
 def source_defaults(spark, sf):
     source = SourceSpec.parse({"id": "picked", "event": "user_{event_name_param}"})
     return source.to_df(user(spark, sf), APP_NOW, {"event_name_param": "view"})
@@ -162,6 +161,29 @@ def store_appends(spark, sf):
     return stored.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@query("""SELECT 2 * count(*) + 2 AS n, 2 * count(*) + 2 AS ids, true AS growing FROM events""")
+def store_ids(spark, sf):
+    """Writes of tables and of single events get ids of their own that grow from write to write."""
+    path = fresh_dir(spark, "store")
+    for _ in range(2):
+        event_store.append_events(user(spark, sf), path, new_ids=True)
+        event_store.append_event(spark, path, "single", APP_NOW)
+    rows = event_store.read_partitions(spark, path)
+    writes = rows.groupBy("write").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), F.min("event_id").alias("low"), F.max("event_id").alias("high"))
+    before = F.lag("high").over(Window.orderBy("write"))  # four rows
+    growing = F.coalesce(F.col("low") > before, F.lit(True))
+    return writes.withColumn("growing", growing).agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"), F.min("growing").alias("growing"))
+
+
+@query("""SELECT event_type AS name, CAST(count(*) AS DOUBLE) AS value, 'total' AS tag, CAST(NULL AS VARCHAR) AS additional_info,
+    TIMESTAMP '2024-01-31 00:00:00' AS "timestamp" FROM events GROUP BY 1""")
+def store_single_events(spark, sf):
+    path = fresh_dir(spark, "store")
+    for r in raw_events(spark, sf).groupBy("event_type").count().collect():  # a handful of types
+        event_store.append_event(spark, path, r.event_type, APP_NOW, r["count"], "total")
+    return event_store.read_events(spark, path).drop("event_id")
+
+
 @query(f"SELECT * FROM {APP}")
 def export_records(spark, sf):
     path = fresh_dir(spark, "export")

@@ -25,7 +25,9 @@ from catalog.ingest import (
     log_lines,
     push_requests,
 )
+from tickloom.operators.retention import RetentionRule
 from tickloom.session import fresh_dir
+from tickloom.sources import event_store
 from tickloom.streaming import ingest, live
 
 
@@ -62,38 +64,81 @@ def stream_latest_by_tag(spark, sf):
     return live.read_latest_by_tag(spark, target)
 
 
+@query(_live_sql("hour", mean_sql("avg(value)")))
+def stream_late_events(spark, sf):
+    """Events of any age count, whatever batch they come with; done batches are merged in between."""
+    inbox, target, checkpoint = (fresh_dir(spark, x) for x in ("inbox", "live", "checkpoint"))
+    rows = app_columns(raw_events(spark, sf))
+    for part in (1, 0, 2, 3):
+        rows.where(F.col("event_id") % 4 == part).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(rows.schema).parquet(inbox)
+        live.live_intervals(stream, "hour", target, checkpoint).awaitTermination()
+        live.compact_intervals(spark, target, keep=1)
+    return live.read_intervals(spark, target, "hour", "average")
+
+
 def _without_ids(sql: str) -> str:
     return f'SELECT name, value, tag, additional_info, "timestamp" FROM ({sql})'
 
 
-@query(_without_ids(f"{ACCEPTED_SQL} FROM {JUDGED_SQL} WHERE body_error IS NULL AND faults = 0"))
-def stream_push(spark, sf):
-    inbox, target = fresh_dir(spark, "inbox"), fresh_dir(spark, "accepted")
+def _pushed(spark, sf, store):
+    inbox = fresh_dir(spark, "inbox")
     push_requests(raw_events(spark, sf)).select("body").write.text(inbox)
     stream = ingest.text_stream(spark, inbox, files_per_batch=4)
     quarantine, checkpoint = fresh_dir(spark, "quarantine"), fresh_dir(spark, "checkpoint")
-    ingest.push_stream(stream, target, quarantine, checkpoint, APP_NOW).awaitTermination()
-    return ingest.landed_events(spark, target).drop("event_id")
+    ingest.push_stream(stream, store, quarantine, checkpoint, APP_NOW).awaitTermination()
 
 
-@query(_without_ids(f"SELECT * FROM {PARSED_SQL}"))
-def stream_log_tail(spark, sf):
-    inbox, target = fresh_dir(spark, "inbox"), fresh_dir(spark, "landed")
+def _tailed(spark, sf, store):
+    inbox = fresh_dir(spark, "inbox")
     log_lines(raw_events(spark, sf)).select("line").repartition(4).write.text(inbox)
     stream = ingest.text_stream(spark, inbox, files_per_batch=2)
-    ingest.tail_logs(stream, LOG_CONFIG, target, fresh_dir(spark, "checkpoint"), APP_NOW).awaitTermination()
-    return ingest.landed_events(spark, target).drop("event_id")
+    ingest.tail_logs(stream, LOG_CONFIG, store, fresh_dir(spark, "checkpoint"), APP_NOW).awaitTermination()
+
+
+PUSHED_SQL = f"{ACCEPTED_SQL} FROM {JUDGED_SQL} WHERE body_error IS NULL AND faults = 0"
+
+
+@query(_without_ids(PUSHED_SQL))
+def stream_push(spark, sf):
+    store = fresh_dir(spark, "store")
+    _pushed(spark, sf, store)
+    return event_store.read_events(spark, store).drop("event_id")
+
+
+@query(_without_ids(f"SELECT * FROM {PARSED_SQL}"))
+def stream_log_tail(spark, sf):
+    store = fresh_dir(spark, "store")
+    _tailed(spark, sf, store)
+    return event_store.read_events(spark, store).drop("event_id")
+
+
+@query(f"""SELECT n, n AS ids FROM (SELECT (SELECT count(*) FROM ({PUSHED_SQL})) + (SELECT count(*) FROM {PARSED_SQL}) AS n)""")
+def stream_ids(spark, sf):
+    """Two streams into one event table: no id is given twice."""
+    store = fresh_dir(spark, "store")
+    _pushed(spark, sf, store)
+    _tailed(spark, sf, store)
+    ids = event_store.read_events(spark, store)
+    return ids.agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
+
+
+@query(_without_ids(f"""SELECT * FROM {PARSED_SQL} WHERE "timestamp" >= TIMESTAMP '2024-01-21 00:00:00'"""))
+def stream_retention(spark, sf):
+    """Retention works on what a stream has written."""
+    store = fresh_dir(spark, "store")
+    _tailed(spark, sf, store)
+    event_store.apply_retention(spark, store, [RetentionRule.parse({"event_name": "log_message", "max_age_days": 10})], APP_NOW)
+    return event_store.read_events(spark, store).drop("event_id")
 
 
 @query(_rates_sql("true"))
 def stream_counter_rate(spark, sf):
-    """Samples arrive as a range of files in time order, a few per batch."""
-    inbox, target, carry = fresh_dir(spark, "inbox"), fresh_dir(spark, "rates"), fresh_dir(spark, "carry")
+    """Samples arrive out of order, dealt to batches by id."""
+    inbox, target, checkpoint = (fresh_dir(spark, x) for x in ("inbox", "rates", "checkpoint"))
     samples = counter_samples(raw_events(spark, sf))
-    late, early = samples.where("timestamp >= '2024-01-16'"), samples.where("timestamp < '2024-01-16'")
-    checkpoint = fresh_dir(spark, "checkpoint")
-    for part in (early, late):
-        part.write.mode("append").parquet(inbox)
+    for part in (2, 0, 1):
+        samples.where(F.col("event_id") % 3 == part).write.mode("append").parquet(inbox)
         stream = spark.readStream.schema(samples.schema).parquet(inbox)
-        live.live_counter_rates(stream, target, carry, checkpoint).awaitTermination()
+        live.live_counter_rates(stream, target, checkpoint).awaitTermination()
     return live.read_rates(spark, target).withColumn("value", F.col("value").cast("long"))

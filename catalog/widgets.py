@@ -34,7 +34,7 @@ MONITOR = {
     "default_time_aggregation": "day",
     "data": [
         {"id": "all", "event": "app_event", **UNLIMITED},
-        {"id": "recent", "event": "app_event", "max_age_days": 14},
+        {"id": "every", "event": "app_event"},
     ],
     "widgets": [
         {
@@ -56,7 +56,7 @@ MONITOR = {
         {
             "title": "Daily mean",
             "type": "line_graph",
-            "data_sources": [{"id": "recent", "tags": ["click", "view"]}, "recent"],
+            "data_sources": [{"id": "every", "tags": ["click", "view"]}, "every"],
             "time_aggregation": {"starting_value": "page_default", "aggregation_function": "average"},
         },
         {
@@ -78,7 +78,7 @@ MONITOR = {
         {
             "title": "Latest",
             "type": "table",
-            "data_sources": ["recent"],
+            "data_sources": ["every"],
             "max_rows": 50,
             "slice_from": "end",
             "filters": [{"field": "kind"}, {"field": "reading", "choices": 5}, {"field": "no such column"}],
@@ -97,8 +97,6 @@ MONITOR = {
         {"title": "Text", "type": "html_box", "html_content": "<p>text</p>"},
     ],
 }
-RECENT = f"""(SELECT * FROM {APP} WHERE "timestamp" >= TIMESTAMP '2024-01-17 00:00:00'
-    ORDER BY "timestamp" DESC, event_id DESC LIMIT 1000)"""
 
 
 def _monitor(spark, sf, title, **kwargs):
@@ -120,6 +118,13 @@ def gauge_zones(spark, sf):
     return ship(spark, sf).groupBy("tag", zone.alias("zone")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""SELECT CASE WHEN value <= 30 THEN '#67e0e3' WHEN value <= 70 THEN '#37a2da' ELSE '#fd666d' END AS zone, count(*) AS n
+    FROM {APP} GROUP BY 1""")
+def gauge_default_zones(spark, sf):
+    zone = charts.gauge_zone(F.col("value")).alias("zone")
+    return app(spark, sf).groupBy(zone).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"SELECT max(value) - min(value) AS value FROM {APP}")
 def counter_widget(spark, sf):
     return _monitor(spark, sf, "Spread")
@@ -132,11 +137,11 @@ def counter_widget_range(spark, sf):
 
 
 @query(f"""SELECT s.series_idx, s."timestamp", v.value FROM (SELECT i.series_idx, t."timestamp" FROM
-        (SELECT unnest(generate_series(TIMESTAMP '2024-01-17 00:00:00', TIMESTAMP '2024-01-31 00:00:00', INTERVAL '1 day'))
+        (SELECT unnest(generate_series((SELECT CAST(date_trunc('day', min("timestamp")) AS TIMESTAMP) FROM {APP}), TIMESTAMP '2024-01-31 00:00:00', INTERVAL '1 day'))
         AS "timestamp") t, (VALUES (0), (1)) i(series_idx)) s LEFT JOIN
     (SELECT 0 AS series_idx, CAST(date_trunc('day', "timestamp") AS TIMESTAMP) AS b, {mean_sql("avg(value)")} AS value
-        FROM {RECENT} WHERE tag IN ('click', 'view') GROUP BY 1, 2 UNION ALL
-     SELECT 1, CAST(date_trunc('day', "timestamp") AS TIMESTAMP), {mean_sql("avg(value)")} FROM {RECENT} GROUP BY 1, 2) v
+        FROM {APP} WHERE tag IN ('click', 'view') GROUP BY 1, 2 UNION ALL
+     SELECT 1, CAST(date_trunc('day', "timestamp") AS TIMESTAMP), {mean_sql("avg(value)")} FROM {APP} GROUP BY 1, 2) v
     ON s.series_idx = v.series_idx AND s."timestamp" = v.b""")
 def line_widget(spark, sf):
     return _monitor(spark, sf, "Daily mean")
@@ -151,6 +156,16 @@ def bar_widget(spark, sf):
     return _monitor(spark, sf, "Weekly sums").withColumn("value", F.round("value", 2))
 
 
+@query(f"""SELECT s.series_idx, s."timestamp", coalesce(v.value, 0) AS value FROM (SELECT i.series_idx, t."timestamp" FROM
+        (SELECT unnest(generate_series((SELECT CAST(date_trunc('day', min("timestamp")) AS TIMESTAMP) FROM {APP} WHERE tag = 'error'),
+            TIMESTAMP '2024-01-31 00:00:00', INTERVAL '1 day')) AS "timestamp") t, (VALUES (0), (1)) i(series_idx)) s LEFT JOIN
+    (SELECT 0 AS series_idx, CAST(date_trunc('day', "timestamp") AS TIMESTAMP) AS b, round(sum(value), 2) AS value
+        FROM {APP} WHERE tag = 'error' GROUP BY 1, 2) v ON s.series_idx = v.series_idx AND s."timestamp" = v.b""")
+def bar_widget_chosen_interval(spark, sf):
+    """The reader picks another of the offered intervals."""
+    return _monitor(spark, sf, "Weekly sums", intervals={"Weekly sums": "day"}).withColumn("value", F.round("value", 2))
+
+
 @query(f"""WITH sums AS (SELECT 0 AS series_idx, 'Browsing' AS label, coalesce(sum(value), 0) AS v FROM {APP}
         WHERE tag IN ('click', 'view') UNION ALL
     SELECT 1, 'all [purchase]', coalesce(sum(value), 0) FROM {APP} WHERE tag = 'purchase' UNION ALL
@@ -165,14 +180,14 @@ def pie_widget(spark, sf):
 @query(f"""SELECT row_number() OVER (ORDER BY "timestamp", event_id) AS idx, tag AS kind, value AS reading, {TIME_TEXT} AS "at",
         CASE WHEN tag = 'error' THEN 'table-danger' WHEN value > 100 THEN 'table-warning' ELSE '' END AS row_class,
         row_number() OVER (ORDER BY "timestamp", event_id) AS row_position
-    FROM {RECENT} QUALIFY row_number() OVER (ORDER BY "timestamp" DESC, event_id DESC) <= 50""")
+    FROM {APP} QUALIFY row_number() OVER (ORDER BY "timestamp" DESC, event_id DESC) <= 50""")
 def table_widget(spark, sf):
     return _monitor(spark, sf, "Latest")
 
 
-@query(f"""SELECT 'kind' AS field, tag AS choice FROM (SELECT DISTINCT tag FROM {RECENT}) UNION ALL
+@query(f"""SELECT 'kind' AS field, tag AS choice FROM (SELECT DISTINCT tag FROM {APP}) UNION ALL
     SELECT 'reading', choice FROM (SELECT CASE WHEN value = trunc(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR)
-        ELSE CAST(value AS VARCHAR) END AS choice, count(*) AS n FROM {RECENT} GROUP BY 1 ORDER BY n DESC, choice LIMIT 5)""")
+        ELSE CAST(value AS VARCHAR) END AS choice, count(*) AS n FROM {APP} GROUP BY 1 ORDER BY n DESC, choice LIMIT 5)""")
 def table_widget_choices(spark, sf):
     page = MONITOR | {"widgets": [w for w in MONITOR["widgets"] if w["type"] == "table"]}
     choices = run_view(app(spark, sf), page, APP_NOW).choices
@@ -185,14 +200,14 @@ def table_widget_choices(spark, sf):
     UNION ALL SELECT 'Spread', 'counter', (SELECT count(*) FROM {APP})
     UNION ALL SELECT 'Errors in range', 'counter', (SELECT count(*) FROM {APP} WHERE tag = 'error')
     UNION ALL SELECT 'Daily mean', 'line_graph',
-        (SELECT count(DISTINCT date_trunc('day', "timestamp")) FROM {RECENT} WHERE tag IN ('click', 'view'))
-        + (SELECT count(DISTINCT date_trunc('day', "timestamp")) FROM {RECENT})
+        (SELECT count(DISTINCT date_trunc('day', "timestamp")) FROM {APP} WHERE tag IN ('click', 'view'))
+        + (SELECT count(DISTINCT date_trunc('day', "timestamp")) FROM {APP})
     UNION ALL SELECT 'Weekly sums', 'bar_graph', (SELECT count(DISTINCT date_trunc('week', "timestamp")) FROM {APP} WHERE tag = 'error')
     UNION ALL SELECT 'Shares', 'pie_chart', (SELECT count(*) FROM {APP} WHERE tag IN ('click', 'view', 'purchase'))
-    UNION ALL SELECT 'Latest', 'table', (SELECT count(*) FROM {RECENT}))
+    UNION ALL SELECT 'Latest', 'table', (SELECT count(*) FROM {APP}))
     SELECT 'monitor' AS view_id, title, type, n_rows, n_rows = 0 AS is_empty FROM counts""")
 def view_summary(spark, sf):
-    return run_view(app(spark, sf), MONITOR, APP_NOW, cache=False).summary()
+    return run_view(app(spark, sf), MONITOR, APP_NOW).summary()
 
 
 @query(f"""SELECT CASE WHEN name = 'user_click' THEN 0 ELSE 1 END AS series_idx,
@@ -297,6 +312,49 @@ def table_top_k_choices(spark, sf):
     return tables.filter_choices(user(spark, sf), "additional_info", 20)
 
 
+@query(f"""SELECT choice, (SELECT count(*) FROM {ORDER} WHERE tag = choice) AS n FROM (VALUES ('F'), ('P'), ('5')) c(choice)""")
+def table_listed_choices(spark, sf):
+    """Choices listed by the config, in full, with the rows behind each."""
+    rows = order(spark, sf)
+    offered = tables.filter_choices(rows, "tag", ["F", "P", 5.0])
+    counts = rows.groupBy(F.col("tag").alias("choice")).agg(F.count(F.lit(1)).alias("n"))
+    return offered.join(counts, "choice", "left").select("choice", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"""SELECT series_idx, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT 0 AS series_idx, * FROM {ORDER} UNION ALL
+    SELECT 1, * FROM {ORDER} WHERE tag = 'F' UNION ALL SELECT 2, * FROM {ORDER} WHERE tag IN ('O', 'P') AND additional_info = '1-URGENT')
+    GROUP BY 1""")
+def series_forms(spark, sf):
+    """A series is a name, or an object with one tag or a list, and an info filter."""
+    forms = ["orders", {"id": "orders", "tags": "F"}, {"id": "orders", "tags": ["O", "P"], "additional_info_filter": "1-URGENT"}]
+    rows = series_frame({"orders": order(spark, sf)}, [SeriesSpec.parse(f) for f in forms])
+    return rows.groupBy("series_idx").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query(f"""SELECT e.tag AS state, e.value AS price, row_number() OVER (ORDER BY e.tag, e."timestamp", e.event_id) AS idx FROM {USER} e
+    JOIN (SELECT name, tag, max("timestamp") AS newest FROM {USER} WHERE name = 'user_view' GROUP BY ALL) m
+    ON e.name = m.name AND e.tag = m.tag AND e."timestamp" = m.newest""")
+def latest_per_tag_unsliced(spark, sf):
+    """Without a limit a latest-per-tag table is numbered by tag as well."""
+    view = {
+        "id": "counters",
+        "data": [{"id": "newest", "event": "user_view", "last_unique_by_tag": True}],
+        "widgets": [
+            {
+                "title": "Newest",
+                "type": "table",
+                "data_sources": ["newest"],
+                "table_columns": [
+                    {"title": "state", "event_field": "tag"},
+                    {"title": "price", "event_field": "value"},
+                    {"title": "idx", "event_field": "index"},
+                ],
+            }
+        ],
+    }
+    return run_view(user(spark, sf), view, APP_NOW).widgets["Newest"].select("state", "price", "idx")
+
+
 @query(f"""SELECT tag, count(*) FILTER (value = 7) AS equal_number, count(*) FILTER (value <> 7) AS other_number,
         count(*) FILTER (contains(CAST(CAST(value AS BIGINT) AS VARCHAR), '5')) AS with_five,
         count(*) FILTER (tag = 'N') AS tag_is_n, count(*) FILTER (tag <> 'N') AS tag_not_n,
@@ -355,7 +413,7 @@ def view_info_series(spark, sf):
         "id": "orders",
         "default_event_name_param": "order",
         "event_name_param_choices": [{"value": "order", "label": "Orders"}],
-        "data": [{"id": "picked", "event": "{event_name_param}", "max_results": 0}],
+        "data": [{"id": "picked", "event": "{event_name_param}", "max_age_days": 30}],
         "widgets": [
             {
                 "title": "Largest",

@@ -113,10 +113,21 @@ def test_latest_by_tag_ties(spark):
     assert sorted(r.event_id for r in retrieve.latest_by_tag(frame, "n").collect()) == [1, 2, 3]
     assert sorted(r.event_id for r in retrieve.latest_by_tag(frame, "n", ties="one").collect()) == [2, 3]
     assert [r.event_id for r in retrieve.latest_by_tag(frame, "n", "b").collect()] == [3]
+    assert [r.tag for r in retrieve.latest_by_tag(frame, "n").collect()] == ["a", "a", "b"]
+    assert optimized(retrieve.latest_by_tag(app(spark, "/root/testdata/sf0.001"), "app_event", ties="one")).count("Relation [") == 1
     with pytest.raises(ValueError):
         retrieve.latest_by_tag(frame, "n", ties="some")
 
 
+def test_any_id_breaks_ties(spark):
+    big = 2**63 - 1
+    rows = [(-big - 1, "n", 1.0, "t", None, "2024-01-01"), (big, "n", 2.0, "t", None, "2024-01-01")]
+    rows += [(-big, "n", 3.0, "t", None, "2024-01-01T00:00:00.000001"), (None, "n", 4.0, "t", None, "2024-01-01T00:00:00.000002")]
+    for n, last in ((2, 2.0), (3, 3.0), (4, 4.0)):
+        got = events(spark, rows[:n]).agg(aggregate("last").alias("last"), aggregate("first").alias("first")).first()
+        assert (got["last"], got["first"]) == (last, 1.0)
+
+
 def test_normalize_checks(spark):
     with pytest.raises(ValueError):
         normalize_events(spark.range(1), {"nmae": "id"}, NOW)
@@ -157,8 +168,10 @@ def test_spine_length(spark):
     lengths = {k: time_spine(empty, k, NOW, 3, [0, 1]).count() for k in ("10m", "hour", "day", "week")}
     assert lengths == {"10m": 2 * (3 * 144 + 1), "hour": 2 * 73, "day": 8, "week": 4}
     assert time_spine(empty, "day", NOW, None, [0]).count() == 0
-    with pytest.raises(ValueError):
-        time_spine(empty, "10m", NOW, 100_000, [0])
+    assert time_spine(empty, "10m", NOW, 7000, [0]).count() == 7000 * 144 + 1
+    old = events(spark, [(1, "n", 1.0, None, None, "2001-01-01T00:07:00")]).withColumn("series_idx", F.lit(0))
+    points = time_spine(old, "30m", NOW, None, [0])
+    assert points.count() == points.distinct().count() == (NOW - datetime(2001, 1, 1)).days * 48 + 1
     assert oldest_max_age([None, 0, 14, 30, -1]) == 30
     assert oldest_max_age([None, 0]) is None
 

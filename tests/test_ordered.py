@@ -6,10 +6,11 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 from helpers import plan
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
+from tickloom.functions.mutators import apply_mutators
 from tickloom.operators.metrics import counter_rates
-from tickloom.operators.ordered import number_rows, slice_rows, with_previous
+from tickloom.operators.ordered import number_rows, with_previous
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -24,51 +25,70 @@ def skewed(spark, n=3000):
     return spark.createDataFrame(rows, "event_id long, tag string, value double, timestamp timestamp").repartition(6)
 
 
-def test_previous_matches_plain_window(spark):
+@pytest.fixture(params=[1, 7])
+def parts(spark, request):
+    """How many ranges the rows are cut into."""
+    settings = {"spark.sql.shuffle.partitions": str(request.param), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield request.param
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("depth", [1, 3])
+def test_previous_matches_plain_window(spark, parts, depth):
     frame = skewed(spark)
-    got = with_previous(frame, ["value", "timestamp"], ["tag"], slices=16)
-    plain = with_previous(frame, ["value", "timestamp"], ["tag"], bounded=True)
+    got = with_previous(frame, ["value", "timestamp"], ["tag"], depth=depth)
+    plain = with_previous(frame, ["value", "timestamp"], ["tag"], bounded=True, depth=depth)
+    assert got.columns == plain.columns
     assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
 
 
-def test_previous_without_keys(spark):
+def test_previous_without_keys(spark, parts):
     frame = skewed(spark)
-    got = {r.event_id: r.prev_event_id for r in with_previous(frame, ["event_id"], slices=8).collect()}
+    got = {r.event_id: r.prev_event_id for r in with_previous(frame, ["event_id"]).collect()}
     ordered = [r.event_id for r in frame.orderBy("timestamp", "event_id").collect()]
     assert got == dict(zip(ordered, [None, *ordered], strict=False))
 
 
-def test_slices_stay_small_under_skew(spark):
-    frame = skewed(spark)
-    sizes = slice_rows(frame, slices=32).groupBy("_slice").count().agg(F.max("count")).first()[0]
-    assert sizes <= 2 * 3000 / 32
+def test_previous_behind_very_short_parts(spark, parts):
+    """Parts with fewer rows than are looked back over."""
+    frame = skewed(spark, 9)
+    got = with_previous(frame, ["event_id"], depth=4)
+    plain = with_previous(frame, ["event_id"], bounded=True, depth=4)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
 
 
-def test_slices_follow_the_order(spark):
-    w = Window.orderBy("timestamp", "event_id")
-    sliced = slice_rows(skewed(spark), slices=32)
-    steps = sliced.select((F.col("_slice") - F.lag("_slice").over(w)).alias("step"))
-    assert steps.agg(F.min("step")).first()[0] >= 0
+def test_a_large_key_spans_parts(spark, parts):
+    text = plan(with_previous(skewed(spark), ["value"], ["tag"]))
+    raw = [line for line in text.splitlines() if "Window [lag(value" in line]
+    assert raw and all("_part" in line for line in raw)
 
 
-def test_number_rows(spark):
+def test_number_rows(spark, parts):
     frame = skewed(spark).withColumn("source_pos", F.col("event_id") % 2)
-    got = [r.event_id for r in number_rows(frame, first="source_pos", slices=16).orderBy("row_index").collect()]
-    assert got == [r.event_id for r in frame.orderBy("source_pos", "timestamp", "event_id").collect()]
+    order = ["source_pos", "tag", "timestamp", "event_id"]
+    got = [r.event_id for r in number_rows(frame, order).orderBy("row_index").collect()]
+    assert got == [r.event_id for r in frame.orderBy(*order).collect()]
 
 
-def test_fewer_rows_than_slices(spark):
+def test_few_rows(spark, parts):
     frame = skewed(spark, 5)
-    assert number_rows(frame).orderBy("row_index").first().row_index == 1
+    assert [r.row_index for r in number_rows(frame, ["event_id"]).orderBy("row_index").collect()] == [1, 2, 3, 4, 5]
+    assert number_rows(frame.limit(0), ["event_id"]).count() == 0
     assert with_previous(frame, ["value"]).count() == 5
     assert with_previous(frame.limit(0), ["value"]).count() == 0
 
 
-def test_no_window_runs_on_a_bare_key(spark):
-    """The only window over the key alone sees one row per slice."""
-    text = plan(with_previous(skewed(spark), ["value"], ["tag"]))
-    raw = [line for line in text.splitlines() if "Window [lag(_in_value" in line]
-    assert raw and all("_slice" in line for line in raw)
+def test_a_chain_looks_back_once(spark):
+    chain = [{"operation": o} for o in ("to_delta", "absolute", "to_delta", "to_percentage_change")]
+    frame = skewed(spark)
+    got = apply_mutators(frame, chain, ["tag"])
+    assert plan(got).count("Window [lag(") == 1
+    plain = apply_mutators(frame, chain, ["tag"], bounded=True)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
 
 
 def test_rates_of_a_reset_counter(spark):

@@ -5,8 +5,10 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
-from helpers import events, values
+from helpers import events, optimized, plan, values
+from pyspark.sql import functions as F
 
+from catalog.base import app
 from tickloom.functions.mutators import apply_mutators
 from tickloom.plans.specs import SeriesSpec, SourceSpec, TimeAggregation, ViewSpec, WidgetSpec
 from tickloom.plans.view import run_view
@@ -14,8 +16,8 @@ from tickloom.plans.view import run_view
 
 def test_source_defaults():
     source = SourceSpec.parse({"id": "s", "event": "e", "tags": None})
-    assert (source.max_age_days, source.max_results, source.tags, source.last_unique_by_tag) == (30, 1000, (), False)
-    assert SourceSpec.parse({"id": "s", "event": "e", "max_results": 0}).capped is False
+    assert (source.max_age_days, source.max_results, source.tags, source.last_unique_by_tag) == (0, 0, (), False)
+    assert SourceSpec.parse({"id": "s", "event": "e", "max_results": 7, "max_age_days": 2}).max_results == 7
     for broken in ({"id": "s"}, {"event": "e"}):
         with pytest.raises(ValueError):
             SourceSpec.parse(broken)
@@ -100,15 +102,33 @@ def view(*widgets, **source):
     return {"id": "v", "data": [{"id": "cpu", "event": "cpu", **source}], "widgets": list(widgets)}
 
 
-def test_view_caches_only_capped_shared_sources(spark):
+def test_shared_sources(spark):
     counters = [{"type": "counter", "title": "c", "data_sources": ["cpu"], "counter_type": "max"}] * 2
-    result = run_view(events(spark, ROWS), view(*counters), NOW)
-    assert list(result.widgets) == ["c", "c (2)"]
-    assert len(result._held) == 1 and result._held[0].is_cached
-    assert values(result.widgets["c (2)"], "value") == [(30.0,)]
-    result.release()
-    assert not result._held[0].is_cached
-    assert run_view(events(spark, ROWS), view(*counters, max_results=0), NOW)._held == []
+    for share in (False, True):
+        result = run_view(events(spark, ROWS), view(*counters), NOW, share=share)
+        assert list(result.widgets) == ["c", "c (2)"]
+        assert values(result.widgets["c (2)"], "value") == [(30.0,)]
+        assert ("FileScan" in plan(result.widgets["c"])) is share
+
+
+def test_a_source_covers_everything_unless_limited(spark):
+    old = [(i, "cpu", 1.0, "a", None, f"20{i % 24:02d}-01-01T00:00:00") for i in range(1500)]
+    counter = {"type": "counter", "title": "c", "data_sources": ["cpu"], "counter_type": "count"}
+    table = {"type": "table", "title": "t", "data_sources": ["cpu"], "table_columns": [{"title": "#", "event_field": "index"}]}
+    result = run_view(events(spark, old), view(counter, table), NOW)
+    assert result.widgets["c"].first().value == 1500 and result.widgets["t"].count() == 1500
+
+
+def test_the_summary_reads_a_source_once(spark, sf_dir):
+    widgets = [{"type": "counter", "title": f"c{i}", "data_sources": [{"id": "cpu", "tags": [t]}], "counter_type": "max"} for i, t in enumerate(("click", "view"))]
+    widgets.append({"type": "line_graph", "title": "l", "data_sources": ["cpu"], "time_aggregation": {"starting_value": "day"}})
+    page = {"id": "v", "data": [{"id": "cpu", "event": "app_event"}], "widgets": widgets}
+    summary = run_view(app(spark, sf_dir), page, NOW).summary()
+    assert optimized(summary).count("Relation [") == 1
+    frame = app(spark, sf_dir)
+    days = frame.select(F.to_date("timestamp")).distinct().count()
+    expected = {f"c{i}": frame.where(F.col("tag") == t).count() for i, t in enumerate(("click", "view"))} | {"l": days}
+    assert {r.title: r.n_rows for r in summary.collect()} == expected
 
 
 def test_row_cap_and_age_shape_the_numbers(spark):
@@ -146,4 +166,3 @@ def test_empty_sources(spark):
     assert [(r.value, r.total, r.share) for r in result.widgets["p"].collect()] == [(0.0, 0.0, None)] * 2
     assert [r.value for r in result.widgets["l"].collect()] == [None] * 3
     assert all(r.is_empty for r in result.summary().collect())
-    result.release()

@@ -48,13 +48,6 @@ def step(interval: str) -> Column:
     return F.expr(_STEP[check_interval(interval)])
 
 
-def bucket_count(start: datetime, end: datetime, interval: str) -> int:
-    """Upper bound on the buckets between two moments."""
-    longest = {"day": 86_400, "week": 7 * 86_400, "month": 28 * 86_400, "year": 365 * 86_400}
-    seconds = FIXED_INTERVALS.get(interval) or longest[interval]
-    return int((end - start).total_seconds() // seconds) + 2
-
-
 def days_before(moment: datetime, days: float) -> datetime:
     if moment.tzinfo is None:
         moment = moment.replace(tzinfo=timezone.utc)

@@ -51,6 +51,13 @@ def mutate_value(x: Column, op: str, operand: float | None = None) -> Column:
     raise ValueError(f"unknown mutator operation {op!r}")
 
 
+def mutated(x: Column, mutators: Sequence[Mapping[str, Any]]) -> Column:
+    """A chain of row-wise mutators as one column expression."""
+    for m in mutators:
+        x = mutate_value(x, m["operation"], float(m["value"]) if m["operation"] in WITH_OPERAND else None)
+    return x
+
+
 def change(x: Column, before: Column, op: str) -> Column:
     """Delta or percentage change against the preceding value.
 
@@ -70,17 +77,24 @@ def apply_mutators(
 ) -> DataFrame:
     """Apply the mutators to `value`, series by series (`keys`).
 
-    Runs of row-wise mutators collapse into one projection; each sequential one
-    looks at the preceding row of its series.
+    Row-wise mutators are one projection. All sequential ones share a single
+    look at the preceding rows: n of them need the value and the n before it,
+    and each turns neighbours into one result.
     """
     check_mutators(mutators)
+    depth = sum(m["operation"] in SEQUENTIAL for m in mutators)
+    names = ["value", *(f"_value{j}" for j in range(1, depth + 1))]
+    shape = df.columns
+    if depth:
+        df = with_previous(df, ["value"], keys, tie=tie, bounded=bounded, depth=depth)
+        df = df.withColumnsRenamed({f"prev{j if j > 1 else ''}_value": f"_value{j}" for j in range(1, depth + 1)})
     for m in mutators:
         op = m["operation"]
         if op in SEQUENTIAL:
-            df = with_previous(df, ["value"], keys, tie=tie, bounded=bounded)
-            changed = change(F.col("value"), F.col("prev_value"), op)
-            df = df.withColumn("value", changed).drop("prev_value")
+            changed = {a: change(F.col(a), F.col(b), op) for a, b in zip(names, names[1:], strict=False)}
+            names = names[:-1]
         else:
             operand = float(m["value"]) if op in WITH_OPERAND else None
-            df = df.withColumn("value", mutate_value(F.col("value"), op, operand))
-    return df
+            changed = {a: mutate_value(F.col(a), op, operand) for a in names}
+        df = df.withColumns(changed)
+    return df.select(*shape)

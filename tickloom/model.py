@@ -51,12 +51,14 @@ def order_key(ts: str = "timestamp", tie: str | None = "event_id") -> Column:
     """Chronological position, ties broken by `tie`, as one number.
 
     `max_by` over a struct would force a sort aggregate; a decimal has a
-    fixed-width buffer, so Spark keeps the hash aggregate.
+    fixed-width buffer, so Spark keeps the hash aggregate. Any long is a valid
+    tie, and a missing one comes before all others of its moment.
     """
     if tie is None:
         return F.col(ts)
-    shifted = F.unix_micros(ts).cast("decimal(18,0)") * F.expr("10000000000000000000BD")
-    return shifted + F.col(tie).cast("decimal(19,0)")
+    shifted = F.unix_micros(ts).cast("decimal(18,0)") * F.expr("20000000000000000000BD")
+    place = F.coalesce(F.col(tie).cast("decimal(19,0)") + F.expr("9223372036854775809BD"), F.expr("0BD"))
+    return (shifted + place).cast("decimal(38,0)")
 
 
 def normalize_events(
@@ -102,5 +104,6 @@ def normalize_events(
 
 
 def gate_named(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split collector records into usable ones and ones without a name."""
-    return records.where(F.col("name").isNotNull()), records.where(F.col("name").isNull())
+    """Split collector records into usable ones and ones without a name, null or empty."""
+    has_name = F.coalesce(F.col("name") != "", F.lit(False))
+    return records.where(has_name), records.where(~has_name)

@@ -13,7 +13,7 @@ from tickloom.functions.numbers import leading_number, steady_round
 from tickloom.operators.timeseries import fill_axis, raw_points
 
 # Gauge zones used when a config names none.
-DEFAULT_ZONES = ((0.3, "#67e0e3"), (0.7, "#37a2da"), (1, "#fd666d"))
+DEFAULT_ZONES = ((30, "#67e0e3"), (70, "#37a2da"), (100, "#fd666d"))
 
 
 def scalar_by_series(df: DataFrame, kind: str) -> DataFrame:

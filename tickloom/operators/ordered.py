@@ -1,9 +1,11 @@
 """Order-dependent columns without one task per key.
 
 A window over a key puts all of the key's rows into one task, which fails once
-a single key holds a large share of the table. Here rows are first cut into
-time slices holding about equally many rows each; windows run inside
-(key, slice), and one small row per slice carries values across the borders.
+a single key holds a large share of the table. Here rows are sorted by range
+into as many parts as their size asks for, so a large key spans several parts.
+Windows run inside (part, key), and the few rows in front of a part are handed
+to it as well. The sorted rows are written to the shared scratch folder: parts
+must not change between the steps, and a lost executor costs no second sort.
 """
 
 from __future__ import annotations
@@ -12,56 +14,24 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tickloom.model import order_key
+from tickloom.session import stored
 
-SLICES = 256
+ROW_BITS = 33  # monotonically_increasing_id: the part above, the row within it below
 
 
-def _cuts(x: Column, slices: int) -> Column:
-    """The quantiles that cut `x` into slices."""
-    if slices < 2 or slices & (slices - 1):
-        raise ValueError(f"slices must be a power of two, got {slices}")
-    return F.percentile_approx(x, [i / slices for i in range(1, slices)], 20 * slices)
-
-
-def _with_position(df: DataFrame, name: str, cuts: str, x: Column, slices: int) -> DataFrame:
-    """Add how many cuts are at most x, by binary search.
-
-    One projection per step: they stay in generated code, where a lambda over
-    the cuts would be interpreted. Nothing may join or filter on the result
-    before a shuffle: such a predicate would be pushed down through all steps,
-    doubling at each.
-    """
-    found = F.col(name)
-    df = df.withColumn(name, F.lit(0))
-    for i in range(1, slices.bit_length()):
-        stride = slices >> i
-        further = F.when(F.element_at(F.col(cuts), found + stride) <= x, stride).otherwise(0)
-        df = df.withColumn(name, found + further)
-    return df
-
-
-def slice_rows(df: DataFrame, ts: str = "timestamp", tie: str = "event_id", slices: int = SLICES) -> DataFrame:
-    """Add `_slice`, increasing with (ts, tie), each about 1/slices of the rows.
-
-    The cuts are quantiles of the whole frame (one row, read as a scalar
-    subquery). A moment shared by more than one slice's worth of rows shows up
-    as a repeated cut; its rows are cut again by `tie`.
-    """
-    us = F.unix_micros(ts)
-    tied = F.col(tie).cast("long")
-    cuts = df.agg(F.struct(_cuts(us, slices).alias("ts"), _cuts(tied, slices).alias("tie"))).scalar()
-    placed = df.select("*", cuts.alias("_cuts"), us.alias("_us"))
-    placed = _with_position(placed, "_at", "_cuts.ts", F.col("_us"), slices)
-    before = F.element_at("_cuts.ts", F.greatest(F.col("_at") - 1, F.lit(1)))
-    crowded = (F.col("_at") > 1) & (before == F.col("_us"))
-    # Only rows of a crowded moment look for their place among the ties.
-    placed = placed.withColumn("_tie", F.when(crowded, tied))
-    placed = _with_position(placed, "_within", "_cuts.tie", F.col("_tie"), slices)
-    within = F.when(F.col("_tie").isNull(), slices).otherwise(F.col("_within"))
-    # Rows without a time come first, as they do when sorting.
-    place = F.when(F.col("_us").isNull(), -1).otherwise(F.col("_at") * (slices + 1) + within)
-    return placed.select(*df.columns, place.alias("_slice"))
+def _placed(df: DataFrame, order: Sequence[str | Column]) -> tuple[DataFrame, DataFrame]:
+    """Rows in order with `_part`, `_row` (in the part, from 0), `_size` and
+    `_start` (rows in all parts before); and the parts, one row each."""
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stored(ordered.withColumn("_place", F.monotonically_increasing_id()), "ordered")
+    rows = rows.withColumns(
+        {"_part": F.shiftright("_place", ROW_BITS), "_row": F.col("_place").bitwiseAND((1 << ROW_BITS) - 1)}
+    ).drop("_place")
+    parts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    # One row per part of the sort, however large the frame is.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    return rows.join(F.broadcast(parts), "_part"), parts
 
 
 def with_previous(
@@ -71,58 +41,34 @@ def with_previous(
     ts: str = "timestamp",
     tie: str | None = "event_id",
     bounded: bool = False,
-    slices: int = SLICES,
-) -> DataFrame:
-    """Add `prev_<column>`: the column in the preceding row of the same key.
-
-    `bounded=True` says the rows per key are few for another reason (bucketed
-    or capped by a limit); then one window per key is the cheaper plan.
-    """
-    if bounded or tie is None:
-        by_key = Window.partitionBy(*keys).orderBy(ts) if tie is None else Window.partitionBy(*keys).orderBy(ts, tie)
-        return df.select("*", *[F.lag(c).over(by_key).alias(f"prev_{c}") for c in columns])
-
-    sliced = slice_rows(df, ts, tie, slices)
-    latest = order_key(ts, tie)
-    ends = sliced.groupBy(*keys, "_slice").agg(*[F.max_by(c, latest).alias(c) for c in columns])
-    # One row per key and slice: few per key, however many rows the key has.
-    across = Window.partitionBy(*keys).orderBy("_slice")
-    heads = ends.select(*keys, "_slice", *[F.lag(c).over(across).alias(f"_in_{c}") for c in columns])
-    rows = sliced.select(
-        "*", *[F.col(c).alias(f"_in_{c}") for c in columns], F.lit(1).alias("_is_row")
-    ).unionByName(heads.withColumn("_is_row", F.lit(0)), allowMissingColumns=True)
-    inside = Window.partitionBy(*keys, "_slice").orderBy("_is_row", ts, tie)
-    previous = [F.lag(f"_in_{c}").over(inside).alias(f"prev_{c}") for c in columns]
-    names = [f"prev_{c}" for c in columns]
-    return rows.select("*", *previous).where(F.col("_is_row") == 1).select(*df.columns, *names)
-
-
-def number_rows(
-    df: DataFrame,
-    name: str = "row_index",
-    ts: str = "timestamp",
-    tie: str = "event_id",
-    first: str | None = None,
-    slices: int = SLICES,
+    depth: int = 1,
 ) -> DataFrame:
-    """Add the 1-based position of every row in (first, ts, tie) order.
+    """Add `prev_<column>`: the column in the preceding row of the same key, and
+    up to `depth` rows back as `prev2_<column>` and so on.
 
-    Rows are numbered inside their slice and shifted by the size of all earlier
-    slices. `first` names an outer ordering column with few distinct values,
-    such as a source position.
+    `bounded=True` says the rows per key are few for another reason (they are
+    time buckets); then one window per key is the cheaper plan.
     """
-    outer = [first] if first else []
-    sliced = slice_rows(df, ts, tie, slices)
-    place = [*outer, "_slice"]
-    sizes = sliced.groupBy(*place).agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
-    # At most (slices + 1)^2 rows per outer value, however large the frame is.
-    heads = sizes.select(*place, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
-    rows = sliced.withColumn("_is_row", F.lit(1)).unionByName(
-        heads.withColumn("_is_row", F.lit(0)), allowMissingColumns=True
-    )
-    # The head of a slice comes first and hands its shift to the rows behind it.
-    inside = Window.partitionBy(*place).orderBy("_is_row", ts, tie)
-    number = F.row_number().over(inside) - 1 + F.first("_shift").over(inside)
-    numbered = rows.select("*", number.alias("_number")).where(F.col("_is_row") == 1)
-    return numbered.select(*df.columns, F.col("_number").cast("long").alias(name))
+    order = [*keys, ts] if tie is None else [*keys, ts, tie]
+    names = {(c, j): f"prev_{c}" if j == 1 else f"prev{j}_{c}" for c in columns for j in range(1, depth + 1)}
+    if bounded:
+        by_key = Window.partitionBy(*keys).orderBy(*order[len(keys) :])
+        return df.select("*", *[F.lag(c, j).over(by_key).alias(name) for (c, j), name in names.items()])
+    rows, parts = _placed(df, order)
+    own = rows.withColumns({"_at": F.col("_start") + F.col("_row"), "_is_row": F.lit(1)})
+    # The last rows of a part are handed to the parts that begin close behind them.
+    ends = own.where(F.col("_size") - F.col("_row") <= depth).drop("_part", "_start", "_size")
+    begins = parts.select(F.col("_part"), F.col("_start").alias("_begin"))
+    near = (F.col("_begin") > F.col("_at")) & (F.col("_begin") <= F.col("_at") + depth)
+    heads = ends.join(F.broadcast(begins), near).withColumn("_is_row", F.lit(0))
+    shape = [*df.columns, "_part", "_at", "_is_row"]
+    inside = Window.partitionBy("_part", *keys).orderBy("_at")
+    lags = [F.lag(c, j).over(inside).alias(name) for (c, j), name in names.items()]
+    found = own.select(*shape).unionByName(heads.select(*shape)).select("*", *lags)
+    return found.where(F.col("_is_row") == 1).select(*df.columns, *names.values())
+
+
+def number_rows(df: DataFrame, order: Sequence[str | Column], name: str = "row_index") -> DataFrame:
+    """Add the 1-based position of every row in the given order."""
+    rows, _ = _placed(df, order)
+    return rows.select(*df.columns, (F.col("_start") + F.col("_row") + 1).alias(name))

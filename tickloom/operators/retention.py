@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tickloom.functions.buckets import days_before
-from tickloom.model import instant
+from tickloom.model import micros
 
 
 @dataclass(frozen=True)
@@ -28,16 +28,6 @@ class RetentionRule:
                 raise ValueError(f"invalid retention rule {dict(rule)}: missing {required!r}")
         return cls(rule["event_name"], rule["max_age_days"], rule.get("tag") or None)
 
-    def cutoff(self, as_of: datetime) -> Column:
-        return instant(days_before(as_of, self.max_age_days))
-
-    def expires(self, as_of: datetime) -> Column:
-        """True for events strictly older than the cutoff."""
-        hit = (F.col("name") == self.event_name) & (F.col("timestamp") < self.cutoff(as_of))
-        if self.tag:
-            hit = hit & F.coalesce(F.col("tag") == self.tag, F.lit(False))
-        return hit
-
 
 def check_rules(rules: Sequence[RetentionRule]) -> None:
     """Reject the whole set before anything is written."""
@@ -46,28 +36,32 @@ def check_rules(rules: Sequence[RetentionRule]) -> None:
             raise ValueError(f"invalid retention rule {rule}")
 
 
-def first_matching_rule(rules: Sequence[RetentionRule], as_of: datetime) -> Column:
-    """Index of the rule that deletes a row, NULL for rows that stay.
+def with_rule(df: DataFrame, rules: Sequence[RetentionRule], as_of: datetime, column: str = "_rule") -> DataFrame:
+    """Add the index of the rule that deletes a row, NULL for rows that stay.
 
     Rules run one after the other, so a row counts for the first that hits it.
-    The rules are a short config list: as an expression they need no join.
+    They are a config list and go out as one row per event name, which the
+    events look up; the plan does not grow with their number.
     """
-    index = F.lit(None).cast("int")
-    for i in range(len(rules) - 1, -1, -1):
-        index = F.when(rules[i].expires(as_of), F.lit(i)).otherwise(index)
-    return index
+    check_rules(rules)
+    by_name: dict[str, list[tuple[int, str | None, int]]] = {}
+    for i, r in enumerate(rules):
+        by_name.setdefault(r.event_name, []).append((i, r.tag, micros(days_before(as_of, r.max_age_days))))
+    listed = df.sparkSession.createDataFrame(list(by_name.items()), "_named string, _rules array<struct<idx int, tag string, cutoff long>>")
+    late = F.unix_micros("timestamp")
+    hits = F.filter("_rules", lambda r: (r["tag"].isNull() | F.coalesce(r["tag"] == F.col("tag"), F.lit(False))) & (late < r["cutoff"]))
+    found = df.join(F.broadcast(listed), F.col("name") == F.col("_named"), "left")
+    return found.select(*df.columns, F.try_element_at(hits, F.lit(1))["idx"].alias(column))
 
 
 def retained(df: DataFrame, rules: Sequence[RetentionRule], as_of: datetime) -> DataFrame:
-    check_rules(rules)
-    return df.where(first_matching_rule(rules, as_of).isNull())
+    return with_rule(df, rules, as_of).where(F.col("_rule").isNull()).drop("_rule")
 
 
 def deleted_counts(df: DataFrame, rules: Sequence[RetentionRule], as_of: datetime) -> DataFrame:
     """Deleted events per rule, in one scan; rules that hit nothing count 0."""
-    check_rules(rules)
     hits = (
-        df.withColumn("rule_idx", first_matching_rule(rules, as_of))
+        with_rule(df, rules, as_of, "rule_idx")
         .where(F.col("rule_idx").isNotNull())
         .groupBy("rule_idx")
         .agg(F.count(F.lit(1)).alias("hits"))

@@ -5,14 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.buckets import days_before
 from tickloom.model import Instant, instant, order_key
 
-RAW_PAGE_ROWS = 10_000  # fixed value: rows on one raw event page
-BROADCAST_TAGS = 10_000  # tag lists up to this length bound a broadcast side
-
 Tags = str | Sequence[str] | None
 
 
@@ -43,15 +40,37 @@ def newer_than(df: DataFrame, as_of: datetime, max_age_days: float | None) -> Da
     """Rows at most `max_age_days` old; no restriction unless positive."""
     if not max_age_days or max_age_days <= 0:
         return df
-    return df.where(F.col("timestamp") >= instant(days_before(as_of, max_age_days)))
+    return since(df, days_before(as_of, max_age_days))
+
+
+def since(df: DataFrame, start: Instant) -> DataFrame:
+    """Rows from a moment on. On a frame of the event table that still has its
+    `period` the folders of earlier periods are not opened (a period is a day or
+    a month, named by its first day)."""
+    df = df.where(F.col("timestamp") >= instant(start))
+    if "period" in df.columns:
+        df = df.where(F.col("period") >= F.date_trunc("month", instant(start)).cast("date"))
+    return df
+
+
+def within(start: Instant | None, end: Instant | None) -> Column:
+    """Whether a row lies in the half-open range [start, end)."""
+    holds = F.lit(True)
+    if start is not None:
+        holds = holds & (F.col("timestamp") >= instant(start))
+    if end is not None:
+        holds = holds & (F.col("timestamp") < instant(end))
+    return F.coalesce(holds, F.lit(False))
 
 
 def between(df: DataFrame, start: Instant | None, end: Instant | None) -> DataFrame:
     """Rows in the half-open range [start, end)."""
     if start is not None:
-        df = df.where(F.col("timestamp") >= instant(start))
+        df = since(df, start)
     if end is not None:
         df = df.where(F.col("timestamp") < instant(end))
+        if "period" in df.columns:
+            df = df.where(F.col("period") <= F.to_date(instant(end)))
     return df
 
 
@@ -87,26 +106,23 @@ def get_events(
 
 
 def latest_by_tag(df: DataFrame, name: str, tags: Tags = None, ties: str = "all") -> DataFrame:
-    """The newest event of every tag.
+    """The newest event of every tag, in tag order.
 
-    With `ties="all"` every event at a tag's newest moment is kept, with "one"
-    the highest event_id decides. Newest moments come from a hash aggregate and
-    are joined back, so a tag or moment shared by a third of the rows is still
-    spread over tasks. Rows older than every tag's newest moment are left out
-    before the join; with a tag list the join side is known to be small.
+    With `ties="all"` every event at a tag's newest moment is kept: a hash
+    aggregate finds the moments and a join fetches their events, so a tag or
+    moment shared by a third of the rows is still spread over tasks. With "one"
+    the highest event_id decides, and one aggregate carries the whole event.
     """
     if ties not in ("all", "one"):
         raise ValueError(f"unknown ties {ties!r}")
     rows = with_tags(named(df, name), tags).where(F.col("tag").isNotNull())
-    oldest = rows.groupBy("tag").agg(F.max("timestamp").alias("timestamp")).agg(F.min("timestamp")).scalar()
-    recent = rows.where(F.col("timestamp") >= oldest)
-    place = "timestamp"
     if ties == "one":
-        place, recent = "_order", recent.withColumn("_order", order_key())
-    ends = recent.groupBy("tag").agg(F.max(place).alias(place))
-    if 0 < len(tag_list(tags)) <= BROADCAST_TAGS:
-        ends = F.broadcast(ends)
-    return recent.join(ends, ["tag", place]).select(df.columns)
+        newest_event = F.max_by(F.struct(*df.columns), order_key()).alias("_event")
+        found = rows.groupBy("tag").agg(newest_event).select("_event.*")
+    else:
+        ends = rows.groupBy("tag").agg(F.max("timestamp").alias("timestamp"))
+        found = rows.join(ends, ["tag", "timestamp"]).select(df.columns)
+    return found.orderBy("tag", "timestamp", "event_id")
 
 
 def event_names(df: DataFrame) -> DataFrame:
@@ -117,10 +133,10 @@ def event_name_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("name").agg(F.count(F.lit(1)).alias("count")).orderBy("name")
 
 
-def raw_event_page(df: DataFrame, name: str, limit: int = RAW_PAGE_ROWS) -> DataFrame:
-    """The latest rows of one name with their 1-based row number.
+def raw_event_page(df: DataFrame, name: str, limit: int) -> DataFrame:
+    """The latest `limit` rows of one name with their 1-based row number.
 
-    The numbering window runs over at most `limit` rows.
+    The numbering window runs over that page alone.
     """
     page = get_events(df, name, max_results=limit)
     return page.withColumn("row_index", F.row_number().over(Window.orderBy("timestamp", "event_id")))

@@ -6,11 +6,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickloom.functions.mutators import apply_mutators
+from tickloom.functions.mutators import SEQUENTIAL, apply_mutators, mutated
 from tickloom.plans.specs import SeriesSpec
 
 
-def _belongs(spec: SeriesSpec) -> Column | None:
+def belongs(spec: SeriesSpec) -> Column | None:
     """Membership test of a series; None when it takes every row."""
     tests = []
     if spec.tags:
@@ -28,7 +28,7 @@ def fan_out(df: DataFrame, series: Sequence[tuple[int, SeriesSpec]]) -> DataFram
     One pass over the source however many series it feeds, with no join: the
     memberships are expressions, and their union also filters the scan.
     """
-    tests = [(idx, _belongs(spec)) for idx, spec in series]
+    tests = [(idx, belongs(spec)) for idx, spec in series]
     if len(tests) == 1:
         idx, test = tests[0]
         rows = df if test is None else df.where(test)
@@ -61,18 +61,29 @@ def mutate_series(
     tie: str | None = "event_id",
     bounded: bool = False,
 ) -> DataFrame:
-    """Apply each series' own mutators; series with equal chains share a pass."""
+    """Apply each series' own mutators.
+
+    Row-wise chains of all series are one projection over one pass; only series
+    with sequential steps are read again, once for each distinct chain.
+    """
     chains: dict[str, list[int]] = {}
     for idx, spec in enumerate(series):
         chains.setdefault(repr(spec.mutators), []).append(idx)
     if len(chains) == 1:
         return apply_mutators(df, series[0].mutators, ["series_idx"], tie, bounded)
-    parts = [
-        apply_mutators(
-            df.where(F.col("series_idx").isin(members)), series[members[0]].mutators, ["series_idx"], tie, bounded
-        )
-        for members in chains.values()
-    ]
+    row_wise, sequential = F.col("value"), []
+    for members in chains.values():
+        mutators = series[members[0]].mutators
+        own = F.col("series_idx").isin(members)
+        if any(m["operation"] in SEQUENTIAL for m in mutators):
+            sequential.append((own, mutators))
+        elif mutators:
+            row_wise = F.when(own, mutated(F.col("value"), mutators)).otherwise(row_wise)
+    rest = df
+    for own, _ in sequential:
+        rest = rest.where(~own)
+    parts = [rest.withColumn("value", row_wise)] if len(sequential) < len(chains) else []
+    parts += [apply_mutators(df.where(own), mutators, ["series_idx"], tie, bounded) for own, mutators in sequential]
     frame = parts[0]
     for part in parts[1:]:
         frame = frame.unionByName(part)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.functions.numbers import steady_round
 
@@ -34,6 +38,29 @@ def run_stats(log: DataFrame) -> DataFrame:
     )
 
 
+REQUEST_LOG_SCHEMA = "key string, duration_ms double, failed boolean"
+
+
+def request_key(name: str, **params: object) -> str:
+    """The text that calls with equal parameters share; parameters that are not set are left out."""
+    given = {"name": name, **{k: v for k, v in sorted(params.items()) if v is not None}}
+    return ";".join(f"{k}={v}" for k, v in given.items())
+
+
+@contextmanager
+def recorded_request(spark: SparkSession, path: str, name: str, **params: object) -> Iterator[None]:
+    """Append the block's call to the request log that `query_stats` reads. A call
+    that raises is recorded as failed, and raises."""
+    began, failed = time.monotonic(), True
+    try:
+        yield
+        failed = False
+    finally:
+        took = (time.monotonic() - began) * 1000
+        row = spark.createDataFrame([(request_key(name, **params), took, failed)], REQUEST_LOG_SCHEMA)
+        row.coalesce(1).write.mode("append").parquet(path)
+
+
 def query_stats(log: DataFrame) -> DataFrame:
     """Per request key: calls, errors, mean and longest time of successful calls."""
     ok = ~F.col("failed")

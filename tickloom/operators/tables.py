@@ -13,6 +13,7 @@ from tickloom.operators.ordered import number_rows
 
 # Event fields a table column may show.
 EVENT_FIELDS = ("value", "tag", "time", "additional_info", "event_name", "index")
+ROW_ORDER = ("source_pos", "tag_place", "timestamp", "event_id")
 
 
 def time_text(ts: Column) -> Column:
@@ -62,18 +63,18 @@ def sliced(rows: DataFrame, max_rows: int | None, slice_from: str = "start") ->
     """The first or last `max_rows` rows with their position among all rows.
 
     Numbering happens on the slice: from the front it counts up, from the end
-    it counts down from the total. Without a limit all rows are numbered slice
-    by slice, in time order within each source.
+    it counts down from the total. Without a limit all rows are numbered, range
+    by range. The order is that of the sources, in a latest-per-tag source by
+    tag, then by time.
     """
     if not max_rows:
-        return number_rows(rows, "row_index", first="source_pos")
+        return number_rows(rows, ROW_ORDER, "row_index")
     if slice_from not in ("start", "end"):
         raise ValueError(f"unknown slice_from {slice_from!r}")
-    order = ("source_pos", "tag_place", "timestamp", "event_id")
     if slice_from == "start":
-        kept = rows.orderBy(*order).limit(max_rows)
-        return kept.withColumn("row_index", F.row_number().over(Window.orderBy(*order)).cast("long"))
-    backward = [F.col(c).desc() for c in order]
+        kept = rows.orderBy(*ROW_ORDER).limit(max_rows)
+        return kept.withColumn("row_index", F.row_number().over(Window.orderBy(*ROW_ORDER)).cast("long"))
+    backward = [F.col(c).desc() for c in ROW_ORDER]
     total = rows.agg(F.count(F.lit(1))).scalar()
     kept = rows.orderBy(*backward).limit(max_rows)
     return kept.withColumn("row_index", total - F.row_number().over(Window.orderBy(*backward)) + 1)
@@ -106,7 +107,7 @@ def filter_choices(
         texts = F.array(*[F.lit(literal_text(c)) for c in choices])
         return rows.sparkSession.range(1, numPartitions=1).select(F.explode(texts).alias("choice"))
     if event_field == "index":
-        rows = number_rows(rows, "row_index", first="source_pos")
+        rows = number_rows(rows, ROW_ORDER, "row_index")
     values = rows.select(field_text(event_field).alias("choice")).where(F.col("choice") != "")
     if not choices:
         return values.distinct().orderBy("choice")
@@ -128,7 +129,7 @@ def apply_filters(
 def table(
     rows: DataFrame,
     columns: Sequence[Mapping[str, str]],
-    max_rows: int | None = 10,
+    max_rows: int | None = None,
     slice_from: str = "start",
     color_rules: Sequence[Mapping[str, Any]] = (),
     selected: Mapping[str, Sequence[Any]] | None = None,

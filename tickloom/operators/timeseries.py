@@ -9,16 +9,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.functions.aggregates import bucket_aggregate
 from tickloom.functions.buckets import (
+    FIXED_INTERVALS,
     bucket,
-    bucket_count,
     check_interval,
     days_before,
     step,
 )
 from tickloom.model import instant
 
-MAX_AXIS_POINTS = 1_000_000
-
 
 def interval_aggregate(
     df: DataFrame,
@@ -68,11 +66,7 @@ def axis_start(
 ) -> Column:
     """Start of the axis: the age limit, else the first value, floored."""
     if max_age_days:
-        oldest = days_before(as_of, max_age_days)
-        end = days_before(as_of, 0)
-        if bucket_count(oldest, end, interval) > MAX_AXIS_POINTS:
-            raise ValueError(f"{max_age_days} days of {interval!r} buckets exceed {MAX_AXIS_POINTS} axis points")
-        return bucket(instant(oldest), interval)
+        return bucket(instant(days_before(as_of, max_age_days)), interval)
     return bucket(values.agg(F.min("timestamp")).scalar(), interval)
 
 
@@ -83,19 +77,24 @@ def time_spine(
     max_age_days: float | None,
     series: Sequence[int],
 ) -> DataFrame:
-    """Every bucket up to `as_of` for every series (at most MAX_AXIS_POINTS each).
+    """Every bucket up to `as_of` for every series.
 
     Without an age limit the axis begins at the first value; with neither there
-    is no axis.
+    is no axis. Short steps are made day by day, and the days are dealt out, so
+    a long axis is built by many tasks.
     """
     check_interval(interval)
     spark = values.sparkSession
     bounds = spark.range(1, numPartitions=1).select(
         axis_start(values, interval, as_of, max_age_days).alias("start"), instant(as_of).alias("end")
     )
-    points = bounds.where(F.col("start") <= F.col("end")).select(
-        F.explode(F.sequence("start", "end", step(interval))).alias("timestamp")
-    )
+    bounds = bounds.where(F.col("start") <= F.col("end"))
+    if interval in FIXED_INTERVALS:
+        days = bounds.select(F.explode(F.sequence("start", "end", step("day"))).alias("day"), "end").repartition("day")
+        last = F.least(F.col("end"), F.col("day") + step("day") - step(interval))
+        points = days.select(F.explode(F.sequence("day", last, step(interval))).alias("timestamp"))
+    else:
+        points = bounds.select(F.explode(F.sequence("start", "end", step(interval))).alias("timestamp"))
     return points.select(F.explode(F.array(*[F.lit(i) for i in series])).alias("series_idx"), "timestamp")
 
 

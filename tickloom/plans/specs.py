@@ -14,10 +14,7 @@ from tickloom.functions.buckets import SELECTABLE
 from tickloom.functions.mutators import check_mutators
 from tickloom.operators import retrieve
 
-# Config defaults and names.
-DEFAULT_MAX_AGE_DAYS = 30
-DEFAULT_MAX_RESULTS = 1000
-DEFAULT_TABLE_ROWS = 10
+# Names configs use.
 EVENT_NAME_SLOT = "{event_name_param}"
 DATA_WIDGETS = ("gauge", "line_graph", "bar_graph", "pie_chart", "counter", "table", "scatter_map")
 WIDGETS = (*DATA_WIDGETS, "html_box")
@@ -26,13 +23,14 @@ SINGLE_SOURCE = ("gauge", "counter")
 
 @dataclass(frozen=True)
 class SourceSpec:
-    """A named event query. By default it covers the latest 1000 events of 30 days."""
+    """A named event query. It covers all events of its name; an age or a number
+    of results limits it only where the config names one (0 means no limit)."""
 
     id: str
     event: str
     tags: tuple[str, ...] = ()
-    max_age_days: float = DEFAULT_MAX_AGE_DAYS
-    max_results: int = DEFAULT_MAX_RESULTS
+    max_age_days: float = 0
+    max_results: int = 0
     last_unique_by_tag: bool = False
 
     @classmethod
@@ -41,24 +39,15 @@ class SourceSpec:
             if not config.get(required):
                 raise ValueError(f"source without {required!r}: {dict(config)}")
 
-        def number(key: str, default: int) -> Any:
-            given = config.get(key)
-            return default if given is None else given
-
         return cls(
             id=config["id"],
             event=config["event"],
             tags=tuple(retrieve.tag_list(config.get("tags"))),
-            max_age_days=number("max_age_days", DEFAULT_MAX_AGE_DAYS),
-            max_results=number("max_results", DEFAULT_MAX_RESULTS),
+            max_age_days=config.get("max_age_days") or 0,
+            max_results=config.get("max_results") or 0,
             last_unique_by_tag=bool(config.get("last_unique_by_tag", False)),
         )
 
-    @property
-    def capped(self) -> bool:
-        """Whether the source has a fixed upper bound on its rows."""
-        return not self.last_unique_by_tag and self.max_results > 0
-
     def event_name(self, params: Mapping[str, str] | None = None) -> str:
         """The event name with its first slot filled from the parameters."""
         return self.event.replace(EVENT_NAME_SLOT, (params or {}).get("event_name_param", ""), 1)
@@ -75,7 +64,7 @@ class SourceSpec:
         rows = retrieve.with_tags(retrieve.named(events, name), self.tags)
         rows = retrieve.newer_than(rows, as_of, self.max_age_days)
         # Widgets order their own output, so only the limit needs an order here.
-        return retrieve.newest(rows, self.max_results) if self.capped else rows
+        return retrieve.newest(rows, self.max_results) if self.max_results > 0 else rows
 
 
 @dataclass(frozen=True)

@@ -6,15 +6,16 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tickloom.model import Instant
+from tickloom.functions.buckets import bucket
+from tickloom.model import EVENT_COLUMNS, Instant
 from tickloom.operators import charts, tables
-from tickloom.operators.retrieve import between
-from tickloom.operators.series import mutate_series, series_frame
+from tickloom.operators.retrieve import between, within
+from tickloom.operators.series import belongs, mutate_series, series_frame
 from tickloom.operators.timeseries import interval_aggregate, oldest_max_age
-from tickloom.plans.specs import DEFAULT_TABLE_ROWS, SourceSpec, ViewSpec, WidgetSpec
+from tickloom.plans.specs import SourceSpec, ViewSpec, WidgetSpec
+from tickloom.session import stored
 
 
 @dataclass
@@ -29,31 +30,45 @@ class ViewResult:
     inputs: dict[str, DataFrame] = field(default_factory=dict)
     types: dict[str, str] = field(default_factory=dict)
     choices: dict[tuple[str, str], DataFrame] = field(default_factory=dict)
-    _held: list[DataFrame] = field(default_factory=list)
+    _uses: dict[str, list[tuple[str, int, Column, str]]] = field(default_factory=dict)
+    _sources: dict[str, DataFrame] = field(default_factory=dict)
 
     def summary(self) -> DataFrame:
-        """Rows behind every widget and whether it has any."""
-        parts = [
-            frame.agg(F.count(F.lit(1)).alias("n_rows")).select(
-                F.lit(self.view_id).alias("view_id"),
-                F.lit(title).alias("title"),
-                F.lit(self.types[title]).alias("type"),
-                "n_rows",
-                (F.col("n_rows") == 0).alias("is_empty"),
-            )
-            for title, frame in self.inputs.items()
-        ]
-        if not parts:
+        """Rows behind every widget and whether it has any.
+
+        Every source is read once: its rows are dealt to all widgets that use
+        them and counted together. Mutators leave the number of rows as it is;
+        a bucketed widget counts buckets.
+        """
+        if not self.types:
             raise ValueError(f"view {self.view_id!r} has no widget with data")
-        out = parts[0]
+        parts = []
+        for sid, uses in self._uses.items():
+            marks = [
+                F.when(
+                    holds,
+                    F.struct(
+                        F.lit(title).alias("title"),
+                        F.lit(idx).alias("series_idx"),
+                        F.lit(interval != "disabled").alias("bucketed"),
+                        (F.lit(None).cast("timestamp") if interval == "disabled" else bucket("timestamp", interval)).alias("start"),
+                    ),
+                )
+                for title, idx, holds, interval in uses
+            ]
+            dealt = self._sources[sid].select("name", F.explode(F.array(*marks)).alias("use")).where(F.col("use").isNotNull())
+            counted = dealt.groupBy("use", "name").agg(F.count(F.lit(1)).alias("n"))
+            rows = F.sum(F.when(F.col("use.bucketed"), 1).otherwise(F.col("n"))).alias("n")
+            parts.append(counted.groupBy(F.col("use.title").alias("title")).agg(rows))
+        found = parts[0]
         for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
-
-    def release(self) -> None:
-        """Drop the cached sources."""
-        for frame in self._held:
-            frame.unpersist()
+            found = found.unionByName(part)
+        found = found.groupBy("title").agg(F.sum("n").alias("n"))
+        listed = found.sparkSession.createDataFrame(list(self.types.items()), "title string, type string")
+        n_rows = F.coalesce("n", F.lit(0)).cast("long")
+        return listed.join(found, "title", "left").select(
+            F.lit(self.view_id).alias("view_id"), "title", "type", n_rows.alias("n_rows"), (n_rows == 0).alias("is_empty")
+        )
 
 
 def widget_input(
@@ -80,8 +95,7 @@ def widget_input(
             missing.alias("additional_info"),
             "timestamp",
         )
-    capped = all(specs[s.id].capped for s in widget.series)
-    return mutate_series(frame, widget.series, tie="event_id", bounded=bucketed or capped)
+    return mutate_series(frame, widget.series, tie="event_id", bounded=bucketed)
 
 
 def widget_result(
@@ -117,7 +131,7 @@ def widget_result(
     return tables.table(
         rows,
         widget.config["table_columns"],
-        DEFAULT_TABLE_ROWS if max_rows is None else max_rows,
+        max_rows,
         widget.config.get("slice_from") or "start",
         widget.config.get("color_rules") or (),
         selected,
@@ -142,28 +156,28 @@ def run_view(
     page_interval: str | None = None,
     time_range: tuple[Instant | None, Instant | None] | None = None,
     selected: Mapping[str, Mapping[str, list[object]]] | None = None,
-    cache: bool = True,
+    share: bool = False,
 ) -> ViewResult:
     """Plan every widget of a view.
 
     `intervals` and `selected` hold per-widget interval choices and table
-    filter selections by title. Sources with a row limit that feed several
-    widgets are cached (their size is bounded by that limit); call `release()`
-    on the result when done. Widgets naming a missing source are skipped.
+    filter selections by title. With `share`, sources that feed several widgets
+    are written to the shared scratch folder first, so that each is read from
+    the events once however many widgets are run. Widgets naming a missing
+    source are skipped.
     """
     spec = view if isinstance(view, ViewSpec) else ViewSpec.parse(view)
     resolved = spec.params(params)
     specs = {s.id: s for s in spec.sources}
     uses = {sid: sum(sid in {s.id for s in w.series} for w in spec.widgets) for sid in specs}
     result = ViewResult(spec.id)
-    frames: dict[str, DataFrame] = {}
+    frames = result._sources
     for sid, source in specs.items():
         if uses[sid] == 0:
             continue
-        frames[sid] = source.to_df(events, as_of, resolved)
-        if cache and uses[sid] > 1 and source.capped:
-            frames[sid] = frames[sid].persist(StorageLevel.MEMORY_AND_DISK)
-            result._held.append(frames[sid])
+        frames[sid] = source.to_df(events, as_of, resolved).select(*EVENT_COLUMNS)
+        if share and uses[sid] > 1:
+            frames[sid] = stored(frames[sid], "view-source")
 
     for widget in spec.widgets:
         if not widget.series or any(s.id not in frames for s in widget.series):
@@ -176,6 +190,12 @@ def run_view(
             default = page_interval or spec.default_time_aggregation
             interval = widget.time_aggregation.interval((intervals or {}).get(title), default)
         frame = widget_input(widget, frames, specs, interval, time_range)
+        in_range = F.lit(True)
+        if time_range and widget.time_range_filter:
+            in_range = within(*time_range)
+        for idx, s in enumerate(widget.series):
+            test = belongs(s)
+            result._uses.setdefault(s.id, []).append((title, idx, in_range if test is None else test & in_range, interval))
         result.types[title] = widget.type
         result.inputs[title] = frame
         titles = tables.fields_by_title(widget.config.get("table_columns") or ())

@@ -5,10 +5,10 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 from typing import Any
 
-from py4j.protocol import Py4JError
+from py4j.protocol import Py4JError, Py4JNetworkError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -18,8 +18,6 @@ from tickloom.operators.stats import RUN_LOG_SCHEMA
 from tickloom.sources.event_store import append_events, apply_retention
 from tickloom.sources.logs import DEFAULT_EVENT_NAME, LogFormat, read_log_events
 
-LOG_RETENTION_DAYS = 30  # fixed value
-
 Collect = Callable[[SparkSession, Mapping[str, Any], datetime | None], DataFrame]
 
 
@@ -43,6 +41,7 @@ class Collector:
     unique_id: str = ""
     retention: Retention | None = None
     interval_minutes: float | None = None
+    at_start: bool = False
 
     @classmethod
     def parse(cls, config: Mapping[str, Any]) -> Collector:
@@ -58,8 +57,18 @@ class Collector:
             config.get("unique_id") or "",
             retention,
             config.get("collect_interval_in_minutes"),
+            bool(config.get("collect_when_server_starts", False)),
         )
 
+    def due(self, now: datetime, last: datetime | None, started: datetime | None = None) -> bool:
+        """Whether its interval has passed since the last run, or since the schedule
+        started if it never ran. Without an interval it always is, and before the
+        first run also when it is to collect at the start."""
+        since = last or started
+        if not self.interval_minutes or since is None or (last is None and self.at_start):
+            return True
+        return micros(now) - micros(since) >= self.interval_minutes * 60_000_000
+
     @property
     def key(self) -> str:
         return f"{self.module}_{self.unique_id}"
@@ -90,6 +99,26 @@ def _observed(watch: Observation) -> dict[str, Any]:
         return {}
 
 
+def last_runs(spark: SparkSession, run_log: str) -> dict[str, datetime]:
+    """When each collector ran last, by key; one row per collector."""
+    try:
+        log = spark.read.schema(RUN_LOG_SCHEMA).parquet(run_log)
+        newest = log.groupBy("module", "unique_id").agg(F.max(F.unix_micros("started")).alias("us")).collect()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    zero = datetime(1970, 1, 1, tzinfo=timezone.utc)
+    return {f"{r.module}_{r.unique_id}": zero + timedelta(microseconds=r.us) for r in newest if r.us is not None}
+
+
+def _fault_of_source(spark: SparkSession, failure: Exception) -> bool:
+    """Whether other collectors can go on: not without memory or a session."""
+    text = str(failure)
+    lost = isinstance(failure, (MemoryError, Py4JNetworkError)) or "OutOfMemoryError" in text
+    return not lost and not spark.sparkContext._jsc.sc().isStopped()
+
+
 def run_collectors(
     spark: SparkSession,
     collectors: Sequence[Collector],
@@ -97,26 +126,32 @@ def run_collectors(
     cursors: str,
     run_log: str,
     as_of: datetime,
+    started: datetime | None = None,
 ) -> None:
-    """Run every collector once: append its events, then move its cursor.
+    """Run every collector that is due once: append its events, then move its cursor.
 
-    Records without a name are left out and counted. A collector that fails
-    keeps its cursor and is recorded in the run log; the others still run. The
+    Events get ids of the event table's own. Records without a name are left out
+    and counted. A collector that fails keeps its cursor and is recorded in the
+    run log; the others still run, unless memory or the session is lost. The
     cursor moves only after the append, so nothing is lost on a failure.
+    `started` is when the schedule began, for collectors that never ran.
     """
     rows = []
+    last = last_runs(spark, run_log) if any(c.interval_minutes for c in collectors) else {}
     for c in collectors:
+        if not c.due(as_of, last.get(c.key), started):
+            continue
         began, error, seen = time.monotonic(), None, {}
         try:
             collected = c.collect(spark, c.config, read_cursor(spark, cursors, c.key))
-            watch, nameless = Observation(), F.col("name").isNull()
+            watch, nameless = Observation(), F.coalesce(F.col("name") == "", F.lit(True))
             collected = collected.observe(
                 watch,
                 F.count_if(~nameless).alias("n"),
                 F.count_if(nameless).alias("rejected"),
                 F.max(F.unix_micros("timestamp")).alias("newest"),
             )
-            append_events(gate_named(collected)[0], store)
+            append_events(gate_named(collected)[0], store, new_ids=True)
             seen = _observed(watch)
             if seen.get("newest") is not None:
                 moved = spark.range(1, numPartitions=1).select(
@@ -124,10 +159,13 @@ def run_collectors(
                 )
                 moved.write.mode("append").parquet(cursors)
         except Exception as failure:  # one bad collector must not stop the rest
+            if not _fault_of_source(spark, failure):
+                raise
             error = f"{type(failure).__name__}: {failure}"
         took = (time.monotonic() - began) * 1000
         rows.append((c.module, c.unique_id, took, seen.get("n") or 0, seen.get("rejected") or 0, error))
-    _log(spark, run_log, [(*row, as_of, 0, 0) for row in rows])
+    if rows:
+        _log(spark, run_log, [(*row, as_of, 0, 0) for row in rows])
 
 
 def run_retention(
@@ -169,8 +207,10 @@ def collect_logs(spark: SparkSession, config: Mapping[str, Any], cursor: datetim
 
 
 def log_retention(config: Mapping[str, Any]) -> list[dict[str, Any]]:
+    """The age named by `retention_days`; without one nothing is ever deleted."""
     name = config.get("event_name") or DEFAULT_EVENT_NAME
-    return [{"event_name": name, "max_age_days": config.get("retention_days", LOG_RETENTION_DAYS)}]
+    days = config.get("retention_days")
+    return [] if days is None else [{"event_name": name, "max_age_days": days}]
 
 
 register("logs_collector", collect_logs, log_retention)

@@ -1,32 +1,106 @@
-"""The event table on disk: Parquet partitioned by event name and period (day or month)."""
+"""The event table on disk: Parquet partitioned by event name, period (day or month) and write.
+
+Every append is a write of its own with a number nobody else has. The number is
+part of the folder and, unless events bring their ids, the front of their ids:
+ids grow from write to write and with the reading order within one. As a write
+only touches its own folders, appends, retention and a repeated stream batch
+never meet.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DateType, StructField, StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DateType, LongType, StructField, StructType
 
-from tickloom.model import EVENT_COLUMNS, EVENT_SCHEMA, Instant, instant, normalize_events
-from tickloom.operators.retention import RetentionRule, check_rules, first_matching_rule
+from tickloom.functions.buckets import days_before
+from tickloom.model import EVENT_COLUMNS, EVENT_SCHEMA, Instant, normalize_events
+from tickloom.operators.retention import RetentionRule, check_rules, retained, with_rule
+from tickloom.operators.retrieve import since as rows_since
+from tickloom.session import stored
 
 RECORD_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
-STORE_SCHEMA = StructType([*EVENT_SCHEMA.fields, StructField("period", DateType())])
+STORE_SCHEMA = StructType([*EVENT_SCHEMA.fields, StructField("period", DateType()), StructField("write", LongType())])
+FOLDER = ("name", "period", "write")
+
+# An id is the number of the write, the task within it and the row within the task.
+WRITE_BITS, TASK_BITS, ROW_BITS = 22, 17, 24
+
+
+def _folder(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def append_events(df: DataFrame, path: str, period: str = "day") -> None:
-    """Add events to the table. Nothing is replaced: equal events are kept twice.
+def claim_write(spark: SparkSession, path: str, owner: str | None = None) -> int:
+    """A number for one write to the table that no other write gets.
 
-    `period="month"` suits names with few events a day. The rebalance hint
-    gathers each (name, period) into few files and splits one that is much
-    larger than the rest over several tasks.
+    A claim is an empty file under `_writes`, created only if it is not there.
+    An `owner` (one batch of one stream) gets the number of its first claim
+    again when it repeats itself.
+    """
+    claims, fs = _folder(spark, f"{path}/_writes")
+    owned = None
+    if owner is not None:
+        owned, _ = _folder(spark, f"{path}/_writes/owners/{quote(owner, safe='')}")
+        for status in fs.listStatus(owned) if fs.exists(owned) else ():
+            return int(status.getPath().getName())
+    fs.mkdirs(claims)
+    names = [status.getPath().getName() for status in fs.listStatus(claims)]
+    number = max((int(n) for n in names if n.isdigit()), default=0) + 1
+    while True:
+        if number >= 1 << WRITE_BITS:
+            raise OverflowError(f"{path} has had {number} writes, more than ids can tell apart")
+        claim, _ = _folder(spark, f"{path}/_writes/{number}")
+        if fs.createNewFile(claim):
+            break
+        number += 1
+    if owned is not None:
+        mark, _ = _folder(spark, f"{path}/_writes/owners/{quote(owner, safe='')}/{number}")
+        fs.createNewFile(mark)
+    return number
+
+
+def numbered(write: int) -> Column:
+    """Ids for the rows of a write, in reading order. Too many tasks, or rows in
+    one task, are an error and never a repeated id."""
+    raw = F.monotonically_increasing_id()
+    task, row = F.shiftright(raw, 33), raw.bitwiseAND((1 << 33) - 1)
+    fits = (task < 1 << TASK_BITS) & (row < 1 << ROW_BITS)
+    value = F.lit(write << (TASK_BITS + ROW_BITS)).bitwiseOR(F.shiftleft(task, ROW_BITS)).bitwiseOR(row)
+    return F.when(fits, value).otherwise(F.raise_error(F.lit("too many tasks or rows per task in one write: repartition")).cast("long"))
+
+
+def append_events(
+    df: DataFrame, path: str, period: str = "day", new_ids: bool = False, owner: str | None = None
+) -> int:
+    """Add events to the table and return the number of the write.
+
+    Nothing is replaced: equal events are kept twice, except that a write of the
+    same `owner` replaces what it wrote before. `new_ids` gives the events ids
+    of the table's own; otherwise they keep theirs. `period="month"` suits names
+    with few events a day. The rebalance hint gathers each folder into few files
+    and splits one that is much larger than the rest over several tasks.
     """
     if period not in ("day", "month"):
         raise ValueError(f"unknown period {period!r}")
+    write = claim_write(df.sparkSession, path, owner)
+    if new_ids:
+        df = df.withColumn("event_id", numbered(write))
     start = F.date_trunc(period, "timestamp").cast("date")
-    rows = df.select(*EVENT_COLUMNS, start.alias("period")).hint("rebalance", "name", "period")
-    rows.write.mode("append").partitionBy("name", "period").parquet(path)
+    rows = df.select(*EVENT_COLUMNS, start.alias("period"), F.lit(write).cast("long").alias("write"))
+    _replace(rows, path)
+    return write
+
+
+def _replace(rows: DataFrame, path: str) -> None:
+    """Write the folders that the rows belong to, and no others."""
+    writer = rows.hint("rebalance", *FOLDER).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*FOLDER).parquet(path)
 
 
 def append_event(
@@ -40,6 +114,8 @@ def append_event(
     timestamp: datetime | None = None,
 ) -> None:
     """Add one event."""
+    if not name:
+        raise ValueError("an event needs a name")
     row = spark.range(1, numPartitions=1).select(
         F.lit(name).alias("name"),
         F.lit(float(value)).alias("value"),
@@ -47,24 +123,26 @@ def append_event(
         F.lit(additional_info).cast("string").alias("additional_info"),
     )
     fields = {c: c for c in row.columns}
-    append_events(normalize_events(row, fields, timestamp or as_of), path)
+    append_events(normalize_events(row, fields, timestamp or as_of), path, new_ids=True)
 
 
-def read_events(spark: SparkSession, path: str, since: Instant | None = None) -> DataFrame:
+def read_events(
+    spark: SparkSession, path: str, since: Instant | None = None, keep_period: bool = False
+) -> DataFrame:
     """The event frame of a table; filters on `name` prune its folders.
 
-    `since` leaves out older events, and with them the folders of periods that
-    ended before the month of that moment.
+    `since` leaves out older events, and with them the folders of earlier
+    periods. With `keep_period` the frame keeps its `period`, by which lookups
+    and views that name an age or a time range prune folders as well.
     """
-    stored = read_partitions(spark, path)
+    rows = read_partitions(spark, path)
     if since is not None:
-        stored = stored.where(F.col("timestamp") >= instant(since))
-        stored = stored.where(F.col("period") >= F.date_trunc("month", instant(since)).cast("date"))
-    return stored.select(*EVENT_COLUMNS)
+        rows = rows_since(rows, since)
+    return rows.select(*EVENT_COLUMNS, *(["period"] if keep_period else []))
 
 
 def read_partitions(spark: SparkSession, path: str) -> DataFrame:
-    """Events with the first day of the folder they lie in."""
+    """Events with the first day and the write of the folder they lie in."""
     return spark.read.schema(STORE_SCHEMA).parquet(path)
 
 
@@ -90,9 +168,7 @@ def copy_retained(
     The old table stays as it was until the caller switches over, so a job lost
     half-way leaves nothing broken.
     """
-    check_rules(rules)
-    kept = read_events(spark, path).where(first_matching_rule(rules, as_of).isNull())
-    append_events(kept, target, period)
+    append_events(retained(read_events(spark, path), rules, as_of), target, period)
 
 
 def apply_retention(
@@ -100,40 +176,32 @@ def apply_retention(
 ) -> dict[int, int]:
     """Remove expired events in place and return the deleted count per rule index.
 
-    A rule reaches the folders of its event name that begin before its cutoff;
-    of those, only folders holding expired events are rewritten, by dynamic
-    partition overwrite: new files are staged and moved in on commit. A folder
-    left without rows is not part of the written result, so it is removed
-    afterwards. A run cut short can simply be repeated.
+    Only folders of the rules' event names that begin before the latest cutoff
+    are read, and of those only folders that hold expired events are replaced.
+    Which these are is decided once and kept as a table. An append that happens
+    meanwhile has folders of its own and is left alone. A folder without any
+    events left is removed. A run cut short can simply be repeated.
     """
     check_rules(rules)
-    reach = F.lit(False)
-    for r in rules:
-        reach = reach | ((F.col("name") == r.event_name) & (F.col("period") <= F.to_date(r.cutoff(as_of))))
-    reached = read_partitions(spark, path).where(reach)
-    touched = reached.withColumn("_rule", first_matching_rule(rules, as_of))
-    # A few rows per folder, never one per event.
-    counts = touched.groupBy("name", "period", "_rule").agg(F.count(F.lit(1)).alias("n")).collect()
-    deleted = {i: sum(c["n"] for c in counts if c["_rule"] == i) for i in range(len(rules))}
-    hit = {(c["name"], c["period"]) for c in counts if c["_rule"] is not None}
-    staying = {(c["name"], c["period"]) for c in counts if c["_rule"] is None}
-    if hit & staying:
-        wanted = spark.createDataFrame(sorted(hit & staying), "name string, period date")
-        kept = touched.where(F.col("_rule").isNull()).drop("_rule").join(wanted, ["name", "period"], "left_semi")
-        kept = kept.select(*EVENT_COLUMNS, "period").hint("rebalance", "name", "period")
-        (
-            kept.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("name", "period")
-            .parquet(path)
-        )
-    _remove_folders(spark, path, sorted(hit - staying))
-    return deleted
-
-
-def _remove_folders(spark: SparkSession, path: str, folders: list[tuple[str, object]]) -> None:
-    jvm = spark.sparkContext._jvm
-    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    for name, period in folders:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/name={escape(name)}/period={period}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    if not rules:
+        return {}
+    latest = days_before(as_of, min(r.max_age_days for r in rules)).date() + timedelta(days=1)
+    reached = read_partitions(spark, path).where(F.col("name").isin(sorted({r.event_name for r in rules})))
+    touched = with_rule(reached.where(F.col("period") <= F.lit(latest)), rules, as_of)
+    expired = F.col("_rule").isNotNull()
+    folders = touched.groupBy(*FOLDER).agg(F.count_if(expired).alias("gone"), F.count_if(~expired).alias("left"))
+    folders = stored(folders.where("gone > 0"), "expired")
+    # One row per rule.
+    counts = {r["_rule"]: r["n"] for r in touched.where(expired).groupBy("_rule").agg(F.count(F.lit(1)).alias("n")).collect()}
+    mixed = folders.where(F.col("left") > 0).select(*FOLDER)
+    _replace(touched.where(~expired).drop("_rule").join(mixed, list(FOLDER), "left_semi"), path)
+    _remove_folders(spark, path, folders.where(F.col("left") == 0))
+    return {i: counts.get(i, 0) for i in range(len(rules))}
+
+
+def _remove_folders(spark: SparkSession, path: str, folders: DataFrame) -> None:
+    """Remove folders one after the other; the driver holds a part of the list at a time."""
+    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for r in folders.toLocalIterator():
+        folder, fs = _folder(spark, f"{path}/name={escape(r['name'])}/period={r['period']}/write={r['write']}")
+        fs.delete(folder, True)

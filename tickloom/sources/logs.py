@@ -5,16 +5,17 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.functions.timestamps import parse_log_time, strip
-from tickloom.model import EVENT_COLUMNS, EVENT_SCHEMA, Instant, instant
+from tickloom.model import EVENT_COLUMNS, EVENT_SCHEMA, Instant, instant, micros
 
 DEFAULT_EVENT_NAME = "log_message"  # fixed value
 SEPARATOR = "\x1f"
+CLOCK_DAYS = 2  # what a log clock and a file clock may differ
 _ALL = 2**31 - 1
 
 
@@ -79,7 +80,8 @@ def with_groups(lines: DataFrame, pattern: str, indexes: Sequence[int]) -> DataF
     One replacement yields all groups: a matching line becomes them, each after
     a separator, while other lines stay as they are. Lines that hold the
     separator themselves take one extraction per group. On ASCII lines the much
-    faster ASCII classes mean the same.
+    faster ASCII classes mean the same. A group that took no part in the match
+    is empty text here; `took_part` tells it from one that matched empty text.
     """
     line = F.col("line")
     out = "".join(f"{SEPARATOR}${i}" for i in indexes)
@@ -99,8 +101,21 @@ def with_groups(lines: DataFrame, pattern: str, indexes: Sequence[int]) -> DataF
     return lines.withColumn("_matched", matched).select(*lines.columns, groups.alias("_groups"))
 
 
+def took_part(line: Column, pattern: str, group: Column, index: int) -> Column:
+    """Whether a group of an anchored match matched anything, were it only empty text.
+
+    Only asked where the group is empty: a reference to it behind the match then
+    holds unless the group took no part.
+    """
+    return (group != "") | line.rlike(f"^(?>{java_regex(pattern)})\\{index}")
+
+
 def parse_lines(lines: DataFrame, fmt: LogFormat, as_of: Instant) -> DataFrame:
-    """Add name, value, tag, additional_info and timestamp; unparsable lines are dropped."""
+    """Add name, value, tag, additional_info and timestamp.
+
+    Lines that cannot be parsed are dropped, as are those whose severity or
+    content group took no part in the match.
+    """
     lines = trimmed_lines(lines)
     if fmt.skip_until:
         lines = skip_until(lines, fmt.skip_until)
@@ -130,7 +145,10 @@ def parse_lines(lines: DataFrame, fmt: LogFormat, as_of: Instant) -> DataFrame:
         strip(group(2)).alias("additional_info"),
         parse_log_time(group(0), fmt.timestamp_format, F.year(instant(as_of))).alias("timestamp"),
     )
-    parsed = grouped.select(*lines.columns, F.inline(F.when(F.col("_groups").isNotNull(), F.array(event))))
+    whole = F.col("_groups").isNotNull()
+    for place in (1, 2):
+        whole = whole & took_part(F.col("line"), fmt.log_pattern, group(place), wanted[place])
+    parsed = grouped.select(*lines.columns, F.inline(F.when(whole, F.array(event))))
     return parsed.where(F.col("timestamp").isNotNull() & F.col("value").isNotNull())
 
 
@@ -147,13 +165,18 @@ def next_cursor(events: DataFrame, cursor: datetime | None = None) -> DataFrame:
     return events.agg(newest.alias("last_timestamp"))
 
 
-def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_log_lines(spark: SparkSession, path: str, modified_after: datetime | None = None) -> DataFrame:
     """Lines of text files with their file and position in it.
 
     Within a file, blocks are ordered by offset and lines by reading order.
-    Both columns are fixed right at the scan, before any shuffle.
+    Both columns are fixed right at the scan, before any shuffle. Files that
+    were not modified after the given moment are not opened.
     """
-    raw = spark.read.text(path)
+    reader = spark.read
+    if modified_after is not None:
+        moment = datetime.fromtimestamp(micros(modified_after) // 1_000_000, timezone.utc)
+        reader = reader.option("modifiedAfter", moment.strftime("%Y-%m-%dT%H:%M:%S")).option("timeZone", "UTC")
+    raw = reader.text(path)
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
     return raw.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), place.alias("pos"))
 
@@ -168,6 +191,11 @@ def as_events(parsed: DataFrame, event_id: Column | None = None) -> DataFrame:
 def read_log_events(
     spark: SparkSession, path: str, config: Mapping[str, Any] | LogFormat, as_of: Instant, cursor: datetime | None = None
 ) -> DataFrame:
-    """Events of a log folder that are newer than the cursor."""
+    """Events of a log folder that are newer than the cursor.
+
+    A file holds no events newer than its last change. Log times may be local, so
+    files changed up to `CLOCK_DAYS` before the cursor are read as well.
+    """
     fmt = config if isinstance(config, LogFormat) else LogFormat.parse(config)
-    return after_cursor(as_events(parse_lines(read_log_lines(spark, path), fmt, as_of)), cursor)
+    changed = None if cursor is None else cursor - timedelta(days=CLOCK_DAYS)
+    return after_cursor(as_events(parse_lines(read_log_lines(spark, path, changed), fmt, as_of)), cursor)

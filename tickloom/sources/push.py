@@ -128,34 +128,41 @@ def judge_requests(requests: DataFrame) -> DataFrame:
     )
 
 
-def split_requests(
-    requests: DataFrame, as_of: Instant, mode: str = "atomic"
-) -> tuple[DataFrame, DataFrame]:
-    """Accepted events and quarantined rows of (request_id, body) documents.
+def outcomes(requests: DataFrame, as_of: Instant, mode: str = "atomic") -> DataFrame:
+    """One row per accepted event (`error` is NULL) and per fault, of (request_id,
+    body) documents; every document is judged once.
 
     "atomic": one bad event rejects its whole request, reported once at its
     first bad index. "row": bad events are reported one by one and the rest of
-    their request is accepted.
+    their request is accepted. A fault of a request as a whole has no `pos`.
 
     What is kept is chosen inside the array before it is exploded: a filter on
-    the request would be pushed below the checks and run them a second time.
+    the request would be pushed below the checks and run them a second time. A
+    document is judged as one row, so its size is bounded by that of a row.
     """
     if mode not in ("atomic", "row"):
         raise ValueError(f"unknown mode {mode!r}")
     judged = judge_requests(requests)
+    nothing = F.lit(None).cast("string")
+
+    def accepted(e: Column, pos: Column) -> Column:
+        stamp = F.coalesce(e["timestamp"], instant(as_of)).alias("timestamp")
+        values = [e[c].alias(c) for c in ("name", "value", "tag", "additional_info")]
+        return F.struct(pos.alias("pos"), nothing.alias("error"), nothing.alias("raw"), *values, stamp)
+
+    def fault(pos: Column, error: Column, raw: Column) -> Column:
+        types = (("name", "string"), ("value", "double"), ("tag", "string"), ("additional_info", "string"), ("timestamp", "timestamp"))
+        empty = [F.lit(None).cast(kind).alias(name) for name, kind in types]
+        return F.struct(pos.alias("pos"), error.alias("error"), raw.alias("raw"), *empty)
+
+    rows = F.transform("checked", accepted)
     if mode == "atomic":
-        kept = F.when(~F.exists("checked", lambda e: e["error"].isNotNull()), F.col("checked"))
+        kept = F.when(F.exists("checked", lambda e: e["error"].isNotNull()), F.slice(rows, 1, 0)).otherwise(rows)
     else:
-        kept = F.transform("checked", lambda e: F.when(e["error"].isNull(), e))
-    items = judged.select("request_id", F.posexplode(kept)).where(F.col("col").isNotNull())
-    accepted = items.select(
-        *[F.col(f"col.{c}").alias(c) for c in ("name", "value", "tag", "additional_info")],
-        F.coalesce(F.col("col.timestamp"), instant(as_of)).alias("timestamp"),
-        "request_id",
-        "pos",
-    )
-
-    nowhere = F.struct(F.lit(None).cast("int").alias("pos"), F.col("request_error").alias("error"), F.col("body").alias("raw"))
+        fine = F.filter(
+            F.transform("checked", lambda e, i: F.when(e["error"].isNull(), accepted(e, i))), lambda r: r.isNotNull()
+        )
+        kept = fine
     faults = F.filter(
         F.transform("checked", lambda e, i: F.when(e["error"].isNotNull(), F.struct(i.alias("pos"), e["error"].alias("key")))),
         lambda f: f.isNotNull(),
@@ -163,23 +170,32 @@ def split_requests(
     if mode == "atomic":
         faults = F.slice(faults, 1, 1)
 
-    def report(fault: Column) -> Column:
-        pos = fault["pos"]
-        raw = F.col("body") if mode == "atomic" else F.to_json(F.element_at("_items", pos + 1))
-        return F.struct(pos.alias("pos"), _message(fault["key"], pos).alias("error"), raw.alias("raw"))
+    def report(f: Column) -> Column:
+        raw = F.col("body") if mode == "atomic" else F.to_json(F.element_at("_items", f["pos"] + 1))
+        return fault(f["pos"], _message(f["key"], f["pos"]), raw)
+
+    whole = F.array(fault(F.lit(None).cast("int"), F.col("request_error"), F.col("body")))
+    found = F.when(F.col("request_error").isNotNull(), whole).otherwise(F.concat(kept, F.transform(faults, report)))
+    return judged.select("request_id", F.inline(found))
+
 
-    reports = F.when(F.col("request_error").isNotNull(), F.array(nowhere)).otherwise(F.transform(faults, report))
-    rejected = judged.select("request_id", F.inline(reports))
-    return accepted, rejected
+def split_requests(
+    requests: DataFrame, as_of: Instant, mode: str = "atomic"
+) -> tuple[DataFrame, DataFrame]:
+    """Accepted events and quarantined rows, see `outcomes`."""
+    rows = outcomes(requests, as_of, mode)
+    accepted = rows.where(F.col("error").isNull()).drop("error", "raw")
+    return accepted, rows.where(F.col("error").isNotNull()).select("request_id", "pos", "error", "raw")
 
 
 def accepted_events(accepted: DataFrame) -> DataFrame:
-    """Accepted rows as an event frame, ids following request and position.
+    """Accepted rows as an event frame, ids following the reading order.
 
     Events pushed without a time all get the ingest time, so the id keeps them
-    in the order they were sent.
+    in the order they were sent. Appended with `new_ids`, they get ids of the
+    event table's own in the same order.
     """
-    with_id = accepted.withColumn("event_id", F.shiftleft("request_id", 16) + F.col("pos"))
+    with_id = accepted.withColumn("event_id", F.monotonically_increasing_id())
     return with_id.select(*[F.col(c).cast(EVENT_SCHEMA[c].dataType).alias(c) for c in EVENT_COLUMNS])
 
 

@@ -1,4 +1,4 @@
-"""Continuous ingest of log folders and pushed documents."""
+"""Continuous ingest of log folders and pushed documents into the event table."""
 
 from __future__ import annotations
 
@@ -9,20 +9,15 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tickloom.model import EVENT_SCHEMA
+from tickloom.session import stored
+from tickloom.sources.event_store import append_events
 from tickloom.sources.logs import LogFormat, as_events, parse_lines
-from tickloom.sources.push import accepted_events, split_requests
+from tickloom.sources.push import accepted_events, outcomes
 from tickloom.streaming.landing import land, landed, triggered
 
-EVENT_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EVENT_SCHEMA)
 QUARANTINE_DDL = "request_id long, pos int, error string, raw string"
 
 
-def _numbered(lines: DataFrame, batch_id: int) -> DataFrame:
-    """Give the rows of a micro-batch ids that grow from batch to batch."""
-    return lines.withColumn("nth", F.lit(batch_id << 44) + F.monotonically_increasing_id())
-
-
 def text_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream
     if files_per_batch:
@@ -33,12 +28,14 @@ def text_stream(spark: SparkSession, path: str, files_per_batch: int | None = No
 def tail_logs(
     lines: DataFrame,
     config: Mapping[str, Any] | LogFormat,
-    target: str,
+    store: str,
     checkpoint: str,
     as_of: datetime,
     interval_minutes: float | None = None,
+    period: str = "day",
 ) -> StreamingQuery:
-    """Turn new log files into landed events. The checkpoint is the cursor.
+    """Append the events of new log files to the event table. The checkpoint is the
+    cursor; a batch that runs again replaces what it wrote.
 
     `skip_until` needs whole files and is only offered in batch.
     """
@@ -47,9 +44,8 @@ def tail_logs(
         raise ValueError("skip_until is not available on streams")
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
-        numbered = _numbered(batch.withColumnRenamed("value", "line"), batch_id)
-        events = as_events(parse_lines(numbered, fmt, as_of), F.col("nth"))
-        land(events, target, batch_id, ["name"])
+        events = as_events(parse_lines(batch.withColumnRenamed("value", "line"), fmt, as_of), F.lit(None))
+        append_events(events, store, period, new_ids=True, owner=f"{checkpoint}#{batch_id}")
 
     writer = lines.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
     return triggered(writer, interval_minutes).start()
@@ -57,28 +53,31 @@ def tail_logs(
 
 def push_stream(
     documents: DataFrame,
-    target: str,
+    store: str,
     quarantine: str,
     checkpoint: str,
     as_of: datetime,
     mode: str = "atomic",
     interval_minutes: float | None = None,
+    period: str = "day",
 ) -> StreamingQuery:
-    """Validate pushed documents (a `value` text column) into events and a quarantine."""
+    """Validate pushed documents (a `value` text column) into the event table and a
+    quarantine. Every document is judged once per batch.
+
+    A request is known by its place in its batch, so `request_id` is unique
+    together with the `batch_id` of the quarantine.
+    """
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
-        requests = _numbered(batch.withColumnRenamed("value", "body"), batch_id).withColumnRenamed("nth", "request_id")
-        accepted, rejected = split_requests(requests, as_of, mode)
-        land(accepted_events(accepted), target, batch_id, ["name"])
-        land(rejected, quarantine, batch_id)
+        requests = batch.select(F.monotonically_increasing_id().alias("request_id"), F.col("value").alias("body"))
+        judged = stored(outcomes(requests, as_of, mode), "judged")
+        accepted = judged.where("error is null").orderBy("request_id", "pos")
+        append_events(accepted_events(accepted), store, period, new_ids=True, owner=f"{checkpoint}#{batch_id}")
+        land(judged.where("error is not null").select("request_id", "pos", "error", "raw"), quarantine, batch_id)
 
     writer = documents.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
     return triggered(writer, interval_minutes).start()
 
 
-def landed_events(spark: SparkSession, path: str) -> DataFrame:
-    return landed(spark, path, EVENT_DDL).drop("batch_id")
-
-
 def landed_quarantine(spark: SparkSession, path: str) -> DataFrame:
-    return landed(spark, path, QUARANTINE_DDL).drop("batch_id")
+    return landed(spark, path, QUARANTINE_DDL)

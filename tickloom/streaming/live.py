@@ -1,8 +1,15 @@
-"""Live aggregates over event streams."""
+"""Live aggregates over event streams.
+
+Every micro-batch lands what it adds: partial aggregates, newest events or
+rates. Readers put the batches together, so an event counts whenever it
+arrives, and no state is held between batches. `compact_*` keeps the number of
+folders small.
+"""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,49 +17,57 @@ from tickloom.functions.buckets import CALENDAR_INTERVALS, bucket, check_interva
 from tickloom.functions.numbers import round_half_up, steady_round
 from tickloom.model import order_key
 from tickloom.operators.metrics import counter_rates
-from tickloom.streaming.landing import forget, land, landed, newest_per_key, triggered
+from tickloom.session import stored
+from tickloom.streaming.landing import compact, land, landed, newest_per_key, triggered
 
 PARTIAL_DDL = "start timestamp, name string, tag string, n long, total double, low double, high double"
 LATEST_DDL = "name string, tag string, event_id long, value double, additional_info string, timestamp timestamp"
 READING_DDL = "event_id long, name string, tag string, value double, timestamp timestamp"
+COUNTER = ("name", "tag")
+
 
-# State of a window expires with the watermark, so windows have a fixed length.
-# Longer calendar buckets are put together from days when results are read.
-_WINDOW = {"10m": "10 minutes", "30m": "30 minutes", "hour": "1 hour"}
+def _each_batch(
+    rows: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, interval_minutes: float | None
+) -> StreamingQuery:
+    writer = rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return triggered(writer, interval_minutes).start()
 
 
 def live_intervals(
-    events: DataFrame,
-    interval: str,
-    target: str,
-    checkpoint: str,
-    watermark: str = "1 day",
-    interval_minutes: float | None = None,
+    events: DataFrame, interval: str, target: str, checkpoint: str, interval_minutes: float | None = None
 ) -> StreamingQuery:
     """Keep count, sum, min and max per bucket, name and tag up to date.
 
-    Events older than the watermark no longer change a bucket. All bucket
-    functions are served from the same four numbers.
+    All bucket functions are served from these four numbers, and weeks, months
+    and years from days. Events of any age are counted, as in batch.
     """
     check_interval(interval)
-    window = F.window("timestamp", _WINDOW.get(interval, "1 day"))
-    partials = (
-        events.withWatermark("timestamp", watermark)
-        .groupBy(window, "name", "tag")
-        .agg(
+    start = bucket("timestamp", interval if interval not in CALENDAR_INTERVALS else "day")
+
+    def partials(batch: DataFrame, batch_id: int) -> None:
+        sums = batch.groupBy(start.alias("start"), "name", "tag").agg(
             F.count(F.lit(1)).alias("n"),
             F.sum("value").alias("total"),
             F.min("value").alias("low"),
             F.max("value").alias("high"),
         )
-        .select(F.col("window.start").alias("start"), "name", "tag", "n", "total", "low", "high")
-    )
-    writer = (
-        partials.writeStream.outputMode("update")
-        .foreachBatch(lambda batch, batch_id: land(batch, target, batch_id))
-        .option("checkpointLocation", checkpoint)
+        land(sums, target, batch_id)
+
+    return _each_batch(events, partials, checkpoint, interval_minutes)
+
+
+def _merged_partials(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("start", "name", "tag").agg(
+        F.sum("n").alias("n"),
+        F.sum("total").alias("total"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        F.max("batch_id").alias("batch_id"),
     )
-    return triggered(writer, interval_minutes).start()
+
+
+def compact_intervals(spark: SparkSession, path: str, keep: int = 2) -> None:
+    compact(spark, path, PARTIAL_DDL, _merged_partials, keep)
 
 
 def read_intervals(
@@ -60,7 +75,7 @@ def read_intervals(
 ) -> DataFrame:
     """Interval values from the landed partials, as in the batch operator."""
     check_interval(interval)
-    parts = newest_per_key(landed(spark, path, PARTIAL_DDL), ["start", "name", "tag"])
+    parts = landed(spark, path, PARTIAL_DDL)
     if interval in CALENDAR_INTERVALS and interval != "day":
         start = bucket("start", interval)
     else:
@@ -80,91 +95,97 @@ def read_intervals(
     return parts.groupBy(*keys, start.alias("timestamp")).agg(values[function].alias("value"), n.alias("n"))
 
 
+def _newest(events: DataFrame, with_batch: bool = False) -> DataFrame:
+    key = order_key()
+    batch = [F.max("batch_id").alias("batch_id")] if with_batch else []
+    return events.groupBy("name", "tag").agg(
+        F.max_by("event_id", key).alias("event_id"),
+        F.max_by("value", key).alias("value"),
+        F.max_by("additional_info", key).alias("additional_info"),
+        F.max("timestamp").alias("timestamp"),
+        *batch,
+    )
+
+
 def live_latest_by_tag(
     events: DataFrame, target: str, checkpoint: str, interval_minutes: float | None = None
 ) -> StreamingQuery:
     """Keep the newest event of every name and tag up to date."""
-    key = order_key()
-    newest = (
-        events.where(F.col("tag").isNotNull())
-        .groupBy("name", "tag")
-        .agg(
-            F.max_by("event_id", key).alias("event_id"),
-            F.max_by("value", key).alias("value"),
-            F.max_by("additional_info", key).alias("additional_info"),
-            F.max("timestamp").alias("timestamp"),
-        )
-    )
-    writer = (
-        newest.writeStream.outputMode("update")
-        .foreachBatch(lambda batch, batch_id: land(batch, target, batch_id))
-        .option("checkpointLocation", checkpoint)
-    )
-    return triggered(writer, interval_minutes).start()
+
+    def latest(batch: DataFrame, batch_id: int) -> None:
+        land(_newest(batch.where(F.col("tag").isNotNull())), target, batch_id)
+
+    return _each_batch(events, latest, checkpoint, interval_minutes)
+
+
+def compact_latest_by_tag(spark: SparkSession, path: str, keep: int = 2) -> None:
+    compact(spark, path, LATEST_DDL, lambda rows: _newest(rows, with_batch=True), keep)
 
 
 def read_latest_by_tag(spark: SparkSession, path: str) -> DataFrame:
-    return newest_per_key(landed(spark, path, LATEST_DDL), ["name", "tag"])
+    return _newest(landed(spark, path, LATEST_DDL))
 
 
 def live_counter_rates(
     samples: DataFrame,
     target: str,
-    carry: str,
     checkpoint: str,
     on_reset: str = "keep",
     interval_minutes: float | None = None,
 ) -> StreamingQuery:
     """Rates of cumulative counters across micro-batches.
 
-    The last reading of every counter is written as a small table per batch
-    (`carry`) and put in front of the next batch, which then runs through the
-    batch operator: a counter with most of the rows is still cut into slices
-    instead of passing through one task. Readings at or before the carried one
-    are late and are left out.
+    `target` holds the readings, the last reading of each counter, and the
+    rates, by batch. A batch that only brings newer readings runs through the
+    batch operator behind the last ones. Counters that get a reading at or
+    before one they had are worked out anew from all their readings, and these
+    rates take the place of the earlier ones, so the result does not depend on
+    how readings were dealt to batches.
     """
     spark = samples.sparkSession
     columns = [part.split()[0] for part in READING_DDL.split(", ")]
+    key = order_key()
 
     def derive(batch: DataFrame, batch_id: int) -> None:
-        readings = batch.select(*columns)
-        before = _carried(spark, carry, batch_id)
-        if before is not None:
-            seen = before.select(
-                F.col("name").alias("_name"), F.col("tag").alias("_tag"), F.col("timestamp").alias("_seen")
-            )
-            same = F.col("name").eqNullSafe(F.col("_name")) & F.col("tag").eqNullSafe(F.col("_tag"))
-            fresh = readings.join(seen, same, "left").where(
-                F.col("_seen").isNull() | (F.col("timestamp") > F.col("_seen"))
-            )
-            readings = before.select(*columns).unionByName(fresh.select(*columns))
-        rates = counter_rates(readings, ["name", "tag"], on_reset)
-        land(rates.withColumn("value", F.col("value").cast("double")), target, batch_id)
-        key = order_key()
-        last = readings.groupBy("name", "tag").agg(
-            F.max_by("event_id", key).alias("event_id"),
-            F.max_by("value", key).alias("value"),
-            F.max("timestamp").alias("timestamp"),
-        )
-        land(last.select(*columns), carry, batch_id)
-        # A repeated batch reads what the one before it carried, nothing older.
-        forget(spark, carry, batch_id - 2)
+        land(batch.select(*columns), f"{target}/readings", batch_id)
+        readings = landed(spark, f"{target}/readings", READING_DDL)
+        fresh = readings.where(F.col("batch_id") == batch_id).select(*columns)
+        last = _last_readings(landed(spark, f"{target}/last", READING_DDL).where(F.col("batch_id") < batch_id))
+        seen = last.select(*[F.col(c).alias(f"_{c}") for c in COUNTER], key.alias("_seen"))
+        same = F.col("name").eqNullSafe(F.col("_name")) & F.col("tag").eqNullSafe(F.col("_tag"))
+        late = fresh.join(seen, same).where(key <= F.col("_seen")).select("_name", "_tag").distinct()
+        late = stored(late, "late-counters")
+        behind = last.select(*columns).unionByName(fresh).join(late, same, "left_anti")
+        anew = readings.where(F.col("batch_id") <= batch_id).select(*columns).join(late, same, "left_semi")
+        rates = counter_rates(behind.unionByName(anew), list(COUNTER), on_reset)
+        land(rates.withColumn("value", F.col("value").cast("double")), f"{target}/rates", batch_id)
+        land(_last_readings(fresh), f"{target}/last", batch_id)
+
+    return _each_batch(samples, derive, checkpoint, interval_minutes)
+
+
+def _last_readings(readings: DataFrame, with_batch: bool = False) -> DataFrame:
+    key = order_key()
+    batch = [F.max("batch_id").alias("batch_id")] if with_batch else []
+    return readings.groupBy(*COUNTER).agg(
+        F.max_by("event_id", key).alias("event_id"),
+        F.max_by("value", key).alias("value"),
+        F.max("timestamp").alias("timestamp"),
+        *batch,
+    )
 
-    writer = samples.writeStream.foreachBatch(derive).option("checkpointLocation", checkpoint)
-    return triggered(writer, interval_minutes).start()
+
+def _newest_rates(rates: DataFrame) -> DataFrame:
+    return newest_per_key(rates, ["event_id", *COUNTER])
 
 
-def _carried(spark: SparkSession, carry: str, batch_id: int) -> DataFrame | None:
-    """The readings carried out of the batch before this one."""
-    try:
-        saved = landed(spark, carry, READING_DDL).where(F.col("batch_id") < batch_id)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    newest = saved.agg(F.max("batch_id")).scalar()
-    return saved.where(F.col("batch_id") == newest)
+def compact_rates(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Merge the rates and last readings of batches that are done."""
+    compact(spark, f"{path}/rates", READING_DDL, _newest_rates, keep)
+    compact(spark, f"{path}/last", READING_DDL, lambda rows: _last_readings(rows, with_batch=True), keep)
+    compact(spark, f"{path}/readings", READING_DDL, lambda rows: rows, keep)
 
 
 def read_rates(spark: SparkSession, path: str) -> DataFrame:
-    return landed(spark, path, READING_DDL).drop("batch_id")
+    """The rate of each reading as worked out last."""
+    return _newest_rates(landed(spark, f"{path}/rates", READING_DDL)).drop("batch_id")
