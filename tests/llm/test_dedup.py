@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import compare
 import numpy as np
 import pytest
 
@@ -132,6 +133,15 @@ def test_op7_minhash(spark, sf_dir):
     assert ordered(map(tuple, got.collect())) == ordered(brute_near(rows_of(spark, sf_dir), 4, 80))
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql_states_the_same(name, sf_dir, spark):
+    """The SQL twins against brute force; the queries are held against it above."""
+    rows = rows_of(spark, sf_dir)
+    brute = {"op2": lambda: brute_bytes(rows, 200), "op6": lambda: brute_words(rows, 50), "op7": lambda: brute_near(rows, 4, 80)}
+    con = compare.connect(sf_dir)
+    assert ordered(con.execute(queries.SQL[name]).fetchall()) == ordered(brute[name.split("_")[0]]())
+
+
 def test_empty_tables(documents):
     none = documents([(1, "a")]).limit(0)
     assert suffix_array.dedup_digests(none).count() == 0

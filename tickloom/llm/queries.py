@@ -16,6 +16,7 @@ from tickloom.llm import (
     packing,
     permutation_index,
     rabin_karp,
+    sql,
     suffix_array,
     weighted_sampling,
 )
@@ -26,11 +27,11 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(statement: str | None = None) -> Callable[[Query], Query]:
     def register(build: Query) -> Query:
         QUERIES[build.__name__] = build
-        if sql:
-            SQL[build.__name__] = sql
+        if statement:
+            SQL[build.__name__] = statement
         return build
 
     return register
@@ -46,7 +47,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
-@query()
+@query(sql.BYTE_STRINGS)
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.dedup_digests(table(spark, sf_dir, "documents"))
 
@@ -67,12 +68,12 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(sql.WORD_WINDOWS)
 def op6_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rabin_karp.dedup_digests(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(sql.NEAR_DUPLICATES)
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
