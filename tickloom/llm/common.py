@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.session import configure, fresh_dir
+from tickloom.session import configure, stored
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -30,11 +30,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """The rows as a table in the shared folder: lineage ends, executors may go."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """The rows as a table in the shared folder: lineage ends, executors may go,
+    and the shuffle files that led to it are no longer needed."""
+    table = stored(df, label)
+    free_shuffles(df.sparkSession)
+    return table
 
 
 def free_shuffles(spark: SparkSession) -> None:

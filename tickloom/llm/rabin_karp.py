@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tickloom.llm.common import free_shuffles, prepare, record, saved, text_buffers
+from tickloom.llm.common import prepare, record, saved, text_buffers
 from tickloom.llm.repeats import NO_ID, OPEN, SETTLED, Rolling, anchors, combined, keyed, match, merged, with_spans
 
 WIDTH = 50
@@ -139,15 +139,13 @@ def _window_rows(width: int):
 
 def removal_spans(docs: DataFrame, width: int = WIDTH, k: int | None = None) -> DataFrame:
     """key, lo, hi: words of the document with that key to remove; spans may overlap."""
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     k = k or max(1, (2 * width) // 3)
     found = keyed(docs).mapInArrow(_anchor_rows(width, k), ROW)
     told = saved(match(found, by_doc=True).select("state", "key", "lo", "hi"), "windows-anchors")
-    free_shuffles(spark)
     open_ = told.filter(F.col("state").bitwiseAND(OPEN) != 0).select("key", "lo", "hi")
     windows = with_spans(docs, open_, "inner").select("doc_id", "text", "key", "los", "his")
     windows = saved(windows.mapInArrow(_window_rows(width), WINDOW), "windows-open")
-    free_shuffles(spark)
     counted = windows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     again = windows.join(counted, "h").filter("doc_id > first").select("key", "lo", (F.col("lo") + width).alias("hi"))
     settled = told.filter(F.col("state").bitwiseAND(SETTLED) != 0).select("key", "lo", "hi")

@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tickloom.llm.common import free_shuffles, prepare, record, saved, text_buffers
+from tickloom.llm.common import prepare, record, saved, text_buffers
 from tickloom.llm.rabin_karp import ROW, anchor_batch, kept_places
 from tickloom.llm.repeats import OPEN, SETTLED, anchors, byte_symbols, combined, keyed, match, merged, with_spans
 
@@ -200,23 +200,21 @@ def _neighbours(strings: DataFrame, length: int, span: int) -> DataFrame:
 
 def removal_spans(docs: DataFrame, width: int = WIDTH, k: int | None = None, side: int = SIDE) -> DataFrame:
     """key, lo, hi: bytes of the document with that key to remove; spans may overlap."""
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     k, side = k or max(1, width // 2), max(4, min(side, width - 1))
     found = keyed(docs).mapInArrow(_anchor_rows(width, k), ROW)
     told = saved(match(found, by_doc=False).select("state", "key", "lo", "hi"), "suffix-anchors")
-    free_shuffles(spark)
     has = lambda flag: F.col("state").bitwiseAND(flag) != 0
     open_ = told.filter(has(OPEN)).select("key", "lo", "hi")
     grams = with_spans(docs, open_, "inner").select("text", "key", "los", "his").mapInArrow(_gram_rows(width, side), GRAM)
     grams = saved(match(grams, by_doc=False).select("state", "h", "key", "lo", "hi", "pos", "around"), "suffix-grams")
-    free_shuffles(spark)
     # Widths of the context beyond the k-gram, as places of the string.
     shown = grams.filter(has(OPEN)).dropDuplicates(["key", "pos"])
     strings = shown.mapInArrow(_strings(side), "key long, pos int, `from` int, `to` int, s array<long>")
     strings = saved(strings.withColumn("to", F.col("to") - (width - side)), "suffix-strings")
     again = repeated_prefixes(strings, side + 1)
     start = F.col("pos") - (side - F.col("at"))
-    again = again.select("key", start.cast("int").alias("lo"), (start + width).cast("int").alias("hi"))
+    again = saved(again.select("key", start.cast("int").alias("lo"), (start + width).cast("int").alias("hi")), "suffix-repeats")
     settled = [x.filter(has(SETTLED)).select("key", "lo", "hi") for x in (told, grams)]
     return settled[0].unionByName(settled[1]).unionByName(again)
 
