@@ -17,29 +17,24 @@ from __future__ import annotations
 
 import os
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, functions as F
 
 from tickloom.llm.common import prepare, record, texts, values_of
 
 LONGEST = 4096
 END_ID = 2
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
 CHUNK_CHARS = 1 << 20
 
 # White space beyond blanks, tabs and line ends, which str.split() also cuts at.
 ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 PLAIN_SPACE = re.compile("[ \t\n\r]+")
-# What the tokenizer file itself splits words by (fixed value).
-ATOM = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-LATIN_END = "\u0250"
 
 
 class WordEncoder:
@@ -53,7 +48,6 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.cached = cached
         self.words: dict[str, bytes] = {}
-        self.atoms: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         if len(text) <= CHUNK_CHARS:
@@ -68,38 +62,24 @@ class WordEncoder:
 
     def _chunk(self, text: str) -> bytes:
         words = [w for w in PLAIN_SPACE.split(text) if w] if ODD_SPACE.search(text) else text.split()
-        known = self.words.get
-        found = [known(w) for w in words]
+        found = list(map(self.words.get, words))
         if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    found[i] = self._word(words[i])
+            new = list(dict.fromkeys(w for w, ids in zip(words, found, strict=True) if ids is None))
+            if len(self.words) + len(new) > self.cached:
+                self.words.clear()
+                new = list(dict.fromkeys(words))
+            self._learn(new)
+            found = map(self.words.__getitem__, words)
         return b"".join(found)
 
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is not None:
-            return ids
-        if max(word) < LATIN_END:  # lower case and classes agree for these letters
-            ids = b"".join(map(self._atom, ATOM.findall(unicodedata.normalize("NFC", word).lower())))
-        else:
-            ids = self._direct(word)
-        if len(self.words) >= self.cached:
-            self.words.clear()
-        self.words[word] = ids
-        return ids
-
-    def _atom(self, atom: str) -> bytes:
-        ids = self.atoms.get(atom)
-        if ids is None:
-            ids = self._direct(atom)
-            if len(self.atoms) >= self.cached:
-                self.atoms.clear()
-            self.atoms[atom] = ids
-        return ids
-
-    def _direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _learn(self, words: list[str]) -> None:
+        """Encode many words at once; a token belongs to the word it starts in."""
+        encoding = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ends = np.cumsum([len(w) + 1 for w in words])
+        owner = np.searchsorted(ends, [a for a, _ in encoding.offsets], "right")
+        cuts = (4 * np.cumsum(np.bincount(owner, minlength=len(words)))).tolist()
+        ids = np.array(encoding.ids, "<u4").tobytes()
+        self.words.update((w, ids[a:b]) for w, a, b in zip(words, [0, *cuts], cuts, strict=False))
 
 
 @lru_cache(maxsize=2)
