@@ -16,7 +16,7 @@ sketches agree too little to be linked (five standard deviations) are put
 aside; all others that could still join two components are compared in full,
 shingle by shingle:
 
-1. every document with the smallest one of each of its bands,
+1. every document with the one that is smallest in most of its bands,
 2. where a band still has several components: the most alike pair of each two,
 3. and then every pair of different components that is left.
 
@@ -253,7 +253,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     bound = least_agreement(percent)
     sketch = classes.select("node", "sketch")
 
-    star = banded.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    # Of the documents that are smallest in a band of its own, the one with most of these bands.
+    votes = banded.filter("node <> least").groupBy("node", "least").agg(F.count("*").alias("bands"))
+    most = votes.groupBy("node").agg(F.max(F.struct("bands", (-F.col("least")).alias("less"))).alias("most"))
+    star = most.select((-F.col("most.less")).alias("a"), F.col("node").alias("b"))
     agree = F.aggregate(F.zip_with("sa", "sb", _equal_bytes), F.lit(0), lambda x, y: x + y)
     star = star.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
     star = star.join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b").filter(agree >= bound)
@@ -263,7 +266,6 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     for best_only in (True, False):
         pairs = _open_pairs(banded, sketch, roots(linked), bound, best_only)
         linked = linked.unionByName(links(pairs, bodies, size, percent))
-        free_shuffles(spark)
     reached = roots(linked.unionByName(same_id))
     named = made.join(reached.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
     component = F.coalesce("root", "doc_id")
@@ -288,6 +290,7 @@ def _open_pairs(banded: DataFrame, sketch: DataFrame, reached: DataFrame, bound:
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", "value", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "node", "root", "sketch")
+    both = [F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")]
+    rows = rows.select("band", "value", *both, "block", "node", "root", "sketch")
     keys = ["band", "value", "first", "second"]
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_agreeing(bound, best_only), "a long, b long, agree int")
