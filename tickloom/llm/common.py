@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 # Arrow batches end at the first of these two, so long texts come in few rows.
 BATCH_ROWS = 4096
 BATCH_BYTES = 8 << 20
+EVENTS_PASS_S = 0.6
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -33,14 +35,17 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends, executors may go,
     and the shuffle files that led to it are no longer needed."""
     table = stored(df, label)
-    free_shuffles(df.sparkSession)
+    df.sparkSession._jvm.System.gc()
     return table
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let the cleaner drop shuffle files of finished steps, which it does when
-    the driver collects its garbage."""
-    spark.sparkContext._jvm.System.gc()
+    """Let the cleaner drop the shuffle files of large steps that are done, which it
+    does when the driver collects its garbage. What has just ended is still held
+    by the events that tell of it, so there are two rounds with a pause."""
+    for _ in range(2):
+        time.sleep(EVENTS_PASS_S)
+        spark.sparkContext._jvm.System.gc()
 
 
 def texts(docs: DataFrame) -> DataFrame:
