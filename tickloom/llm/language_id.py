@@ -44,22 +44,31 @@ UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def learning_sample(docs: DataFrame, allowed: Column, label: str, per_label: int, chars: int) -> DataFrame:
-    """At most `per_label` rows (doc_id, text, label) of each label, by hash.
+def learning_sample(
+    docs: DataFrame, label: str, allowed: Column, per_label: int, chars: int, labels: DataFrame | None = None
+) -> DataFrame:
+    """At most `per_label` rows (doc_id, text, label) of each label, by hash. Labels
+    are a column of the documents, or of `labels` by doc_id.
 
     All rows are counted per label; the hash threshold that follows leaves a
-    little more than wanted, and the rest is cut off in rank order.
+    little more than wanted, and the rest is cut off in rank order. Only ids and
+    hashes are joined and ranked; the chosen ones, bounded by the number of labels
+    times `per_label`, then go out to fetch their texts.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(label).cast("string").alias("label"))
-    rows = rows.filter(allowed & F.col("label").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= chars))
-    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return rows.select("doc_id", "text", "label")
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
-    limits = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, math.ceil((1 << 20) * min(1.0, (per_label + 6 * math.sqrt(per_label)) / n)))])
-    few = rows.withColumn("part", part).filter(F.col("part") < F.element_at(limits, F.col("label")))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("part", "doc_id", "text"))
-    return few.withColumn("rank", rank).filter(F.col("rank") <= per_label).select("doc_id", "text", "label")
+    doc_id, place = F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("hash")
+    texts = docs.select(doc_id, F.col("text").cast("string").alias("text"), *([label] if labels is None else []))
+    keys = texts.filter(F.col("text").isNotNull() & (F.length("text") <= chars)).withColumn("hash", place).drop("text")
+    if labels is not None:
+        keys = keys.join(labels.select(doc_id, label), "doc_id")
+    keys = keys.select("doc_id", "hash", F.col(label).cast("string").alias("label")).filter(allowed & F.col("label").isNotNull())
+    counts = {r.label: r.n for r in keys.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    enough = per_label + 6 * math.sqrt(per_label)
+    shares = {name: math.ceil((1 << 20) * min(1.0, enough / n)) for name, n in counts.items()} or {"": 0}
+    limits = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
+    few = keys.withColumn("part", F.pmod("hash", F.lit(1 << 20))).filter(F.col("part") < F.element_at(limits, F.col("label")))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("part", "hash", "doc_id"))
+    chosen = few.withColumn("rank", rank).filter(F.col("rank") <= per_label).select("doc_id", "hash", "label").distinct()
+    return texts.select("doc_id", "text").withColumn("hash", place).join(F.broadcast(chosen), ["doc_id", "hash"]).drop("hash")
 
 
 def word_counts(sample: DataFrame) -> DataFrame:
@@ -202,7 +211,7 @@ class Scorer:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS) -> Trees:
     """Trees from a bounded sample of the labelled rows that are not held out."""
-    sample = learning_sample(docs, crc_residue() != 2, "lang", per_language, sample_chars)
+    sample = learning_sample(docs, "lang", crc_residue() != 2, per_language, sample_chars)
     return Trees([(r.label, r.word, r.n) for r in word_counts(sample).orderBy("label", "word").collect()])
 
 

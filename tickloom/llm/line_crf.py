@@ -182,10 +182,9 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS) -> LineCrf:
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, sample_chars: int = SAMPLE_CHARS) -> LineCrf:
     """A field fitted to a bounded sample of the labelled rows that are not held out."""
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    marked = marked.filter("quality in (0, 1)").filter(crc_residue() != 2)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marked, "doc_id")
-    sample = learning_sample(rows, F.lit(True), "quality", per_label, sample_chars).orderBy("label", "doc_id", "text").collect()
+    marked = labels.filter(F.col("quality").cast("int").isin(0, 1))
+    sample = learning_sample(docs, "quality", crc_residue() != 2, per_label, sample_chars, marked)
+    sample = sample.orderBy("label", "doc_id", "text").collect()
     return train([r.text for r in sample], [int(r.label) for r in sample])
 
 
