@@ -25,13 +25,12 @@ other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tickloom.llm.common import prepare, record, texts
 from tickloom.llm.repeats import mixed
@@ -148,8 +147,7 @@ def in_descending_order(docs: DataFrame, ranges: int | None = None) -> DataFrame
     # A null id comes after all others, so before them ascending.
     rows = rows.withColumn("rank", F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", F.xxhash64("text").alias("hash")))
     points = [i / ranges for i in range(1, ranges)]
-    limits = sorted(set(rows.approxQuantile("doc_id", points, 0.2 / ranges))) if points else []
-    limits = sorted({int(x) for x in limits})
+    limits = sorted({int(x) for x in rows.approxQuantile("doc_id", points, 0.2 / ranges)}) if points else []
     # Slot 0 has the largest ids.
     above = F.lit(0)
     if limits:
