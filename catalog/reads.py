@@ -169,7 +169,8 @@ def store_ids(spark, sf):
         event_store.append_events(user(spark, sf), path, new_ids=True)
         event_store.append_event(spark, path, "single", APP_NOW)
     rows = event_store.read_partitions(spark, path)
-    writes = rows.groupBy("write").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), F.min("event_id").alias("low"), F.max("event_id").alias("high"))
+    counts = [F.count("*").alias("n"), F.count_distinct("event_id").alias("ids")]
+    writes = rows.groupBy("write").agg(*counts, F.min("event_id").alias("low"), F.max("event_id").alias("high"))
     before = F.lag("high").over(Window.orderBy("write"))  # four rows
     growing = F.coalesce(F.col("low") > before, F.lit(True))
     return writes.withColumn("growing", growing).agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"), F.min("growing").alias("growing"))
