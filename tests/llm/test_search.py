@@ -188,3 +188,45 @@ def test_op5_license_scan(spark, sf_dir):
             for a, b in scanner.regions(name, words):
                 if license_scan.aligned(template, words[a:b]) >= license_scan.COVERAGE * len(template):
                     assert (doc_id, name, a) in found
+
+
+LONG = sorted(name for name, body in license_scan.TEMPLATES.items() if len(license_scan.words_of(body)) >= 25)
+
+
+def test_a_license_cut_by_a_tag_is_found():
+    words = license_scan.TEMPLATES["MIT"].split()
+    i = words.index("limitation")
+    text = " ".join([*words[:i], '</p><p class="legal small" style="margin-top:12px">', *words[i:]])
+    assert [(r[0], r[3]) for r in license_scan.Scanner(license_scan.TEMPLATES)(text) if r[0] == "MIT"] == [("MIT", 1.0)]
+
+
+@pytest.mark.parametrize("foreign", [7, 20, 50])
+@pytest.mark.parametrize("name", LONG)
+def test_interrupted_licenses_are_found(name, foreign):
+    scanner = license_scan.Scanner({name: license_scan.TEMPLATES[name]})
+    template = scanner.templates[name]
+    size, noise = len(template), [f"zz{i}" for i in range(foreign)]
+    between = [f"yy{i}" for i in range(10)]
+    for cut in (size // 10, size // 3, size // 2, size - size // 10):
+        copy = [*template[:cut], *noise, *template[cut:]]
+
+        def places(*parts):
+            return [(a, b, c) for _, a, b, c in scanner(" ".join(w.decode() if isinstance(w, bytes) else w for p in parts for w in p))]
+
+        n, k = len(copy), len(between)
+        assert places(between, copy, between) == [(k, k + n, 1.0)]
+        # Each of several interrupted copies, and one beside a whole copy.
+        assert places(copy, between, copy) == [(0, n, 1.0), (n + k, n + k + n, 1.0)]
+        assert places(template, between, copy) == [(0, size, 1.0), (size + k, size + k + n, 1.0)]
+        assert places(copy, between, template) == [(0, n, 1.0), (n + k, n + k + size, 1.0)]
+
+
+def test_two_adjacent_copies_are_one_region_over_both():
+    for name in LONG:
+        scanner = license_scan.Scanner({name: license_scan.TEMPLATES[name]})
+        size = len(scanner.templates[name])
+        for foreign in range(license_scan.GAP + 1):
+            text = " ".join([license_scan.TEMPLATES[name], "zz " * foreign, license_scan.TEMPLATES[name]])
+            assert scanner(text) == [(name, 0, 2 * size + foreign, 1.0)]
+        text = " ".join([license_scan.TEMPLATES[name], "zz " * (license_scan.GAP + 1), license_scan.TEMPLATES[name]])
+        assert [r[1:3] for r in scanner(text)] == [(0, size), (size + license_scan.GAP + 1, 2 * size + license_scan.GAP + 1)]

@@ -13,14 +13,23 @@ Every region is aligned unless its words, counted, cannot reach the coverage.
 Where a text has overlapping regions of one template they are one region by
 definition, so results are one row per region.
 
+A copy that longer foreign passages interrupt is no region. What the regions
+found leave open is searched for such copies in windows of `SPREAD` template
+lengths that start at words of the template that ordinary text is not full of;
+a copy spread over one length less is in one of them as a whole. The shortest
+part of a window that aligns as much as all of it is a row, and the rest is
+searched again. A region found in part grows by what lies that near and aligns.
+
 Defined cases: null and empty texts have no regions; a region may hold copies
-of a template one behind the other and is found once; rows with a null or
+of a template one behind the other and is found once, from the first to the
+last of them; rows with a null or
 repeated doc_id are scanned like any other; other columns are ignored; an empty
 table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -33,6 +42,7 @@ from tickloom.llm.common import prepare, record, texts
 
 GAP = 6
 COVERAGE = 0.8
+SPREAD = 4
 
 # Wording of public licenses and license notices (fixed values).
 TEMPLATES = {
@@ -148,6 +158,10 @@ class Scanner:
             rest = sum(w in common for w in words)
             self.needed[name] = frozenset(words) - common if rest < coverage * len(words) else frozenset(words)
         self.any_needed = frozenset().union(*self.needed.values())
+        # How many words must be matched, how many of them are needed ones, and how many others may stand before these.
+        self.least = {name: math.ceil(coverage * len(words) - 1e-9) for name, words in self.templates.items()}
+        self.least_needed = {name: self.least[name] - sum(w not in self.needed[name] for w in words) for name, words in self.templates.items()}
+        self.lead = {name: gap + next((i for i, w in enumerate(words) if w in self.needed[name]), 0) for name, words in self.templates.items()}
 
     def regions(self, name: str, words: list[bytes]) -> Iterator[tuple[int, int]]:
         own = self.counts[name]
@@ -157,21 +171,70 @@ class Scanner:
             for part in np.split(places, cuts):
                 yield int(part[0]), int(part[-1]) + 1
 
+    def covered(self, name: str, words: list[bytes]) -> int:
+        """How many words of the template are matched, 0 if they cannot be enough."""
+        own = Counter(words)
+        most = sum(min(n, own[w]) for w, n in self.counts[name].items())
+        return aligned(self.templates[name], words) if most >= self.least[name] else 0
+
+    def tight(self, name: str, words: list[bytes], a: int, b: int, core: tuple[int, int] | None = None) -> tuple[int, int, int]:
+        """The shortest part of words[a:b] that aligns as much as all of it, the first if there are
+        several, and how many words of the template it matches; words of `core` stay in."""
+        first, last = core or (b, a)
+        template = self.templates[name]
+        full = aligned(template, words[a:b])
+        b = last + bisect_left(range(last, b), full, key=lambda i: aligned(template, words[a:i]))
+        ends = range(a, first + 1)
+        a = a + max(0, bisect_left(ends, True, key=lambda i: aligned(template, words[i:b]) < full) - 1)
+        return a, b, aligned(template, words[a:b])
+
+    def spread(self, name: str, words: list[bytes], needed: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int, int]]:
+        """First word, last word + 1 and matched words of interrupted copies in words[a:b];
+        needed are the places of needed words."""
+        length, least = len(self.templates[name]), self.least_needed[name]
+        anchors = needed[np.searchsorted(needed, a) : np.searchsorted(needed, b)]
+        if len(anchors) < least:
+            return
+        starts = anchors[: len(anchors) - least + 1]
+        after = a
+        for start in starts[anchors[least - 1 :] - starts < SPREAD * length].tolist():
+            if start < after:
+                continue
+            first = max(a, start - self.lead[name])
+            last = min(b, start + SPREAD * length)
+            if self.covered(name, words[first:last]) < self.least[name]:
+                after = start + length
+                continue
+            first, last, n = self.tight(name, words, first, last)
+            yield from self.spread(name, words, needed, a, first)
+            yield first, last, n
+            a = after = last
+
+    def found(self, name: str, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        """First word, last word + 1 and matched words of all that is found of one template."""
+        length = len(self.templates[name])
+        whole = [(a, b, n) for a, b in self.regions(name, words) if (n := self.covered(name, words[a:b])) >= self.least[name]]
+        needed = np.array([i for i, w in enumerate(words) if w in self.needed[name]], np.int64)
+        before = 0
+        for i, (a, b, n) in enumerate(whole):
+            if n < length:
+                after = whole[i + 1][0] if i + 1 < len(whole) else len(words)
+                wide = max(before, a - (SPREAD - 1) * length), min(after, b + (SPREAD - 1) * length)
+                if aligned(self.templates[name], words[wide[0] : wide[1]]) > n:
+                    a, b, n = self.tight(name, words, *wide, (a, b))
+            yield from self.spread(name, words, needed, before, a)
+            yield a, b, n
+            before = b
+        yield from self.spread(name, words, needed, before, len(words))
+
     def __call__(self, text: str) -> list[tuple[str, int, int, float]]:
-        """name, first word, last word + 1, coverage of each region found."""
+        """name, first word, last word + 1, coverage of all that is found."""
         words = words_of(text)
         present = self.any_needed.intersection(words)
         found = []
         for name, template in self.templates.items() if present else ():
-            if not present & self.needed[name]:
-                continue
-            for a, b in self.regions(name, words):
-                own = Counter(words[a:b])
-                most = sum(min(n, own[w]) for w, n in self.counts[name].items())
-                if most >= self.coverage * len(template):
-                    covered = aligned(template, words[a:b]) / len(template)
-                    if covered >= self.coverage:
-                        found.append((name, a, b, covered))
+            if present & self.needed[name]:
+                found += [(name, a, b, n / len(template)) for a, b, n in self.found(name, words)]
         return found
 
 
