@@ -230,3 +230,46 @@ def test_two_adjacent_copies_are_one_region_over_both():
             assert scanner(text) == [(name, 0, 2 * size + foreign, 1.0)]
         text = " ".join([license_scan.TEMPLATES[name], "zz " * (license_scan.GAP + 1), license_scan.TEMPLATES[name]])
         assert [r[1:3] for r in scanner(text)] == [(0, size), (size + license_scan.GAP + 1, 2 * size + license_scan.GAP + 1)]
+
+
+def licenses_in(text):
+    return {r[0] for r in license_scan.Scanner(license_scan.TEMPLATES)(text)}
+
+
+def test_wordings_of_a_family_are_told_apart():
+    bodies = license_scan.TEMPLATES
+    for family in license_scan.FAMILIES:
+        for name in family:
+            assert licenses_in(f"zz zz {bodies[name]} zz") & family == {name}
+        some = sorted(family)
+        for one, other in zip(some, some[1:], strict=False):
+            assert licenses_in(f"{bodies[one]} zz {bodies[other]}") & family >= {x for x in (one, other) if not x.endswith("-opening")}
+    two, three = bodies["BSD-2-Clause"], bodies["BSD-3-Clause"]
+    named = three.replace("the copyright holder nor", "the University of Somewhere nor")
+    assert "BSD-2-Clause" in licenses_in(two) and "BSD-3-Clause" not in licenses_in(two)
+    assert "BSD-3-Clause" in licenses_in(named) and "BSD-2-Clause" not in licenses_in(named)
+    assert {"BSD-2-Clause", "BSD-3-Clause"} <= licenses_in(two + " " + three)
+    assert licenses_in(three + " " + three) == {"BSD-3-Clause"}
+
+
+def test_templates_are_whole():
+    ends = {
+        "MIT": "other dealings in the software",
+        "ISC": "use or performance of this software",
+        "BSD-2-Clause": "possibility of such damage",
+        "BSD-3-Clause": "possibility of such damage",
+        "Apache-2.0": "limitations under the license",
+        "GPL-3.0": "www gnu org licenses",
+        "MPL-2.0": "mozilla org mpl 2 0",
+    }
+    for name, end in ends.items():
+        assert b" ".join(license_scan.words_of(license_scan.TEMPLATES[name])).decode().endswith(end)
+    for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC0-1.0"):
+        assert len(license_scan.words_of(license_scan.TEMPLATES[f"{name}-text"])) > 1000
+    # An opening without the rest is found, and is not the license.
+    assert licenses_in(license_scan.TEMPLATES["MIT-opening"]) == {"MIT-opening"}
+
+
+def test_templates_are_an_argument(documents):
+    got = license_scan.scan(documents([(1, "some house rules for all who work here")]), {"House": "house rules for all who work here"}).collect()
+    assert [(r.doc_id, r.license, r.coverage) for r in got] == [(1, "House", 1.0)]
