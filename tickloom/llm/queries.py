@@ -15,10 +15,13 @@ from tickloom.llm import (
     minhash,
     packing,
     permutation_index,
+    prefix_trie,
     rabin_karp,
     sql,
     suffix_array,
+    warc,
     weighted_sampling,
+    whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +96,18 @@ def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query(sql.ARCHIVED_PAGES)
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).withColumnRenamed("row_id", "page_id")
+
+
+@query(sql.PREFIX_TRIE)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")

@@ -40,3 +40,26 @@ BYTE_STRINGS = """WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS x, oct
     SELECT b.doc_id, CAST(b.n AS BIGINT) AS n_bytes, CAST(coalesce(s.n_removed, 0) AS BIGINT) AS n_removed, coalesce(s.n_spans, 0) AS n_spans,
         CASE WHEN s.doc_id IS NULL THEN sha256(b.x) ELSE sha256(unhex(coalesce(k.body, ''))) END AS kept_sha256
     FROM b LEFT JOIN sums s USING (doc_id) LEFT JOIN kept k USING (doc_id)"""
+ARCHIVED_PAGES = """WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+    f AS (SELECT h, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY h)
+    SELECT page_id, n AS payload_bytes, d.h AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN first <> page_id THEN first END AS refers_to FROM d LEFT JOIN f ON f.h = d.h AND d.n >= 100"""
+# crc32 byte by byte and bit by bit, with the polynomial in reversed order.
+CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1),
+    lambda i: CAST(ascii(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT))), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+PREFIX_TRIE = f"""WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS h
+        FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT conv_id, list(struct_pack(h := h, n := n) ORDER BY turn NULLS FIRST, h) AS turns FROM t GROUP BY conv_id),
+    parts AS (SELECT conv_id, turns, conv_id - conv_id % 100 AS head, {CRC32} % 6 AS h FROM own),
+    r AS (SELECT p.conv_id, list_concat(coalesce(o.turns, [])[1 : p.h], p.turns[p.h + 1 :]) AS turns FROM parts p LEFT JOIN own o ON o.conv_id = p.head),
+    k AS (SELECT conv_id, list_transform(turns, lambda x: x.h) AS hs, list_transform(turns, lambda x: x.n) AS ns FROM r),
+    m AS (SELECT conv_id, hs, ns, unnest(range(0, len(hs) + 1)) AS d FROM k),
+    nodes AS (SELECT hs[1 : d] AS path, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(ns[d]), 0) AS chars,
+        coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(hs) = d), '') AS ends FROM m GROUP BY 1, 2),
+    kids AS (SELECT path[1 : d - 1] AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+    up AS (SELECT n.path[1 : a.d] AS path, sum((n.n_convs - 1) * n.chars) AS saved, count(*) FILTER (k.n IS NULL) AS leaves
+        FROM nodes n LEFT JOIN kids k USING (path), LATERAL (SELECT unnest(range(0, n.d + 1)) AS d) a GROUP BY 1)
+    SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, u.leaves AS n_leaves,
+        CAST(u.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+    FROM nodes n JOIN up u USING (path) LEFT JOIN kids k USING (path) LEFT JOIN nodes p ON p.path = n.path[1 : n.d - 1] AND p.d = n.d - 1"""
