@@ -276,6 +276,16 @@ def test_whitening_over_several_blocks(spark, monkeypatch):
     held(good, whitening.whiten(frame, top=4).collect(), 4)
 
 
+def test_large_entries_are_exact(spark):
+    """Sums beyond 64 bits go through decimals; a deviation beyond them is null."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(c)) for c in rng.normal(size=3) * 1e13]) for i in range(3000)]
+    deviation, white, _ = brute_whiten(rows)
+    found = {(r.id, r.component): r for r in whitening.whiten(vectors(spark, rows)).collect()}
+    for (i, _), d, w in zip(rows, deviation, white, strict=True):
+        assert found[i, 1].deviation == (d if d < 1 << 63 else None) and math.isclose(abs(found[i, 1].whitened), abs(w[0]), rel_tol=1e-6, abs_tol=1e-9)
+
+
 def test_whitening_without_variance(spark):
     assert whitening.whiten(vectors(spark, [(1, [1.0, 2.0])]).limit(0)).count() == 0
     assert whitening.whiten(vectors(spark, [(1, None), (2, [])])).count() == 0

@@ -15,7 +15,7 @@ one vector's size, and, inside MLlib, the places of the blocks (one pair for
 `ROWS_A_BLOCK` rows).
 
 Defined cases: rows whose vector is null, empty, or holds null or non-finite
-entries, or entries beyond the range of whole numbers, take no part; nor do
+entries, or entries of 2^56 and more, take no part, nor do
 vectors whose length is not the most common one (of equally common lengths the
 greatest). Rows with a null or repeated id are whitened like any other. A
 component without variance (a constant dimension, equal or too few vectors) has
@@ -44,6 +44,8 @@ COMPONENTS = 32
 ROWS_A_BLOCK = 1024
 BLOCKS_A_SPLIT = 32
 ROW_BITS = 33  # monotonically_increasing_id: the part above, the row in it below
+# Entries from here on have no 64-bit whole number on the grid.
+GREATEST = float(1 << 56)
 # Eigenvalues below this share of the largest are rounding.
 NO_VARIANCE = 1e-13
 
@@ -51,10 +53,10 @@ NO_VARIANCE = 1e-13
 def on_grid(vectors: DataFrame, key: str, column: str) -> DataFrame:
     """id and x, the whole numbers floor(SCALE * entry) + OFFSET, of the vectors that take part."""
     v = F.col(column).cast("array<double>")
-    usable = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    whole = F.transform(v, lambda c: F.floor(c * SCALE).try_cast("long") + OFFSET)
-    rows = vectors.where(usable).select(F.col(key).cast("long").alias("id"), whole.alias("x"))
-    return rows.where(F.forall("x", lambda c: c.isNotNull()))
+    usable = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < GREATEST))
+    # Worked out once: the filter would otherwise be asked of each copy of the expression.
+    whole = F.transform(F.when(usable, v), lambda c: F.floor(c * SCALE).cast("long") + OFFSET)
+    return vectors.select(F.col(key).cast("long").alias("id"), whole.alias("x")).where("x is not null")
 
 
 def numbered(df: DataFrame, label: str) -> DataFrame:
@@ -141,15 +143,18 @@ def whiten(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", t
     the variance) and identity_error."""
     spark = prepare(vectors.sparkSession)
     rows = numbered(on_grid(vectors, key, column).withColumn("width", F.size("x")), "whitening-grid")
-    common = rows.groupBy("width").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("width")).first()
+    largest = F.max(F.array_max(F.transform("x", lambda x: F.abs(x)))).alias("largest")
+    common = rows.groupBy("width").agg(F.count(F.lit(1)).alias("n"), largest).orderBy(F.desc("n"), F.desc("width")).first()
     if common is None:
         return spark.createDataFrame([], RESULT)
-    width, n = common
+    width, n, largest = common
+    # Sums and centred values are exact: in 64 bits where these hold them, else as decimals.
+    exact = "bigint" if 2 * n * largest < 1 << 62 else "decimal(38,0)"
     if rows.where(F.col("width") != width).limit(1).count():
         rows = numbered(rows.where(F.col("width") == width).drop("index"), "whitening-rows")
-    sums = rows.select(F.posexplode("x").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("s")).orderBy("at").collect()
-    apart = F.zip_with("x", _array([r.s for r in sums], "bigint"), lambda x, s: x * F.lit(n).cast("long") - s)
-    squares = F.aggregate("apart", F.lit(0).cast("long"), lambda total, v: F.try_add(total, F.try_multiply(v, v)))
+    sums = rows.select(F.posexplode("x").alias("at", "x")).groupBy("at").agg(F.sum(F.col("x").cast(exact)).alias("s")).orderBy("at").collect()
+    apart = F.zip_with("x", _array([int(r.s) for r in sums], exact), lambda x, s: (x.cast(exact) * F.lit(n).cast("long") - s).cast(exact))
+    squares = F.aggregate("apart", F.lit(0).cast(exact), lambda total, v: F.try_add(total, F.try_multiply(v, v)).cast(exact)).try_cast("long")
     rows = rows.withColumn("apart", apart)
     centred = rows.select("index", F.transform("apart", lambda v: v.cast("double") / F.lit(float(n))).alias("centred"))
     matrix = block_matrix(centred, "centred", n, width)
