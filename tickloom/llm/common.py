@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.session import configure, stored
@@ -70,6 +71,33 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return whole[starts[0] : starts[-1]], starts - starts[0]
 
 
+def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, and where those of each text begin (one more
+    for the end). White space is blanks, tabs and line ends (bytes 9 to 13); a text
+    that begins or ends with some has an empty word there."""
+    lists = pc.ascii_split_whitespace(column.fill_null("") if column.null_count else column)
+    starts = lists.offsets.to_numpy().astype(np.int64)
+    return lists.flatten(), starts - starts[0]
+
+
+class Vocabulary:
+    """Numbers of the words met so far, which lie behind each other in one buffer."""
+
+    def __init__(self) -> None:
+        self.words = pa.array([], pa.string())
+
+    def numbers(self, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """The number of each word, and the words that are new and got the next numbers."""
+        coded = words.dictionary_encode()
+        at = pc.index_in(coded.dictionary, value_set=self.words)
+        unknown = pc.is_null(at)
+        new = coded.dictionary.filter(unknown)
+        place = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[unknown.to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(new))
+        self.words = pa.concat_arrays([self.words, new])
+        return place[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64), new
+
+
 def record(schema: pa.Schema, *columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
