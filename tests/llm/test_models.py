@@ -50,14 +50,15 @@ COUNTS = [("en", "the", 5), ("en", "then", 2), ("en", "house", 1), ("de", "das",
 @pytest.mark.parametrize("text", ["the house", "Das Haus, dann!", "qqq été then", "ß", "thethethe x9y", "hé"])
 def test_code_lengths_are_exact(text):
     trees = language_id.Trees(COUNTS)
-    bits, runs = language_id.Scorer(trees)([text])
+    bits, runs, coded = language_id.Scorer(trees)(pa.array([text]))
+    assert coded[0] == sum(len(w.encode()) + 1 for w in language_id.LETTERS.findall(text.lower()))
     expected = [plain_bits(COUNTS, language_id.ORDER, text, label) for label in ("de", "en", "fr")]
     assert trees.languages == ["de", "en", "fr"] and runs[0] == len(language_id.LETTERS.findall(text.lower()))
     assert np.allclose(bits[0], expected)
 
 
 def test_word_memory_does_not_change_scores():
-    texts = ["the house and das haus", "", "été the", "then dann " * 50]
+    texts = pa.array(["the house and das haus", "", None, " été the\n", "then dann " * 50, "x" * 100])
     trees = language_id.Trees(COUNTS)
     small = language_id.Scorer(trees, cached=1)
     for _ in range(3):
