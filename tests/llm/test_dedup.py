@@ -133,7 +133,7 @@ def test_op7_minhash(spark, sf_dir):
     assert ordered(map(tuple, got.collect())) == ordered(brute_near(rows_of(spark, sf_dir), 4, 80))
 
 
-@pytest.mark.parametrize("name", sorted(queries.SQL))
+@pytest.mark.parametrize("name", ["op2_suffix_array", "op6_rabin_karp", "op7_minhash"])
 def test_sql_states_the_same(name, sf_dir, spark):
     """The SQL twins against brute force; the queries are held against it above."""
     rows = rows_of(spark, sf_dir)
@@ -203,6 +203,63 @@ def test_small_sets_fill_every_coordinate():
     assert (x == y).all() and (x == x[0]).all() and 0.4 < (z == x).mean() < 0.6
 
 
+def family(n, words=400, changed=7, seed=1):
+    """Copies of one text, each with words of its own at a few places: similarities of 0.75 to 0.82."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(words)]
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for at in rng.sample(range(words), changed):
+            own[at] = f"own{i}at{at}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_families_send_rows_in_proportion(spark, documents, monkeypatch):
+    """Members, links and pairs of the first step grow with the family and not with its pairs."""
+    sent = {}
+    real = minhash.saved
+
+    def counted(df, label):
+        table = real(df, label)
+        if label in ("minhash-pairs", "minhash-members", "minhash-met"):
+            sent[n] = sent.get(n, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(minhash, "saved", counted)
+    for n in (150, 300, 600):
+        rows = family(n)
+        got = minhash.near_duplicates(documents(rows)).collect()
+        if n == 150:
+            assert ordered(map(tuple, got)) == ordered(brute_near(rows, 4, 80))
+    assert sent[600] < 6 * sent[150] and sent[600] < 600 * minhash.BANDS
+
+
+def test_small_blocks_give_the_same(documents, monkeypatch):
+    """Bands cut into many blocks, with components that fill blocks of their own."""
+    rows = family(80, 200, 3, 2) + [(1000 + i, t.replace("w1", "v1")) for i, t in family(40, 200, 3, 2)] + made_up()
+    whole = ordered(map(tuple, minhash.near_duplicates(documents(rows)).collect()))
+    assert whole == ordered(brute_near(rows, 4, 80))
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    assert ordered(map(tuple, minhash.near_duplicates(documents(rows)).collect())) == whole
+
+
+def test_recall_at_the_threshold(documents):
+    """Pairs whose similarity is 0.80 to 0.82 and that nothing else links."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(600):
+        base = [f"p{i}w{j}" for j in range(300)]
+        other = list(base)
+        for at in rng.sample(range(3, 297), 8):
+            other[at] = f"x{i}at{at}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    linked = {d for d, _, c, _ in brute_near(rows, 4, 80) if c != d}
+    got = {r.doc_id for r in minhash.near_duplicates(documents(rows)).collect() if not r.kept}
+    assert len(linked) > 200 and got <= linked and len(got) >= 0.99 * len(linked)
+
+
 def test_components_of_chains(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (105, 101), (200, 200)]
     got = {r.node: r.root for r in components.roots(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -32,14 +32,16 @@ def without_repeated_bytes(rows, width):
 def test_rows_against_brute_force(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in table.orderBy("doc_id").collect()]
-    trees = language_id.fit(table)
-    bits, runs = language_id.Scorer(trees)([t for _, t in rows])
+    trees = language_id.fit(table, limits=True)
+    bits, runs, coded = language_id.Scorer(trees)(pa.array([t for _, t in rows], pa.string()))
     share = 1 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1)
-    rows = [r for r, n, p in zip(rows, runs, share, strict=True) if n and p >= corpus_pipeline.LANGUAGE_SHARE]
+    most = np.array(trees.limits)[bits.argmin(axis=1)] * (1 + language_id.SHORT / np.maximum(coded, 1))
+    fits = bits.min(axis=1) / np.maximum(coded, 1) <= most
+    rows = [r for r, n, p, f in zip(rows, runs, share, fits, strict=True) if n and p >= corpus_pipeline.LANGUAGE_SHARE and f]
     known = table.filter(table.doc_id.isin([i for i, _ in rows]))
     field = line_crf.fit(known, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scores = field.scores(*text_buffers(pa.array([t for _, t in rows], pa.string())))
-    rows = [r for r, s in zip(rows, scores, strict=True) if s >= corpus_pipeline.QUALITY_SCORE]
+    rows = [r for r, s in zip(rows, scores, strict=True) if s >= line_crf.THRESHOLD]
     kept = {d for d, _, _, own in brute_near(rows, 5, 80) if own}
     rows = without_repeated_bytes([r for r in rows if r[0] in kept], 200)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
