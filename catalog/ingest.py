@@ -108,12 +108,16 @@ def log_cursor(spark, sf):
     return logs.next_cursor(fresh, cursor)
 
 
-@query(f"""SELECT p.event_id, p.name, p.value, p.tag, p.additional_info, p."timestamp" FROM {PARSED_SQL} p
+SKIP_PATTERN = "mod5 .*purchase"
+SKIPPED_SQL = f"""SELECT p.event_id, p.name, p.value, p.tag, p.additional_info, p."timestamp" FROM {PARSED_SQL} p
     JOIN (SELECT event_id // 1000 AS file, min(event_id) AS first FROM {LOG_SQL}
-          WHERE regexp_matches(line, 'mod5 .*purchase') GROUP BY 1) f
-    ON p.event_id // 1000 = f.file AND p.event_id >= f.first""")
+          WHERE regexp_matches(line, '{SKIP_PATTERN}') GROUP BY 1) f
+    ON p.event_id // 1000 = f.file AND p.event_id >= f.first"""
+
+
+@query(SKIPPED_SQL)
 def skip_until_logs(spark, sf):
-    return _parse(log_lines(raw_events(spark, sf)), LOG_CONFIG | {"skip_until": "mod5 .*purchase"})
+    return _parse(log_lines(raw_events(spark, sf)), LOG_CONFIG | {"skip_until": SKIP_PATTERN})
 
 
 @query(f"""SELECT event_id, 'log_message' AS name, CAST(1 AS DOUBLE) AS value, upper(regexp_extract(line, '#(\\w+)#', 1)) AS tag,

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SHARED: dict[str, str] = {}
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def local_session(cpus: int | str = 8, app_name: str = "tickloom") -> SparkSession:
@@ -42,6 +44,15 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Python workers find this package by path. Only stateful processors and data
+    sources written in Python need it."""
+    known = spark.sparkContext.environment
+    if ROOT not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known.get("PYTHONPATH")) if x)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by `spark.checkpoint.dir`."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -16,9 +16,22 @@ from tickloom.model import gate_named, micros
 from tickloom.operators.retention import RetentionRule
 from tickloom.operators.stats import RUN_LOG_SCHEMA
 from tickloom.sources.event_store import append_events, apply_retention
-from tickloom.sources.logs import DEFAULT_EVENT_NAME, LogFormat, read_log_events
+from tickloom.sources.logs import DEFAULT_EVENT_NAME, LogFormat, as_events, parse_lines, read_log_events
+from tickloom.sources.tail import read_added, read_offsets, started_lines, write_offsets
 
-Collect = Callable[[SparkSession, Mapping[str, Any], datetime | None], DataFrame]
+
+@dataclass
+class Increment:
+    """Events that are new since a place the collector keeps itself. `owner` names
+    the increment, so one that is collected again replaces what it wrote; `commit`
+    moves the place and is called once the events are in the table."""
+
+    events: DataFrame
+    owner: str
+    commit: Callable[[], None]
+
+
+Collect = Callable[[SparkSession, Mapping[str, Any], datetime | None], DataFrame | Increment]
 
 
 Retention = Callable[[Mapping[str, Any]], Sequence[Mapping[str, Any]]]
@@ -143,7 +156,9 @@ def run_collectors(
             continue
         began, error, seen = time.monotonic(), None, {}
         try:
-            collected = c.collect(spark, c.config, read_cursor(spark, cursors, c.key))
+            collected, owner, commit = c.collect(spark, c.config, read_cursor(spark, cursors, c.key)), None, None
+            if isinstance(collected, Increment):
+                collected, owner, commit = collected.events, f"{c.key}#{collected.owner}", collected.commit
             watch, nameless = Observation(), F.coalesce(F.col("name") == "", F.lit(True))
             collected = collected.observe(
                 watch,
@@ -151,8 +166,10 @@ def run_collectors(
                 F.count_if(nameless).alias("rejected"),
                 F.max(F.unix_micros("timestamp")).alias("newest"),
             )
-            append_events(gate_named(collected)[0], store, new_ids=True)
+            append_events(gate_named(collected)[0], store, new_ids=True, owner=owner)
             seen = _observed(watch)
+            if commit is not None:
+                commit()
             if seen.get("newest") is not None:
                 moved = spark.range(1, numPartitions=1).select(
                     F.lit(c.key).alias("key"), F.timestamp_micros(F.lit(seen["newest"])).alias("last_timestamp")
@@ -206,6 +223,21 @@ def collect_logs(spark: SparkSession, config: Mapping[str, Any], cursor: datetim
     return read_log_events(spark, config["log_file_path"], LogFormat.parse(config), as_of, cursor)
 
 
+def collect_log_tail(spark: SparkSession, config: Mapping[str, Any], cursor: datetime | None) -> Increment:
+    """Events of what was added to the log files at `log_file_path` since the offsets
+    kept at `offsets_path`, wherever the cursor is; no file is read twice."""
+    for required in ("log_file_path", "offsets_path"):
+        if not config.get(required):
+            raise ValueError(f"{required} not specified in collector configuration")
+    fmt, offsets = LogFormat.parse(config), config["offsets_path"]
+    number, since = read_offsets(spark, f"{offsets}/read")
+    lines, until = read_added(spark, config["log_file_path"], since)
+    if fmt.skip_until:
+        lines, fmt = started_lines(lines, fmt, f"{offsets}/started", number + 1)
+    events = as_events(parse_lines(lines, fmt, config.get("as_of") or datetime.now()), F.lit(None))
+    return Increment(events, f"{offsets}#{number + 1}", lambda: write_offsets(spark, f"{offsets}/read", number + 1, until))
+
+
 def log_retention(config: Mapping[str, Any]) -> list[dict[str, Any]]:
     """The age named by `retention_days`; without one nothing is ever deleted."""
     name = config.get("event_name") or DEFAULT_EVENT_NAME
@@ -214,3 +246,4 @@ def log_retention(config: Mapping[str, Any]) -> list[dict[str, Any]]:
 
 
 register("logs_collector", collect_logs, log_retention)
+register("logs_tail_collector", collect_log_tail, log_retention)

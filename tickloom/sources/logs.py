@@ -5,17 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from datetime import datetime, timedelta, timezone
+from datetime import datetime
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.functions.timestamps import parse_log_time, strip
-from tickloom.model import EVENT_COLUMNS, EVENT_SCHEMA, Instant, instant, micros
+from tickloom.model import EVENT_COLUMNS, EVENT_SCHEMA, Instant, instant
 
 DEFAULT_EVENT_NAME = "log_message"  # fixed value
 SEPARATOR = "\x1f"
-CLOCK_DAYS = 2  # what a log clock and a file clock may differ
 _ALL = 2**31 - 1
 
 
@@ -74,6 +73,25 @@ def skip_until(lines: DataFrame, pattern: str) -> DataFrame:
     return lines.join(first, "file").where(F.col("pos") >= F.col("_first")).drop("_first")
 
 
+def first_matches(lines: DataFrame, pattern: str, started: DataFrame) -> DataFrame:
+    """One row per file of an increment: `_first`, its first match here, and
+    `_seen`, whether it had one in an earlier increment.
+
+    `was` is the name a file had then, null if it is new, so a file that took the
+    name of another waits for its own match, and a renamed one goes on.
+    """
+    hit = F.min(F.when(search(F.col("line"), pattern), F.col("pos"))).alias("_first")
+    here = lines.groupBy("file", "was").agg(hit)
+    known = started.select(F.col("file").alias("was"), F.lit(True).alias("_seen")).distinct()
+    return here.join(known, "was", "left").select("file", "_first", F.coalesce("_seen", F.lit(False)).alias("_seen"))
+
+
+def after_matches(lines: DataFrame, matches: DataFrame) -> DataFrame:
+    """Lines of files that had their match before, and from the first match of the others on."""
+    joined = lines.join(matches, "file")
+    return joined.where(F.col("_seen") | (F.col("pos") >= F.col("_first"))).drop("_first", "_seen")
+
+
 def with_groups(lines: DataFrame, pattern: str, indexes: Sequence[int]) -> DataFrame:
     """Add `_groups`: the wanted groups of an anchored match, NULL without a match.
 
@@ -165,18 +183,13 @@ def next_cursor(events: DataFrame, cursor: datetime | None = None) -> DataFrame:
     return events.agg(newest.alias("last_timestamp"))
 
 
-def read_log_lines(spark: SparkSession, path: str, modified_after: datetime | None = None) -> DataFrame:
+def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files with their file and position in it.
 
     Within a file, blocks are ordered by offset and lines by reading order.
-    Both columns are fixed right at the scan, before any shuffle. Files that
-    were not modified after the given moment are not opened.
+    Both columns are fixed right at the scan, before any shuffle.
     """
-    reader = spark.read
-    if modified_after is not None:
-        moment = datetime.fromtimestamp(micros(modified_after) // 1_000_000, timezone.utc)
-        reader = reader.option("modifiedAfter", moment.strftime("%Y-%m-%dT%H:%M:%S")).option("timeZone", "UTC")
-    raw = reader.text(path)
+    raw = spark.read.text(path)
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
     return raw.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), place.alias("pos"))
 
@@ -193,9 +206,8 @@ def read_log_events(
 ) -> DataFrame:
     """Events of a log folder that are newer than the cursor.
 
-    A file holds no events newer than its last change. Log times may be local, so
-    files changed up to `CLOCK_DAYS` before the cursor are read as well.
+    Every file is read whole, whenever it was changed; `tail` reads only what was
+    added to files since the last time.
     """
     fmt = config if isinstance(config, LogFormat) else LogFormat.parse(config)
-    changed = None if cursor is None else cursor - timedelta(days=CLOCK_DAYS)
-    return after_cursor(as_events(parse_lines(read_log_lines(spark, path, changed), fmt, as_of)), cursor)
+    return after_cursor(as_events(parse_lines(read_log_lines(spark, path), fmt, as_of)), cursor)

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import DataStreamWriter
 BATCH, MERGED = "batch=", "merged="
 
 
-def _path(spark: SparkSession, path: str):
+def hadoop_folder(spark: SparkSession, path: str):
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -30,7 +30,7 @@ def land(df: DataFrame, path: str, batch_id: int) -> None:
 
 def folders(spark: SparkSession, path: str) -> tuple[int | None, list[int]]:
     """The last merged batch, if there is one, and the batches behind it."""
-    folder, fs = _path(spark, path)
+    folder, fs = hadoop_folder(spark, path)
     names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
     numbers = lambda prefix: sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix))
     merged = (numbers(MERGED) or [None])[-1]
@@ -59,10 +59,10 @@ def compact(spark: SparkSession, path: str, schema: str, merge: Callable[[DataFr
     rows = landed(spark, path, schema).where(F.col("batch_id") <= upto)
     aside = f"{path}/_merging-{uuid.uuid4().hex}"
     merge(rows).hint("rebalance").write.parquet(aside)
-    source, fs = _path(spark, aside)
-    fs.rename(source, _path(spark, f"{path}/{MERGED}{upto}")[0])
+    source, fs = hadoop_folder(spark, aside)
+    fs.rename(source, hadoop_folder(spark, f"{path}/{MERGED}{upto}")[0])
     for name in [f"{BATCH}{n}" for n in batches if n <= upto] + ([] if merged is None else [f"{MERGED}{merged}"]):
-        fs.delete(_path(spark, f"{path}/{name}")[0], True)
+        fs.delete(hadoop_folder(spark, f"{path}/{name}")[0], True)
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
