@@ -75,7 +75,11 @@ def read_intervals(
 ) -> DataFrame:
     """Interval values from the landed partials, as in the batch operator."""
     check_interval(interval)
-    parts = landed(spark, path, PARTIAL_DDL)
+    return interval_values(landed(spark, path, PARTIAL_DDL), interval, function, by_tag)
+
+
+def interval_values(parts: DataFrame, interval: str, function: str, by_tag: bool = False) -> DataFrame:
+    """Interval values from partials; weeks, months and years from those of days."""
     if interval in CALENDAR_INTERVALS and interval != "day":
         start = bucket("start", interval)
     else:
