@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import functools
+
+from pyspark.sql import DataFrame, functions as F
 
 from catalog.base import APP, APP_NOW, EVERYTHING, USER, app, everything, mean_sql, query, raw_events, user
 from tickloom.operators import retention, stats
+from tickloom.plans.view import run_view
 from tickloom.session import fresh_dir
-from tickloom.sources import event_store
+from tickloom.sources import event_store, folders, merging, rollups
 from tickloom.sources.collectors import Collector, run_collectors
 
 RULES = [
@@ -53,6 +56,86 @@ def retention_in_place(spark, sf):
     return event_store.read_events(spark, path)
 
 
+def _many_writes(spark, sf, rows, writes, period="month"):
+    path = fresh_dir(spark, "store")
+    for part in range(writes):
+        event_store.append_events(rows.where(F.pmod("event_id", F.lit(writes)) == part), path, period)
+    return path
+
+
+@query(f"""SELECT * FROM (SELECT * FROM {USER} UNION ALL SELECT * FROM {APP}) WHERE {RULE_SQL} IS NULL""")
+def store_merged(spark, sf):
+    """Many small writes are merged, more come, some expire, and all is merged again: rows and ids stay."""
+    path = _many_writes(spark, sf, user(spark, sf), 9)
+    merging.merge_writes(spark, path, at_least=4)
+    event_store.append_events(app(spark, sf), path, "month")
+    event_store.apply_retention(spark, path, RULES, APP_NOW)
+    merging.merge_writes(spark, path, at_least=2)
+    return event_store.read_events(spark, path)
+
+
+@query("""SELECT (SELECT count(DISTINCT event_type) FROM events) AS names, 9 * (SELECT count(DISTINCT event_type) FROM events) AS before,
+    (SELECT count(DISTINCT event_type) FROM events) AS after""")
+def store_merged_folders(spark, sf):
+    """Folders of a month in nine writes, before and after merging: one for each name is left."""
+    path = _many_writes(spark, sf, user(spark, sf).withColumn("timestamp", F.date_trunc("month", "timestamp")), 9)
+    count = lambda: folders.table_folders(spark, path).count()
+    before = count()
+    merging.merge_writes(spark, path)
+    names = event_store.read_events(spark, path).agg(F.count_distinct("name").alias("names"))
+    return names.withColumns({"before": F.lit(before).cast("long"), "after": F.lit(count()).cast("long")})
+
+
+ROLLUP_VIEW = {
+    "id": "kept",
+    "data": [
+        {"id": "all", "event": "app_event"},
+        {"id": "recent", "event": "app_event", "max_age_days": 12.7},
+        {"id": "errors", "event": "app_event", "tags": ["error"]},
+    ],
+    "widgets": [
+        *[
+            {"title": kind, "type": "counter", "data_sources": ["recent"], "counter_type": kind}
+            for kind in ("last", "first", "average", "max", "min", "count", "diff_last_first", "diff_max_min")
+        ],
+        {"title": "pie", "type": "pie_chart", "data_sources": [{"id": "errors"}, {"id": "all", "tags": ["view", "click"]}], "style": {"aggregation_type": "count"}},
+        {"title": "weeks", "type": "bar_graph", "data_sources": ["errors"], "time_aggregation": {"starting_value": "week", "aggregation_function": "count"}},
+    ],
+}
+_RECENT = f"""(SELECT * FROM {APP} WHERE "timestamp" >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '{round(12.7 * 86400)} seconds'
+    AND NOT (tag = 'error' AND "timestamp" < TIMESTAMP '2024-01-21 00:00:00'))"""
+_KEPT_APP = f"""(SELECT * FROM {APP} WHERE NOT (tag = 'error' AND "timestamp" < TIMESTAMP '2024-01-21 00:00:00'))"""
+
+
+@query(f"""WITH r AS (SELECT arg_max(value, ("timestamp", event_id)) AS l, arg_min(value, ("timestamp", event_id)) AS f, {mean_sql("avg(value)")} AS a,
+        max(value) AS h, min(value) AS o, CAST(count(*) AS DOUBLE) AS n FROM {_RECENT}),
+    pie AS (SELECT 0 AS i, CAST(count(*) AS DOUBLE) AS v FROM {_KEPT_APP} WHERE tag = 'error'
+        UNION ALL SELECT 1, count(*) FROM {_KEPT_APP} WHERE tag IN ('view', 'click'))
+    SELECT title, CAST(NULL AS TIMESTAMP) AS "timestamp", round(value, 4) AS value FROM r, LATERAL (VALUES ('last', l), ('first', f), ('average', a), ('max', h),
+        ('min', o), ('count', n), ('diff_last_first', l - f), ('diff_max_min', h - o)) t(title, value)
+    UNION ALL SELECT 'pie ' || CAST(i AS VARCHAR), NULL, v FROM pie
+    UNION ALL SELECT 'weeks', s.b, coalesce(v.n, 0) FROM
+        (SELECT unnest(generate_series((SELECT date_trunc('week', min("timestamp")) FROM {_KEPT_APP} WHERE tag = 'error'), TIMESTAMP '2024-01-31 00:00:00', INTERVAL 7 DAY)) AS b) s
+        LEFT JOIN (SELECT CAST(date_trunc('week', "timestamp") AS TIMESTAMP) AS b, CAST(count(*) AS DOUBLE) AS n FROM {_KEPT_APP} WHERE tag = 'error' GROUP BY 1) v ON v.b = s.b""")
+def view_from_rollup(spark, sf):
+    """A view answered from kept hourly partials, after appends, retention and merging."""
+    path, kept = fresh_dir(spark, "store"), fresh_dir(spark, "rollup")
+    rows = app(spark, sf)
+    for part in range(3):
+        event_store.append_events(rows.where(F.pmod("event_id", F.lit(3)) == part), path, "month")
+        rollups.refresh(spark, path, kept)
+    event_store.apply_retention(spark, path, RULES, APP_NOW)
+    merging.merge_writes(spark, path, at_least=2)
+    rollups.refresh(spark, path, kept)
+    result = run_view(event_store.read_events(spark, path), ROLLUP_VIEW, APP_NOW, kept=rollups.read_rollup(spark, path, kept))
+    parts = []
+    for title, frame in result.widgets.items():
+        name = F.concat(F.lit("pie "), F.col("series_idx").cast("string")) if title == "pie" else F.lit(title)
+        moment = F.col("timestamp") if title == "weeks" else F.lit(None).cast("timestamp")
+        parts.append(frame.select(name.alias("title"), moment.alias("timestamp"), F.round(F.col("value").cast("double"), 4).alias("value")))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 @query(f"""SELECT * FROM {USER} WHERE {RULE_SQL} IS NULL""")
 def retention_copy(spark, sf):
     path, target = fresh_dir(spark, "store"), fresh_dir(spark, "store")

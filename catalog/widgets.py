@@ -312,6 +312,18 @@ def table_top_k_choices(spark, sf):
     return tables.filter_choices(user(spark, sf), "additional_info", 20)
 
 
+# Value k comes about 1 / k as often as the first: few values are common, most occur once or twice.
+ZIPF_SQL = "CAST(CAST(floor(pow(8192.0, (event_id * 7919 % 100003) / 100003.0)) AS BIGINT) AS VARCHAR)"
+
+
+@query(f"""SELECT choice FROM (SELECT {ZIPF_SQL} AS choice, count(*) AS n FROM events GROUP BY 1) ORDER BY n DESC, choice LIMIT 12""")
+def table_heavy_choices(spark, sf):
+    """The most common of thousands of values, from candidates that are counted exactly."""
+    place = F.pmod(F.col("event_id") * 7919, F.lit(100003)) / F.lit(100003.0)
+    rows = app(spark, sf).withColumn("additional_info", F.floor(F.pow(F.lit(8192.0), place)).cast("long").cast("string"))
+    return tables.heavy_choices(rows, "additional_info", 12, tracked=64)
+
+
 @query(f"""SELECT choice, (SELECT count(*) FROM {ORDER} WHERE tag = choice) AS n FROM (VALUES ('F'), ('P'), ('5')) c(choice)""")
 def table_listed_choices(spark, sf):
     """Choices listed by the config, in full, with the rows behind each."""

@@ -93,14 +93,14 @@ def test_appends_during_retention_survive(spark, tmp_path, monkeypatch):
     """Events that arrive between the decision and the replacement are kept."""
     path = str(tmp_path / "store")
     event_store.append_events(events(spark, STORED), path)
-    replace, late = event_store._replace, [(9, "x y", 9.0, "a", None, "2024-01-01T00:00:00")]
+    replace, late = event_store.replace_folders, [(9, "x y", 9.0, "a", None, "2024-01-01T00:00:00")]
 
     def replace_later(rows, where):
-        monkeypatch.setattr(event_store, "_replace", replace)
+        monkeypatch.setattr(event_store, "replace_folders", replace)
         event_store.append_events(events(spark, late), path)
         replace(rows, where)
 
-    monkeypatch.setattr(event_store, "_replace", replace_later)
+    monkeypatch.setattr(event_store, "replace_folders", replace_later)
     event_store.apply_retention(spark, path, rules({"event_name": "x y", "max_age_days": 7}), NOW)
     assert sorted(r.event_id for r in event_store.read_events(spark, path).collect()) == [3, 5, 9]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime
 from typing import Any
 
@@ -16,13 +16,17 @@ from tickloom.operators.timeseries import fill_axis, raw_points
 DEFAULT_ZONES = ((30, "#67e0e3"), (70, "#37a2da"), (100, "#fd666d"))
 
 
-def scalar_by_series(df: DataFrame, kind: str) -> DataFrame:
+# The expression of an aggregate by its name: over events, or over partials of them.
+Aggregate = Callable[[str], Column]
+
+
+def scalar_by_series(df: DataFrame, kind: str, expression: Aggregate = aggregate) -> DataFrame:
     """One aggregate per series; series without events have no row."""
-    return df.groupBy("series_idx").agg(aggregate(kind).alias("value"))
+    return df.groupBy("series_idx").agg(expression(kind).alias("value"))
 
 
-def counter(df: DataFrame, kind: str) -> DataFrame:
-    return scalar_by_series(df, kind).select("value")
+def counter(df: DataFrame, kind: str, expression: Aggregate = aggregate) -> DataFrame:
+    return scalar_by_series(df, kind, expression).select("value")
 
 
 def gauge_zone(
@@ -33,7 +37,9 @@ def gauge_zone(
 ) -> Column:
     """First zone whose upper threshold (0..100) covers the value, else the last one."""
     zones = zones or DEFAULT_ZONES
-    share = F.greatest(F.lit(0.0), F.least(F.lit(100.0), (value - low) / float(high - low) * 100))
+    span = float(high - low)
+    share = (value - low) / span * 100 if span else F.when(value > low, 100.0).otherwise(0.0)
+    share = F.greatest(F.lit(0.0), F.least(F.lit(100.0), share))
     zone = F.when(share <= min(100.0, max(0.0, float(zones[0][0]))), F.lit(str(zones[0][1])))
     for threshold, color in zones[1:]:
         zone = zone.when(share <= min(100.0, max(0.0, float(threshold))), F.lit(str(color)))
@@ -46,15 +52,16 @@ def gauge(
     zones: Sequence[Sequence[Any]] | None = None,
     low: float = 0,
     high: float = 100,
+    expression: Aggregate = aggregate,
 ) -> DataFrame:
     """Gauge reading: magnitude of the aggregate, its zone, time of the last event."""
     reading = df.groupBy("series_idx").agg(
-        F.abs(F.coalesce(aggregate(kind), F.lit(0.0))).alias("value"), F.max("timestamp").alias("last_time")
+        F.abs(F.coalesce(expression(kind), F.lit(0.0))).alias("value"), expression("last_datetime").alias("last_time")
     )
     return reading.select("value", gauge_zone(F.col("value"), zones, low, high).alias("zone"), "last_time")
 
 
-def pie(df: DataFrame, labels: Sequence[str], kind: str = "sum") -> DataFrame:
+def pie(df: DataFrame, labels: Sequence[str], kind: str = "sum", expression: Aggregate = aggregate) -> DataFrame:
     """One slice per series: magnitude, total and percentage; empty series give 0.
 
     The slice list is the widget's series list, so the join, the total and the
@@ -67,7 +74,7 @@ def pie(df: DataFrame, labels: Sequence[str], kind: str = "sum") -> DataFrame:
         ).alias("slice")
     )
     slices = slices.select("slice.series_idx", "slice.label")
-    sized = slices.join(scalar_by_series(df, kind), "series_idx", "left").select(
+    sized = slices.join(scalar_by_series(df, kind, expression), "series_idx", "left").select(
         "series_idx", "label", F.abs(F.coalesce(F.col("value"), F.lit(0))).cast("double").alias("value")
     )
     total = F.sum("value").over(Window.partitionBy())

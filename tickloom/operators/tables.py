@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tickloom.functions.conditions import NUMERIC_FIELDS, evaluate
 from tickloom.functions.numbers import literal_text, number_text
 from tickloom.operators.ordered import number_rows
+from tickloom.session import stored
 
 # Event fields a table column may show.
 EVENT_FIELDS = ("value", "tag", "time", "additional_info", "event_name", "index")
@@ -115,6 +117,39 @@ def filter_choices(
     return counts.orderBy(F.col("n").desc(), "choice").limit(int(choices)).select("choice")
 
 
+def heavy_choices(rows: DataFrame, event_field: str, choices: int, tracked: int = 1024, most: int = 1 << 18) -> DataFrame:
+    """The `choices` most common values of a field with very many different ones, exactly.
+
+    Every task keeps a sketch of `tracked` candidates; merged, it holds each value
+    whose count is beyond a known share of the rows. A second pass counts the
+    candidates exactly. If the last of the choices is beyond that share, no value
+    outside can be among them; otherwise the sketch is made four times as large,
+    and beyond `most` all values are counted. Only sketches and counts of
+    candidates are shuffled, `tracked` rows a task at most.
+    """
+    values = rows.select(field_text(event_field).alias("choice")).where(F.col("choice") != "")
+    while tracked <= most:
+        sketch = F.expr(f"approx_top_k(choice, {tracked}, {tracked})")
+        top, n = values.agg(sketch.alias("top"), F.count(F.lit(1)).alias("n")).first()
+        found = [r["item"] for r in top or ()]
+        candidates = rows.sparkSession.createDataFrame([(c,) for c in found], "choice string")
+        counts = values.join(F.broadcast(candidates), "choice").groupBy("choice").agg(F.count(F.lit(1)).alias("n"))
+        counts = stored(counts, "heavy-choices")
+        ranked = counts.orderBy(F.col("n").desc(), "choice").limit(int(choices))
+        last = ranked.agg(F.count(F.lit(1)), F.min("n")).first()
+        if not n or (last[0] == choices and last[1] > _unseen(tracked, n)):
+            return ranked.select("choice")
+        tracked *= 4
+    return filter_choices(rows, event_field, choices)
+
+
+def _unseen(tracked: int, n: int) -> float:
+    """How often a value can occur among n that the sketch does not name: 3.5 over
+    the slots of its map, a power of two of which three quarters are used."""
+    slots = 1 << math.ceil(math.log2(tracked / 0.75))
+    return 3.5 / slots * n
+
+
 def apply_filters(
     rows: DataFrame, columns: Sequence[Mapping[str, str]], selected: Mapping[str, Sequence[Any]]
 ) -> DataFrame:

@@ -8,14 +8,16 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tickloom.functions.aggregates import aggregate
 from tickloom.functions.buckets import bucket
 from tickloom.model import EVENT_COLUMNS, Instant
-from tickloom.operators import charts, tables
+from tickloom.operators import charts, rollup, tables
 from tickloom.operators.retrieve import between, within
 from tickloom.operators.series import belongs, mutate_series, series_frame
 from tickloom.operators.timeseries import interval_aggregate, oldest_max_age
 from tickloom.plans.specs import SourceSpec, ViewSpec, WidgetSpec
 from tickloom.session import stored
+from tickloom.sources.rollups import Rollup
 
 
 @dataclass
@@ -84,20 +86,30 @@ def widget_input(
         frame = between(frame, *time_range)
     bucketed = interval != "disabled"
     if bucketed:
-        function = widget.time_aggregation.function if widget.time_aggregation else "sum"
-        missing = F.lit(None).cast("string")
-        frame = interval_aggregate(frame, interval, function).select(
-            "series_idx",
-            F.lit(0).cast("long").alias("event_id"),
-            "name",
-            "value",
-            missing.alias("tag"),
-            missing.alias("additional_info"),
-            "timestamp",
-        )
+        frame = _bucket_rows(interval_aggregate(frame, interval, _bucket_function(widget)))
     return mutate_series(frame, widget.series, tie="event_id", bounded=bucketed)
 
 
+def _bucket_function(widget: WidgetSpec) -> str:
+    return widget.time_aggregation.function if widget.time_aggregation else "sum"
+
+
+def _bucket_rows(buckets: DataFrame) -> DataFrame:
+    """Interval values in the columns of events."""
+    missing = F.lit(None).cast("string")
+    event_id = F.lit(0).cast("long").alias("event_id")
+    return buckets.select("series_idx", event_id, "name", "value", missing.alias("tag"), missing.alias("additional_info"), "timestamp")
+
+
+def rollup_input(widget: WidgetSpec, sources: Mapping[str, DataFrame], interval: str) -> DataFrame:
+    """What `widget_input` gives, from the partials of the sources: interval values, or partials of undivided series."""
+    frame = series_frame(sources, widget.series)
+    if interval == "disabled":
+        return frame
+    buckets = rollup.interval_values(frame, interval, _bucket_function(widget))
+    return mutate_series(_bucket_rows(buckets), widget.series, tie="event_id", bounded=True)
+
+
 def widget_result(
     widget: WidgetSpec,
     frame: DataFrame,
@@ -105,21 +117,22 @@ def widget_result(
     interval: str,
     as_of: datetime,
     selected: Mapping[str, list[object]] | None = None,
+    expression: charts.Aggregate = aggregate,
 ) -> DataFrame:
     """Shape a widget's input the way its type asks for."""
     style = widget.style
     if widget.type == "counter":
-        return charts.counter(frame, widget.aggregate)
+        return charts.counter(frame, widget.aggregate, expression)
     if widget.type == "gauge":
-        low, high = style.get("min") or 0, style.get("max") or 100
-        reading = charts.gauge(frame, widget.aggregate, style.get("axis_colors"), low, high)
+        low, high = (d if style.get(k) is None else style[k] for k, d in (("min", 0), ("max", 100)))
+        reading = charts.gauge(frame, widget.aggregate, style.get("axis_colors"), low, high, expression)
         return reading if widget.config.get("show_last_value_time") else reading.drop("last_time")
     if widget.type == "pie_chart":
         given = style.get("labels") or []
         labels = [
             given[i] if i < len(given) and given[i] else s.label for i, s in enumerate(widget.series)
         ]
-        return charts.pie(frame, labels, widget.aggregate)
+        return charts.pie(frame, labels, widget.aggregate, expression)
     if widget.type in ("line_graph", "bar_graph"):
         age = oldest_max_age([specs[s.id].max_age_days for s in widget.series])
         default = None if widget.type == "line_graph" else 0.0
@@ -157,6 +170,7 @@ def run_view(
     time_range: tuple[Instant | None, Instant | None] | None = None,
     selected: Mapping[str, Mapping[str, list[object]]] | None = None,
     share: bool = False,
+    kept: Rollup | None = None,
 ) -> ViewResult:
     """Plan every widget of a view.
 
@@ -164,7 +178,8 @@ def run_view(
     filter selections by title. With `share`, sources that feed several widgets
     are written to the shared scratch folder first, so that each is read from
     the events once however many widgets are run. Widgets naming a missing
-    source are skipped.
+    source are skipped. Widgets that kept partials can answer are answered from
+    these, without a look at the events.
     """
     spec = view if isinstance(view, ViewSpec) else ViewSpec.parse(view)
     resolved = spec.params(params)
@@ -178,6 +193,9 @@ def run_view(
         frames[sid] = source.to_df(events, as_of, resolved).select(*EVENT_COLUMNS)
         if share and uses[sid] > 1:
             frames[sid] = stored(frames[sid], "view-source")
+    sums = {}
+    if kept is not None:
+        sums = {sid: rollup.source_partials(kept.kept, kept.events, specs[sid], specs[sid].event_name(resolved), as_of) for sid in frames}
 
     for widget in spec.widgets:
         if not widget.series or any(s.id not in frames for s in widget.series):
@@ -189,7 +207,9 @@ def run_view(
         if widget.time_aggregation:
             default = page_interval or spec.default_time_aggregation
             interval = widget.time_aggregation.interval((intervals or {}).get(title), default)
-        frame = widget_input(widget, frames, specs, interval, time_range)
+        ranged = bool(time_range and widget.time_range_filter)
+        from_sums = kept is not None and rollup.answers(widget, specs, interval, ranged)
+        frame = rollup_input(widget, sums, interval) if from_sums else widget_input(widget, frames, specs, interval, time_range)
         in_range = F.lit(True)
         if time_range and widget.time_range_filter:
             in_range = within(*time_range)
@@ -205,6 +225,7 @@ def run_view(
                 offered = tables.filter_choices(rows, titles[each["field"]], each.get("choices"))
                 result.choices[title, each["field"]] = offered
         result.widgets[title] = widget_result(
-            widget, frame, specs, interval, as_of, (selected or {}).get(title)
-        )
+            widget, frame, specs, interval, as_of, (selected or {}).get(title),
+            rollup.merged if from_sums and interval == "disabled" else aggregate,
+        )
     return result

@@ -21,6 +21,8 @@ from tickloom.model import EVENT_COLUMNS, EVENT_SCHEMA, Instant, normalize_event
 from tickloom.operators.retention import RetentionRule, check_rules, retained, with_rule
 from tickloom.operators.retrieve import since as rows_since
 from tickloom.session import stored
+from tickloom.sources import merges
+from tickloom.sources.folders import hadoop_path as _folder, remove_folders, table_folders
 
 RECORD_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 STORE_SCHEMA = StructType([*EVENT_SCHEMA.fields, StructField("period", DateType()), StructField("write", LongType())])
@@ -30,12 +32,6 @@ FOLDER = ("name", "period", "write")
 WRITE_BITS, TASK_BITS, ROW_BITS = 22, 17, 24
 
 
-def _folder(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def claim_write(spark: SparkSession, path: str, owner: str | None = None) -> int:
     """A number for one write to the table that no other write gets.
 
@@ -88,19 +84,28 @@ def append_events(
     """
     if period not in ("day", "month"):
         raise ValueError(f"unknown period {period!r}")
-    write = claim_write(df.sparkSession, path, owner)
+    spark = df.sparkSession
+    write = claim_write(spark, path, owner)
+    if owner is not None and merges.was_merged(spark, path, write):
+        return write
     if new_ids:
         df = df.withColumn("event_id", numbered(write))
     start = F.date_trunc(period, "timestamp").cast("date")
     rows = df.select(*EVENT_COLUMNS, start.alias("period"), F.lit(write).cast("long").alias("write"))
-    _replace(rows, path)
+    replace_folders(rows, path)
+    if owner is not None and merges.was_merged(spark, path, write):  # while this wrote it again
+        again = table_folders(spark, path).where(F.col("write") == write).select("path")
+        remove_folders(spark, path, (r.path for r in again.toLocalIterator()))
+    merges.finished(spark, path, write)
     return write
 
 
-def _replace(rows: DataFrame, path: str) -> None:
-    """Write the folders that the rows belong to, and no others."""
-    writer = rows.hint("rebalance", *FOLDER).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*FOLDER).parquet(path)
+def replace_folders(rows: DataFrame, path: str, order: Sequence[str] = ()) -> None:
+    """Write the folders that the rows belong to, and no others; files may be sorted."""
+    rows = rows.hint("rebalance", *FOLDER)
+    if order:
+        rows = rows.sortWithinPartitions(*FOLDER, *order)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*FOLDER).parquet(path)
 
 
 def append_event(
@@ -141,9 +146,12 @@ def read_events(
     return rows.select(*EVENT_COLUMNS, *(["period"] if keep_period else []))
 
 
-def read_partitions(spark: SparkSession, path: str) -> DataFrame:
-    """Events with the first day and the write of the folder they lie in."""
-    return spark.read.schema(STORE_SCHEMA).parquet(path)
+def read_partitions(spark: SparkSession, path: str, below: Sequence[str] | None = None) -> DataFrame:
+    """Events with the first day and the write of the folder they lie in, of the
+    whole table or of the folders given by their paths below it."""
+    if below is not None:
+        return spark.read.schema(STORE_SCHEMA).option("basePath", path).parquet(*[f"{path}/{p}" for p in below])
+    return merges.counted(spark.read.schema(STORE_SCHEMA).parquet(path), path)
 
 
 def export_records(df: DataFrame, path: str) -> None:
@@ -185,6 +193,17 @@ def apply_retention(
     check_rules(rules)
     if not rules:
         return {}
+    counts = dict.fromkeys(range(len(rules)), 0)
+    while True:
+        before = merges.merges_so_far(spark, path)
+        for rule, n in _remove_expired(spark, path, rules, as_of).items():
+            counts[rule] += n
+        # What was merged while this ran may hold events it has not seen.
+        if merges.merges_so_far(spark, path) == before:
+            return counts
+
+
+def _remove_expired(spark: SparkSession, path: str, rules: Sequence[RetentionRule], as_of: datetime) -> dict[int, int]:
     latest = days_before(as_of, min(r.max_age_days for r in rules)).date() + timedelta(days=1)
     reached = read_partitions(spark, path).where(F.col("name").isin(sorted({r.event_name for r in rules})))
     touched = with_rule(reached.where(F.col("period") <= F.lit(latest)), rules, as_of)
@@ -194,14 +213,8 @@ def apply_retention(
     # One row per rule.
     counts = {r["_rule"]: r["n"] for r in touched.where(expired).groupBy("_rule").agg(F.count(F.lit(1)).alias("n")).collect()}
     mixed = folders.where(F.col("left") > 0).select(*FOLDER)
-    _replace(touched.where(~expired).drop("_rule").join(mixed, list(FOLDER), "left_semi"), path)
-    _remove_folders(spark, path, folders.where(F.col("left") == 0))
-    return {i: counts.get(i, 0) for i in range(len(rules))}
-
-
-def _remove_folders(spark: SparkSession, path: str, folders: DataFrame) -> None:
-    """Remove folders one after the other; the driver holds a part of the list at a time."""
+    replace_folders(touched.where(~expired).drop("_rule").join(mixed, list(FOLDER), "left_semi"), path)
     escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    for r in folders.toLocalIterator():
-        folder, fs = _folder(spark, f"{path}/name={escape(r['name'])}/period={r['period']}/write={r['write']}")
-        fs.delete(folder, True)
+    empty = folders.where(F.col("left") == 0).toLocalIterator()
+    remove_folders(spark, path, (f"name={escape(r['name'])}/period={r['period']}/write={r['write']}" for r in empty))
+    return counts
