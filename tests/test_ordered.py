@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.mutators import apply_mutators
 from tickloom.operators.metrics import counter_rates
 from tickloom.operators.ordered import number_rows, with_previous
+from tickloom.operators.timeseries import combine_on_axis
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -103,3 +104,34 @@ def test_rates_of_a_reset_counter(spark):
     assert nulled == {2: 1, 3: None, 4: None, 5: 2}
     with pytest.raises(ValueError):
         counter_rates(samples, on_reset="drop")
+
+
+def test_parts_find_the_rows_before_them_by_number(spark):
+    """Two thousand parts of a row or two: no join of all parts with all parts."""
+    settings = {"spark.sql.shuffle.partitions": "2000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    frame = skewed(spark, 3000)
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = with_previous(frame, ["value"], ["tag"], depth=2)
+        assert "NestedLoop" not in plan(got) and "CartesianProduct" not in plan(got)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        rows = sorted(map(repr, got.collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert rows == sorted(map(repr, with_previous(frame, ["value"], ["tag"], bounded=True, depth=2).collect()))
+
+
+def test_pairwise_mean_of_a_slot_over_many_parts(spark, parts):
+    frame = skewed(spark, 400).select(F.lit(0).alias("series_idx"), "timestamp", F.coalesce("value", F.lit(1.0)).alias("value"))
+    frame = frame.groupBy("series_idx", "timestamp").agg(F.max("value").alias("value"))
+    slot = F.when(F.second("timestamp") < 3, F.date_trunc("minute", "timestamp")).otherwise(F.lit(START))
+    got = combine_on_axis(frame, slot)
+    assert "collect_list" not in plan(got)
+    want = combine_on_axis(frame, slot, bounded=True)
+    rounded = lambda df: sorted(df.select("slot", F.round("value", 9)).collect())
+    assert rounded(got) == rounded(want)
+    assert combine_on_axis(frame.limit(0), slot).count() == 0

@@ -56,11 +56,12 @@ def with_previous(
         return df.select("*", *[F.lag(c, j).over(by_key).alias(name) for (c, j), name in names.items()])
     rows, parts = _placed(df, order)
     own = rows.withColumns({"_at": F.col("_start") + F.col("_row"), "_is_row": F.lit(1)})
-    # The last rows of a part are handed to the parts that begin close behind them.
+    # The last rows of a part are handed to the parts that begin close behind them:
+    # each part names the places it looks back at, and finds them by their number.
     ends = own.where(F.col("_size") - F.col("_row") <= depth).drop("_part", "_start", "_size")
-    begins = parts.select(F.col("_part"), F.col("_start").alias("_begin"))
-    near = (F.col("_begin") > F.col("_at")) & (F.col("_begin") <= F.col("_at") + depth)
-    heads = ends.join(F.broadcast(begins), near).withColumn("_is_row", F.lit(0))
+    places = F.sequence(F.greatest(F.col("_start") - depth, F.lit(0)), F.col("_start") - 1)
+    looked_at = parts.where(F.col("_start") > 0).select("_part", F.explode(places).alias("_at"))
+    heads = ends.join(looked_at, "_at").withColumn("_is_row", F.lit(0))
     shape = [*df.columns, "_part", "_at", "_is_row"]
     inside = Window.partitionBy("_part", *keys).orderBy("_at")
     lags = [F.lag(c, j).over(inside).alias(name) for (c, j), name in names.items()]
@@ -68,6 +69,14 @@ def with_previous(
     return found.where(F.col("_is_row") == 1).select(*df.columns, *names.values())
 
 
+def place_in_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add `_part`, and of the rows of a key in it `_rank` (from 1) and `_behind` (rows after the row)."""
+    rows, _ = _placed(df, [*keys, *order])
+    group = Window.partitionBy("_part", *keys)
+    first, last = F.min("_row").over(group), F.max("_row").over(group)
+    return rows.select(*df.columns, "_part", (F.col("_row") - first + 1).alias("_rank"), (last - F.col("_row")).alias("_behind"))
+
+
 def number_rows(df: DataFrame, order: Sequence[str | Column], name: str = "row_index") -> DataFrame:
     """Add the 1-based position of every row in the given order."""
     rows, _ = _placed(df, order)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.aggregates import bucket_aggregate
 from tickloom.functions.buckets import (
@@ -16,6 +16,7 @@ from tickloom.functions.buckets import (
     step,
 )
 from tickloom.model import instant
+from tickloom.operators.ordered import place_in_groups
 
 
 def interval_aggregate(
@@ -105,14 +106,35 @@ def pairwise_mean(values: Column) -> Column:
     return F.aggregate(rest, F.element_at(ordered, 1)["value"], lambda acc, p: (acc + p["value"]) / 2)
 
 
-def combine_on_axis(values: DataFrame, slot: Column, value: str = "value") -> DataFrame:
-    """Bring interval values onto axis slots, folding several values of a slot.
+def combine_on_axis(values: DataFrame, slot: Column, value: str = "value", bounded: bool = False) -> DataFrame:
+    """Bring interval values onto axis slots, folding several values of a slot: each
+    is averaged with the result of those before it.
 
-    Input is already one row per series and bucket, so a slot only collects the
-    few buckets it covers, never raw events.
+    Averaging with a value is the map x -> x / 2 + value / 2, and n such maps one
+    after the other are x -> x / 2^n + b. The rows are sorted by range, each part
+    of a slot becomes one such map, and the maps of the parts are put together, so
+    a slot of any size is spread over tasks. The first value is what the maps start
+    from (averaged with itself it stays what it is).
+
+    `bounded=True` says a slot has few values (buckets of one series); then these
+    are gathered by slot.
     """
-    pairs = F.collect_list(F.struct(F.col("timestamp"), F.col(value).alias("value")))
-    return values.groupBy("series_idx", slot.alias("slot")).agg(pairwise_mean(pairs).alias("value"))
+    rows = values.select("series_idx", slot.alias("slot"), "timestamp", F.col(value).alias("value"))
+    if bounded:
+        pairs = F.collect_list(F.struct("timestamp", "value"))
+        return rows.groupBy("series_idx", "slot").agg(pairwise_mean(pairs).alias("value"))
+    keys = ["series_idx", "slot"]
+    placed = place_in_groups(rows, keys, ["timestamp", "value"])
+    share = F.col("value") / F.pow(F.lit(2.0), F.col("_behind") + 1)
+    maps = placed.groupBy(*keys, "_part").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(share).alias("b"), F.max(F.when(F.col("_rank") == 1, F.col("value"))).alias("first")
+    )
+    # One row per part of a slot from here on.
+    later = Window.partitionBy(*keys).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    behind = F.coalesce(F.sum("n").over(later), F.lit(0))
+    maps = maps.withColumn("behind", behind)
+    start = F.min_by("first", "_part") / F.pow(F.lit(2.0), F.sum("n"))
+    return maps.groupBy(*keys).agg((start + F.sum(F.col("b") / F.pow(F.lit(2.0), "behind"))).alias("value"))
 
 
 def fixed_step_slot(ts: Column, origin: datetime, step_days: float) -> Column:
@@ -137,7 +159,7 @@ def fill_axis(
     """
     spine = time_spine(values, interval, as_of, max_age_days, series)
     last = bucket(instant(as_of), interval)
-    placed = combine_on_axis(values, F.least(F.col("timestamp"), last))
+    placed = combine_on_axis(values, F.least(F.col("timestamp"), last), bounded=True)
     filled = spine.join(
         placed.withColumnRenamed("slot", "timestamp"), ["series_idx", "timestamp"], "left"
     )
