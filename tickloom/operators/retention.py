@@ -7,11 +7,14 @@ from dataclasses import dataclass
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.functions.buckets import days_before
 from tickloom.model import micros
 
+# Rules beyond this many are looked up.
+IN_ONE_EXPRESSION = 64
+
 
 @dataclass(frozen=True)
 class RetentionRule:
@@ -36,14 +39,26 @@ def check_rules(rules: Sequence[RetentionRule]) -> None:
             raise ValueError(f"invalid retention rule {rule}")
 
 
+def _first_hit(rules: Sequence[RetentionRule], as_of: datetime) -> Column:
+    found = F.lit(None).cast("int")
+    for i, r in reversed(list(enumerate(rules))):
+        hit = (F.col("name") == r.event_name) & (F.unix_micros("timestamp") < micros(days_before(as_of, r.max_age_days)))
+        if r.tag is not None:
+            hit = hit & (F.col("tag") == r.tag)
+        found = F.when(hit, F.lit(i)).otherwise(found)
+    return found
+
+
 def with_rule(df: DataFrame, rules: Sequence[RetentionRule], as_of: datetime, column: str = "_rule") -> DataFrame:
     """Add the index of the rule that deletes a row, NULL for rows that stay.
 
-    Rules run one after the other, so a row counts for the first that hits it.
-    They are a config list and go out as one row per event name, which the
-    events look up; the plan does not grow with their number.
+    Rules run one after the other, so a row counts for the first that hits it. A
+    few are one expression; a long list goes out as one row per event name, which
+    the events look up, so the plan does not grow with their number.
     """
     check_rules(rules)
+    if len(rules) <= IN_ONE_EXPRESSION:
+        return df.withColumn(column, _first_hit(rules, as_of))
     by_name: dict[str, list[tuple[int, str | None, int]]] = {}
     for i, r in enumerate(rules):
         by_name.setdefault(r.event_name, []).append((i, r.tag, micros(days_before(as_of, r.max_age_days))))
