@@ -14,9 +14,10 @@ can be, and over names instead of bytes:
    the triples at places 1 and 2 modulo 3 by range and name them in order,
    recurse on triples of names (places three apart) until a name and its next
    symbols span the wanted prefix, bring in the suffixes at places 0 modulo 3
-   by their first symbols and the name of the sampled suffix behind, and
-   compare the prefixes of neighbours in the order. Triples that occur once end there: no
-   other suffix shares that prefix.
+   by their first symbols and the name of the sampled suffix behind, sort them
+   all by range, and compare the prefixes of neighbours in the order, across the
+   borders of parts too. Triples that occur once end there: no other suffix
+   shares that prefix.
 
 No step depends on a group's size: names are one row per distinct triple, and
 occurrences meet them in joins that adaptive execution splits.
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tickloom.llm.common import free_shuffles, prepare, record, saved, text_buffers
@@ -179,23 +181,84 @@ def _neighbours(strings: DataFrame, length: int, span: int) -> DataFrame:
 
     Sampled suffixes are ordered by their name and the symbols behind it; a
     suffix at a place 0 modulo 3 meets those at 1 by one symbol and the name
-    behind it, and those at 2 by two. In each of the three orders neighbours
-    with an equal prefix have equal keys.
+    behind it, and those at 2 by two. That makes three orders, which are one sort
+    by range with the number of symbols in front of the name as its first column.
+    Places come last in it, so a prefix that very many suffixes share is spread
+    over parts; the rows at the borders of parts are compared across these.
     """
+    spark = strings.sparkSession
     orders = {0: COVER, 1: (0, 1), 2: (0, 2)}  # symbols in front of the name: residues that meet
+    beside = [f"e{i}" for i in range(length - span)]
     parts = []
     for front, residues in orders.items():
-        tail = length - front - span
-        head = [F.element_at("s", F.col("at") + 1 + i) for i in range(front)]
-        rest = [F.element_at("s", F.col("at") + 1 + front + span + i) for i in range(tail)]
+        before = [F.element_at("s", F.col("at") + 1 + i) for i in range(front)]
+        behind = [F.element_at("s", F.col("at") + 1 + i) for i in range(front + span, length)]
         at = F.explode(F.filter(F.sequence(F.lit(0), F.size("s") - length), lambda i: (i % 3).isin(*residues))).alias("at")
         found = strings.select("key", "pos", "from", "to", "s", "names", at).filter("at between `from` and `to`")
         name = F.try_element_at("names", F.col("at") + front)
-        parts.append(found.select("key", "pos", "at", F.lit(front).alias("front"), name.alias("name"), F.array(*head, *rest).alias("rest")))
+        symbols = [x.alias(c) for x, c in zip(before + behind, beside, strict=True)]
+        parts.append(found.select(F.lit(front).alias("front"), name.alias("name"), *symbols, "key", "pos", "at"))
     suffixes = parts[0].unionByName(parts[1]).unionByName(parts[2]).filter("name is not null")
-    prefix = ["front", "name", "rest"]
-    shared = suffixes.groupBy(*prefix).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return suffixes.join(shared, prefix).select("key", "pos", "at")
+    suffixes = saved(suffixes, "suffix-unsorted")
+    prefix = ["front", "name", *beside]
+    order = [*prefix, "key", "pos", "at"]
+    ranged = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in suffixes.schema)
+    compared = saved(ranged.mapInArrow(_compared(prefix), f"{shape}, part int, agrees boolean, edge int"), "suffix-compared")
+    # The last row of a part and the first of the next one.
+    edges = compared.filter("edge > 0")
+    numbers = sorted(r.part for r in edges.select("part").distinct().collect())
+    follow = spark.createDataFrame(list(zip(numbers, numbers[1:], strict=False)), "part int, next int")
+    place = ["key", "pos", "at"]
+    last = edges.filter(F.col("edge").bitwiseAND(LAST) > 0).join(follow, "part").select("next", *prefix, F.struct(*place).alias("one"))
+    first = edges.filter(F.col("edge").bitwiseAND(FIRST) > 0).select(F.col("part").alias("next"), *prefix, F.struct(*place).alias("other"))
+    across = last.join(first, ["next", *prefix]).select(F.inline(F.array("one", "other")))
+    return compared.filter("agrees").select(*place).unionByName(across)
+
+
+FIRST, LAST = 1, 2
+
+
+def _compared(prefix: list[str]):
+    """Rows of a sorted part that agree with a neighbour in `prefix`, and its first and
+    last row; one row is held back between batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, begun, held_agrees = TaskContext.get().partitionId(), None, False, False
+
+        def told(table: pa.Table, agrees: np.ndarray, edge: np.ndarray) -> Iterator[pa.RecordBatch]:
+            keep = np.flatnonzero(agrees | (edge > 0))
+            if len(keep):
+                rows = table.take(pa.array(keep))
+                more = {"part": pa.array(np.full(len(keep), part), pa.int32()), "agrees": pa.array(agrees[keep]), "edge": pa.array(edge[keep], pa.int32())}
+                for name, values in more.items():
+                    rows = rows.append_column(name, values)
+                yield from rows.combine_chunks().to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            n = table.num_rows
+            keys = [table.column(c).to_numpy() for c in prefix]
+            same = np.logical_and.reduce([k[1:] == k[:-1] for k in keys]) if n > 1 else np.zeros(0, bool)
+            agrees = np.zeros(n, bool)
+            agrees[:-1] |= same
+            agrees[1:] |= same
+            agrees[0] |= held_agrees
+            edge = np.zeros(n, np.int32)
+            if not begun:
+                edge[0] = FIRST
+            if n > 1:
+                yield from told(table.slice(0, n - 1), agrees[:-1], edge[:-1])
+                begun = True
+            held, held_agrees, held_edge = table.slice(n - 1).combine_chunks(), bool(agrees[-1]), int(edge[-1])
+        if held is not None:
+            yield from told(held, np.array([held_agrees]), np.array([held_edge | LAST], np.int32))
+
+    return run
 
 
 def removal_spans(docs: DataFrame, width: int = WIDTH, k: int | None = None, side: int = SIDE) -> DataFrame:
