@@ -28,10 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tickloom.llm.common import free_shuffles, prepare, record, saved, text_buffers
-from tickloom.llm.repeats import NO_ID, OPEN, SETTLED, Rolling, anchors, combined, keyed, match, merged, with_spans
+from tickloom.llm.repeats import NO_ID, OPEN, SETTLED, Rolling, anchors, combined, keyed, match, merged, mixed, with_spans
 
 WIDTH = 50
 CACHED_WORDS = 400_000
+SECOND = 0xC2B2AE3D27D4EB4F
 
 
 class WordHashes:
@@ -115,12 +116,12 @@ def _anchor_rows(width: int, k: int):
     return run
 
 
-WINDOW = "h long, doc_id long, key long, lo int"
-WINDOW_SCHEMA = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("lo", pa.int32())])
+WINDOW = "h long, g long, doc_id long, key long, lo int"
+WINDOW_SCHEMA = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("lo", pa.int32())])
 
 
 def _window_rows(width: int):
-    """Hashes of all windows within the open spans."""
+    """Hashes of all windows within the open spans: two of 64 bits, over words hashed in two ways."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,8 +132,9 @@ def _window_rows(width: int):
             for i, words in enumerate(words_of(batch)):
                 _, lo, hi = merged(np.zeros(len(los[i]), np.int64), np.array(los[i], np.int64), np.array(his[i], np.int64))
                 at = np.concatenate([np.arange(a, b - width + 1) for a, b in zip(lo, hi, strict=True)])
-                h = Rolling(HASHES(words)).hashes(at, at + width).view(np.int64)
-                yield record(WINDOW_SCHEMA, h, np.full(len(at), doc[i]), np.full(len(at), key[i]), at)
+                each = HASHES(words)
+                h, g = (Rolling(x).hashes(at, at + width).view(np.int64) for x in (each, mixed(each ^ np.uint64(SECOND))))
+                yield record(WINDOW_SCHEMA, h, g, np.full(len(at), doc[i]), np.full(len(at), key[i]), at)
 
     return run
 
@@ -148,8 +150,8 @@ def removal_spans(docs: DataFrame, width: int = WIDTH, k: int | None = None) ->
     windows = with_spans(docs, open_, "inner").select("doc_id", "text", "key", "los", "his")
     windows = saved(windows.mapInArrow(_window_rows(width), WINDOW), "windows-open")
     free_shuffles(spark)
-    counted = windows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    again = windows.join(counted, "h").filter("doc_id > first").select("key", "lo", (F.col("lo") + width).alias("hi"))
+    counted = windows.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    again = windows.join(counted, ["h", "g"]).filter("doc_id > first").select("key", "lo", (F.col("lo") + width).alias("hi"))
     settled = told.filter(F.col("state").bitwiseAND(SETTLED) != 0).select("key", "lo", "hi")
     return settled.unionByName(again)
 
