@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tickloom.llm import license_scan, permutation_index, queries, weighted_sampling
@@ -82,6 +84,40 @@ def test_agreement_is_generalised_jaccard():
         assert abs(got - expected) < 5 * (expected * (1 - expected) / 512) ** 0.5 + 0.01
 
 
+def plain_fingerprint(text, samples):
+    """The draws and the choice by their definition, one word and sample after the other."""
+    m64 = (1 << 64) - 1
+
+    def mixed(x):
+        for _ in range(2):
+            x = ((x ^ x >> 32) * 0xD6E8FEB86659FD93) & m64
+        return x ^ x >> 32
+
+    lanes = [[mixed((i * samples + j + 1) * 0x9E3779B97F4A7C15 & m64) for j in range(samples)] for i in range(3)]
+    counts = Counter(text.encode().split())
+    out = ""
+    for j in range(samples):
+        best = None
+        for word, n in counts.items():
+            h = xxhash.xxh3_64_intdigest(word)
+            u = [[((x >> 32) + 0.5) / 2**32, ((x & 0xFFFFFFFF) + 0.5) / 2**32] for x in (mixed(h ^ lane[j]) for lane in lanes)]
+            r, ln_c, b = -math.log(u[0][0] * u[0][1]), math.log(-math.log(u[1][0] * u[1][1])), u[2][0]
+            t = math.floor(math.log(n) / r + b)
+            value = float(np.float32(ln_c - r * (t - b) - r))
+            if best is None or (value, h) < best[:2]:
+                best = (value, h, t)
+        out += f"{mixed(best[1] ^ mixed(best[2] + 1)) >> 48:04x}"
+    return out
+
+
+def test_fingerprints_against_the_definition():
+    rng = random.Random(11)
+    sample = weighted_sampling.Sampler(samples=48)
+    for n in (1, 2, 30, 200):
+        text = " ".join(rng.choices([f"wörd{i}" for i in range(40)], k=n))
+        assert sample(text) == plain_fingerprint(text, 48)
+
+
 def test_fingerprints_do_not_depend_on_memory():
     texts = ["a b c a", "c b a a", "x " * 30, "", None, "new words here", "a"]
     small, large = weighted_sampling.Sampler(cached=2), weighted_sampling.Sampler()

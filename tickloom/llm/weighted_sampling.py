@@ -25,6 +25,7 @@ other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,8 @@ from tickloom.llm.common import prepare, record, texts
 from tickloom.llm.repeats import mixed
 
 SAMPLES = 64
-CACHED_WORDS = 100_000
+CACHED_WORDS = 160_000
+RANGE_BYTES = 48 << 20
 
 
 class Sampler:
@@ -44,7 +46,7 @@ class Sampler:
 
     def __init__(self, samples: int = SAMPLES, cached: int = CACHED_WORDS):
         self.samples, self.cached = samples, cached
-        self.lanes = mixed(np.arange(1, 5 * samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(5, samples)
+        self.lanes = mixed(np.arange(1, 3 * samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(3, samples)
         self.empty = "0" * (4 * samples)
         self._clear()
 
@@ -54,10 +56,13 @@ class Sampler:
         self.single = np.zeros((0, self.samples), np.float32)
 
     def draws(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """r, ln c and b of each word and sample, from the word's hash alone."""
-        u = (mixed(hashes[:, None, None] ^ self.lanes[None]) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
-        gamma = -np.log(u[:, 0] * u[:, 1])
-        return gamma, np.log(-np.log(u[:, 2] * u[:, 3])), u[:, 4]
+        """r, ln c and b of each word and sample, from the word's hash alone: two uniform
+        draws of 32 bits from each of three hashes, of which five are used."""
+        both = mixed(hashes[:, None, None] ^ self.lanes[None])
+        high = ((both >> np.uint64(32)).astype(np.float64) + 0.5) * 2.0**-32
+        low = ((both & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) * 2.0**-32
+        gamma = -np.log(high[:, :2] * low[:, :2])
+        return gamma[:, 0], np.log(gamma[:, 1]), high[:, 2]
 
     def _learn(self, words: list[bytes]) -> None:
         """Remember new words with what they draw for a weight of one."""
@@ -75,9 +80,7 @@ class Sampler:
             self.known.update(zip(part, range(at, at + len(part)), strict=True))
 
     def __call__(self, text: str) -> str:
-        counts: dict[bytes, int] = {}
-        for w in text.encode().split():
-            counts[w] = counts.get(w, 0) + 1
+        counts = Counter(text.encode().split())
         if not counts:
             return self.empty
         new = [w for w in counts if w not in self.known]
@@ -139,11 +142,15 @@ def in_descending_order(docs: DataFrame, ranges: int | None = None) -> DataFrame
     """doc_id, text, slot, guest: every slot is a range of doc_ids, largest first,
     sorted, and ends with the row that comes next in the whole order (guest).
 
-    Only range limits and one id per range are gathered, as many as partitions.
+    There are as many ranges as partitions, or more where the texts ask for it. Only
+    their limits and one id per range are gathered. A task gets one range after the
+    other, by number, so none is left without while another has several.
     """
     spark = docs.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = texts(docs).withColumn("text", F.coalesce("text", F.lit("")))
+    if ranges is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     # A null id comes after all others, so before them ascending.
     rows = rows.withColumn("rank", F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", F.xxhash64("text").alias("hash")))
     points = [i / ranges for i in range(1, ranges)]
@@ -167,7 +174,7 @@ def in_descending_order(docs: DataFrame, ranges: int | None = None) -> DataFrame
     guests = rows.join(F.broadcast(small), same).select(rows.doc_id, "text", F.col("at").alias("slot"), F.lit(True).alias("guest"))
     guests = guests.groupBy("slot", "doc_id", "guest").agg(F.max("text").alias("text")).select("doc_id", "text", "slot", "guest")
     own = rows.select("doc_id", "text", "slot", F.lit(False).alias("guest"))
-    placed = own.unionByName(guests).repartition(ranges, "slot")
+    placed = own.unionByName(guests).repartitionByRange(len(heads), "slot")
     return placed.sortWithinPartitions("slot", "guest", F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text")), F.desc("text"))
 
 
