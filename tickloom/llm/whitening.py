@@ -15,10 +15,9 @@ one vector's size, and, inside MLlib, the places of the blocks (one pair for
 `ROWS_A_BLOCK` rows).
 
 Defined cases: rows whose vector is null, empty, or holds null or non-finite
-entries, or entries of 2^56 and more, take no part, nor do
-vectors whose length is not the most common one (of equally common lengths the
-greatest). Rows with a null or repeated id are whitened like any other. A
-component without variance (a constant dimension, equal or too few vectors) has
+entries, or entries of 2^56 and more, take no part, nor do vectors whose length
+is not the most common one (of equally common lengths the greatest). Rows with a
+null or repeated id are whitened like any other. A component without variance (a constant dimension, equal or too few vectors) has
 null whitened values, and explained 0, or null if nothing varies; the identity
 is only asked of the others. A deviation beyond 64 bits is null. Other columns
 are ignored; an empty table gives an empty result.
@@ -30,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg import DenseMatrix
 from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
@@ -157,7 +157,8 @@ def whiten(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", t
     squares = F.aggregate("apart", F.lit(0).cast(exact), lambda total, v: F.try_add(total, F.try_multiply(v, v)).cast(exact)).try_cast("long")
     rows = rows.withColumn("apart", apart)
     centred = rows.select("index", F.transform("apart", lambda v: v.cast("double") / F.lit(float(n))).alias("centred"))
-    matrix = block_matrix(centred, "centred", n, width)
+    # Asked for by three products. A lost block is made again from the rows.
+    matrix = block_matrix(centred, "centred", n, width).persist(StorageLevel.MEMORY_AND_DISK)
     covariance = scatter(matrix) / n
     values, whitening, varies = components(covariance, min(top, width))
     trace = float(np.trace(covariance))
