@@ -18,6 +18,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 # Arrow batches end at the first of these two, so long texts come in few rows.
 BATCH_ROWS = 4096
 BATCH_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 EVENTS_PASS_S = 0.6
 
 
@@ -71,6 +72,17 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return whole[starts[0] : starts[-1]], starts - starts[0]
 
 
+def in_slices(batch: pa.RecordBatch, size: int = SLICE_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in stretches of about `size` bytes of text, for work whose
+    arrays are many times as large as the text."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(lengths, dtype=np.int64) // size
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts in a row, and where those of each text begin (one more
     for the end). White space is blanks, tabs and line ends (bytes 9 to 13); a text

@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tickloom.llm.common import Vocabulary, crc_residue, prepare, record, saved, split_words, values_of
+from tickloom.llm.common import Vocabulary, crc_residue, in_slices, prepare, record, saved, split_words, values_of
 
 ORDER = 5
 PER_LANGUAGE = 400
@@ -285,9 +285,7 @@ def predict(docs: DataFrame, trees: Trees, keep: tuple[str, ...] = ()) -> DataFr
         trees = shared.value
         scorer = Scorer(trees)
         limits = np.array(trees.limits or [np.inf] * len(trees.languages))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in in_slices(whole)):
             n = batch.num_rows
             names, scores, rates, fits = [UNKNOWN] * n, np.zeros(n), np.zeros(n), np.zeros(n, bool)
             if trees.languages:

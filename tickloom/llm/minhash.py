@@ -47,7 +47,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tickloom.llm.common import free_shuffles, prepare, record, saved, split_words, texts
+from tickloom.llm.common import free_shuffles, in_slices, prepare, record, saved, split_words, texts
 from tickloom.llm.components import roots
 from tickloom.llm.repeats import BASE, mixed
 
@@ -122,9 +122,7 @@ def _sketch_rows(size: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("same", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in in_slices(whole)):
             all_of, starts = shingle_sets(batch.column("text"), size)
             sets = [all_of[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
             filled = [i for i, s in enumerate(sets) if len(s)]

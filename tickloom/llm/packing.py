@@ -28,11 +28,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tickloom.llm.common import Vocabulary, prepare, split_words, texts
+from tickloom.llm.common import SLICE_BYTES, Vocabulary, in_slices, prepare, split_words, texts
 
 LONGEST = 4096
 END_ID = 2
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 
 # Letters with one lower case of one character, and marks behind them: two runs at most that no word is cut within.
 PLAIN_WORD = r"^(?P<letters>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]*)(?P<marks>[!-/:-@\[-`{-~]*)$"
@@ -167,9 +167,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, longest: int = LONGEST,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer_file)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in in_slices(whole, 2 * SLICE_BYTES)):
             ids, starts = encoder.encode(batch.column("text"), end_id)
             lengths = np.diff(starts)
             owner, start, size = pieces_of(lengths, longest)
