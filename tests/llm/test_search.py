@@ -93,6 +93,10 @@ def plain_fingerprint(text, samples):
             x = ((x ^ x >> 32) * 0xD6E8FEB86659FD93) & m64
         return x ^ x >> 32
 
+    def once(x):
+        x = ((x ^ x >> 32) * 0xD6E8FEB86659FD93) & m64
+        return x ^ x >> 32
+
     lanes = [[mixed((i * samples + j + 1) * 0x9E3779B97F4A7C15 & m64) for j in range(samples)] for i in range(3)]
     counts = Counter(text.encode().split())
     out = ""
@@ -100,10 +104,10 @@ def plain_fingerprint(text, samples):
         best = None
         for word, n in counts.items():
             h = xxhash.xxh3_64_intdigest(word)
-            u = [[((x >> 32) + 0.5) / 2**32, ((x & 0xFFFFFFFF) + 0.5) / 2**32] for x in (mixed(h ^ lane[j]) for lane in lanes)]
+            u = [[((x >> 41) + 0.5) / 2**23, ((x & 0x7FFFFF) + 0.5) / 2**23] for x in (once(h ^ lane[j]) for lane in lanes)]
             r, ln_c, b = -math.log(u[0][0] * u[0][1]), math.log(-math.log(u[1][0] * u[1][1])), u[2][0]
             t = math.floor(math.log(n) / r + b)
-            value = float(np.float32(ln_c - r * (t - b) - r))
+            value = ln_c - r * (t - b) - r
             if best is None or (value, h) < best[:2]:
                 best = (value, h, t)
         out += f"{mixed(best[1] ^ mixed(best[2] + 1)) >> 48:04x}"
@@ -119,8 +123,8 @@ def test_fingerprints_against_the_definition():
 
 
 def test_fingerprints_do_not_depend_on_memory():
-    texts = ["a b c a", "c b a a", "x " * 30, "", None, "new words here", "a"]
-    small, large = weighted_sampling.Sampler(cached=2), weighted_sampling.Sampler()
+    texts = ["a b c a", "c b a a", "x " * 30, "", None, "new words here", "a", "a a b b c c d d e e"]
+    small, large = weighted_sampling.Sampler(cached=2, repeated=2), weighted_sampling.Sampler()
     prints = [large(t or "") for t in texts]
     assert [small(t or "") for t in texts] == prints and prints[0] == prints[1] and prints[3] == prints[4] == small.empty
 

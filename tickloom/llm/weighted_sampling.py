@@ -37,16 +37,22 @@ from tickloom.llm.common import prepare, record, texts
 from tickloom.llm.repeats import mixed
 
 SAMPLES = 64
-CACHED_WORDS = 160_000
+CACHED_WORDS = 200_000
+REPEATED_WORDS = 12_000
+TOGETHER = 128  # words whose draws stay in a core's cache
 RANGE_BYTES = 48 << 20
+UNIT = np.float32(2.0**-23)
+MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Sampler:
-    """Fingerprints of texts; remembers the draws of words that occur once in a text."""
+    """Fingerprints of texts. Remembers, in bounded tables, what words draw that
+    occur once in a text, and all draws of words that have occurred more often."""
 
-    def __init__(self, samples: int = SAMPLES, cached: int = CACHED_WORDS):
-        self.samples, self.cached = samples, cached
+    def __init__(self, samples: int = SAMPLES, cached: int = CACHED_WORDS, repeated: int = REPEATED_WORDS):
+        self.samples, self.cached, self.repeated = samples, cached, repeated
         self.lanes = mixed(np.arange(1, 3 * samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(3, samples)
+        self.lane = np.arange(samples)
         self.empty = "0" * (4 * samples)
         self._clear()
 
@@ -54,30 +60,55 @@ class Sampler:
         self.known: dict[bytes, int] = {}
         self.hashes = np.zeros(0, np.uint64)
         self.single = np.zeros((0, self.samples), np.float32)
+        self.drawn_at = np.zeros(0, np.int64)
+        self._forget()
 
-    def draws(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _forget(self) -> None:
+        self.drawn_at[:] = -1
+        self.drawn, self.n_drawn = np.zeros((self.repeated, 3, self.samples), np.float32), 0
+
+    def draws(self, hashes: np.ndarray) -> np.ndarray:
         """r, ln c and b of each word and sample, from the word's hash alone: two uniform
-        draws of 32 bits from each of three hashes, of which five are used."""
-        both = mixed(hashes[:, None, None] ^ self.lanes[None])
-        high = ((both >> np.uint64(32)).astype(np.float64) + 0.5) * 2.0**-32
-        low = ((both & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) * 2.0**-32
-        gamma = -np.log(high[:, :2] * low[:, :2])
-        return gamma[:, 0], np.log(gamma[:, 1]), high[:, 2]
+        draws of 23 bits from each of three hashes, of which five are used."""
+        both = hashes[:, None, None] ^ self.lanes[None]
+        both ^= both >> np.uint64(32)
+        both *= MULTIPLIER
+        both ^= both >> np.uint64(32)
+        high = ((both >> np.uint64(41)).astype(np.float32) + np.float32(0.5)) * UNIT
+        low = ((both & np.uint64(0x7FFFFF)).astype(np.float32) + np.float32(0.5)) * UNIT
+        out = np.empty((len(hashes), 3, self.samples), np.float32)
+        out[:, :2] = -np.log(high[:, :2] * low[:, :2])
+        out[:, 1] = np.log(out[:, 1])
+        out[:, 2] = high[:, 2]
+        return out
 
     def _learn(self, words: list[bytes]) -> None:
         """Remember new words with what they draw for a weight of one."""
-        for a in range(0, len(words), 4096):
-            part = words[a : a + 4096]
+        for a in range(0, len(words), TOGETHER):
+            part = words[a : a + TOGETHER]
             hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in part], np.uint64)
-            r, ln_c, b = self.draws(hashes)
-            if len(self.single) < len(self.known) + len(part):
+            drawn = self.draws(hashes)
+            at, last = len(self.known), len(self.known) + len(part)
+            if len(self.single) < last:
                 room = max(4096, len(self.single))
                 self.single = np.concatenate([self.single, np.zeros((room, self.samples), np.float32)])
                 self.hashes = np.concatenate([self.hashes, np.zeros(room, np.uint64)])
-            at = len(self.known)
-            self.single[at : at + len(part)] = ln_c + r * b - r  # t is 0
-            self.hashes[at : at + len(part)] = hashes
-            self.known.update(zip(part, range(at, at + len(part)), strict=True))
+                self.drawn_at = np.concatenate([self.drawn_at, np.full(room, -1)])
+            self.single[at:last] = value_of(drawn, np.float32(0))
+            self.hashes[at:last] = hashes
+            self.known.update(zip(part, range(at, last), strict=True))
+
+    def _draws_of(self, places: np.ndarray) -> np.ndarray:
+        """All draws of known words, at most `repeated` of them at a time."""
+        new = places[self.drawn_at[places] < 0]
+        if self.n_drawn + len(new) > self.repeated:
+            self._forget()
+            new = places
+        if len(new):
+            first, self.n_drawn = self.n_drawn, self.n_drawn + len(new)
+            self.drawn_at[new] = np.arange(first, self.n_drawn)
+            self.drawn[first : self.n_drawn] = self.draws(self.hashes[new])
+        return self.drawn[self.drawn_at[places]]
 
     def __call__(self, text: str) -> str:
         counts = Counter(text.encode().split())
@@ -91,24 +122,32 @@ class Sampler:
             self._learn(new)
         places = np.fromiter(map(self.known.__getitem__, counts), np.int64, len(counts))
         weight = np.fromiter(counts.values(), np.int64, len(counts))
-        hashes = self.hashes[places]
-        step = np.zeros((len(places), self.samples), np.int64)
+        # Equal values go to the smaller hash, whatever order words came in.
+        order = np.argsort(self.hashes[places])
+        places, weight = places[order], weight[order]
         value = self.single[places]
         many = np.flatnonzero(weight > 1)
-        for a in range(0, len(many), 4096):
-            part = many[a : a + 4096]
-            r, ln_c, b = self.draws(hashes[part])
-            t = np.floor(np.log(weight[part])[:, None] / r + b)
-            value[part] = ln_c - r * (t - b) - r
-            step[part] = t
-        # Equal values go to the smaller hash, whatever order words came in.
-        order = np.argsort(hashes)
-        best = order[value[order].argmin(axis=0)]
-        lane = np.arange(self.samples)
-        sampled = mixed(hashes[best] ^ mixed(step[best, lane].astype(np.uint64) + np.uint64(1)))
+        steps = np.zeros((len(many), self.samples), np.float32)
+        for a in range(0, len(many), self.repeated):
+            part = many[a : a + self.repeated]
+            drawn = self._draws_of(places[part])
+            t = np.floor(np.log(weight[part].astype(np.float32))[:, None] / drawn[:, 0] + drawn[:, 2])
+            value[part], steps[a : a + len(part)] = value_of(drawn, t), t
+        best = value.argmin(axis=0)
+        step = np.zeros(self.samples, np.uint64)
+        if len(many):
+            row = np.minimum(np.searchsorted(many, best), len(many) - 1)
+            step = np.where(many[row] == best, steps[row, self.lane], 0).astype(np.uint64)
+        sampled = mixed(self.hashes[places[best]] ^ mixed(step + np.uint64(1)))
         return (sampled >> np.uint64(48)).astype(">u2").tobytes().hex()
 
 
+def value_of(drawn: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """ln c - ln y - r, where ln y = r (t - b)."""
+    r, ln_c, b = drawn[:, 0], drawn[:, 1], drawn[:, 2]
+    return ln_c - r * (t - b) - r
+
+
 def likeness(a: str, b: str) -> float:
     """Share of equal samples."""
     x, y = (np.frombuffer(bytes.fromhex(v), ">u2") for v in (a, b))
