@@ -53,10 +53,28 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
 
 
 def choose_pivots(rows: DataFrame, pivots: int = PIVOTS) -> dict[int, np.ndarray]:
-    """For each vector length, the distinct vectors with the smallest hashes."""
-    first = Window.partitionBy("dim").orderBy("hash", "v")
-    sampled = rows.groupBy("dim", F.xxhash64("v").alias("hash")).agg(F.min("v").alias("v"))
-    found = sampled.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= pivots).collect()
+    """For each vector length, the distinct vectors with the smallest hashes.
+
+    A limit on the hash, four times as high as needed if no vector repeats, keeps
+    all but few vectors out of the shuffle; where too few are left, as one vector
+    makes up most rows, all are looked at.
+    """
+    hashed = rows.withColumn("hash", F.xxhash64("v"))
+    counts = {r.dim: r.n for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    limits = {d: int(-(1 << 63) + (1 << 64) * (4 * pivots / n)) for d, n in counts.items() if n > 8 * pivots}
+
+    def smallest(of: DataFrame) -> list:
+        first = Window.partitionBy("dim").orderBy("hash", "v")
+        sampled = of.groupBy("dim", "hash").agg(F.min("v").alias("v"))
+        return sampled.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= pivots).collect()
+
+    below = F.lit(True)
+    for dim, limit in limits.items():
+        below = below & ((F.col("dim") != dim) | (F.col("hash") < limit))
+    found = smallest(hashed.filter(below))
+    few = [d for d in limits if sum(r.dim == d for r in found) < pivots]
+    if few:
+        found = [r for r in found if r.dim not in few] + smallest(hashed.filter(F.col("dim").isin(few)))
     out: dict[int, list] = {}
     for r in sorted(found, key=lambda r: (r.dim, r["rank"])):
         out.setdefault(r.dim, []).append(r.v)
