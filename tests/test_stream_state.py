@@ -63,6 +63,10 @@ def test_windows_are_emitted_once_and_late_events_land(spark, dirs):
     late = windows.read_late(spark, target).collect()
     assert [(r.event_id, r.value, r.late_by_ms) for r in late] == [(6, 100.0, 30 * 60 * 1000)]
     assert landed_sums(spark, target, with_late=True)[0] == ("01T10", "t", 113.0, 4)
+    before = landed_sums(spark, target, with_late=True)
+    windows.compact_windows(spark, target, keep=1)
+    assert landed_sums(spark, target, with_late=True) == before
+    assert len(landing.folders(spark, f"{target}/windows")[1]) == 1 and len(landing.folders(spark, f"{target}/marks")[1]) == 2
     run([event(9, "2024-01-03T00:00")])
     emitted = landed_sums(spark, target)
     assert len(emitted) == 5 and ("01T12", None, 1.0, 1) in emitted

@@ -25,8 +25,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.functions.buckets import CALENDAR_INTERVALS, bucket, check_interval
 from tickloom.session import stored
-from tickloom.streaming.landing import BATCH, land, landed, triggered
-from tickloom.streaming.live import PARTIAL_DDL, interval_values
+from tickloom.streaming.landing import BATCH, compact, folders, hadoop_folder, land, landed, triggered
+from tickloom.streaming.live import PARTIAL_DDL, compact_intervals, interval_values
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -135,3 +135,12 @@ def read_windows(
     if with_late:
         parts = parts.unionByName(_late_partials(read_late(spark, target), interval))
     return interval_values(parts, interval, function, by_tag)
+
+
+def compact_windows(spark: SparkSession, target: str, keep: int = 2) -> None:
+    """Merge what done batches have landed, and drop the marks no batch asks for any more."""
+    compact_intervals(spark, f"{target}/windows", keep)
+    compact(spark, f"{target}/late", LATE_DDL, lambda rows: rows, keep)
+    for number in folders(spark, f"{target}/marks")[1][: -keep - 1]:
+        place, fs = hadoop_folder(spark, f"{target}/marks/{BATCH}{number}")
+        fs.delete(place, True)
