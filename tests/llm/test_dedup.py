@@ -238,7 +238,7 @@ def test_families_send_rows_in_proportion(spark, documents, monkeypatch):
 
 def test_small_blocks_give_the_same(documents, monkeypatch):
     """Bands cut into many blocks, with components that fill blocks of their own."""
-    rows = family(80, 200, 3, 2) + [(1000 + i, t.replace("w1", "v1")) for i, t in family(40, 200, 3, 2)] + made_up()
+    rows = [(2000 + i, t) for i, t in family(80, 200, 3, 2)] + [(1000 + i, t.replace("w1", "v1")) for i, t in family(40, 200, 3, 2)] + made_up()
     whole = ordered(map(tuple, minhash.near_duplicates(documents(rows)).collect()))
     assert whole == ordered(brute_near(rows, 4, 80))
     monkeypatch.setattr(minhash, "BLOCK", 8)
