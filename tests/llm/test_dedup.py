@@ -236,6 +236,27 @@ def test_families_send_rows_in_proportion(spark, documents, monkeypatch):
     assert sent[600] < 6 * sent[150] and sent[600] < 600 * minhash.BANDS
 
 
+def test_open_members_get_sketches_once(spark, documents, monkeypatch):
+    """The sketches are read for one join, however blocks are made."""
+    read, real = spark.sparkContext.accumulator(0), minhash._open_members
+    classes = []
+
+    def counted(banded, sketch, reached):
+        def count(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        classes.append(sketch.count())
+        return real(banded, sketch.mapInArrow(count, sketch.schema), reached)
+
+    monkeypatch.setattr(minhash, "_open_members", counted)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rows = family(80, 200, 3, 2)
+    assert ordered(map(tuple, minhash.near_duplicates(documents(rows)).collect())) == ordered(brute_near(rows, 4, 80))
+    assert classes[0] > 0 and read.value == classes[0]
+
+
 def test_small_blocks_give_the_same(documents, monkeypatch):
     """Bands cut into many blocks, with components that fill blocks of their own."""
     rows = [(2000 + i, t) for i, t in family(80, 200, 3, 2)] + [(1000 + i, t.replace("w1", "v1")) for i, t in family(40, 200, 3, 2)] + made_up()

@@ -309,10 +309,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     classes = known.groupBy("same").agg(F.min("doc_id").alias("node"), *first)
     classes = saved(classes, "minhash-classes")
     members = known.select("doc_id", "same").distinct().join(classes.select("same", "node"), "same")
-    nodes = classes.select("node", "sketch", F.posexplode("sketch").alias("band", "value"))
+    # What a member takes of a task's memory: its sketch, and its shingles when texts are compared.
+    weight = (1 + F.floor(F.col("n_shingles") / SHINGLES_A_UNIT)).alias("weight")
+    nodes = classes.select("node", weight, F.posexplode("sketch").alias("band", "value"))
     shared = nodes.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
-    banded = nodes.select("band", "value", "node").join(shared, ["band", "value"])
-    banded = saved(banded.select("band", "value", "node", "n", "least"), "minhash-bands")
+    banded = nodes.join(shared, ["band", "value"])
+    banded = saved(banded.select("band", "value", "node", "weight", "least"), "minhash-bands")
     free_shuffles(spark)
     # Texts of those with a partner, one per node.
     wanted = banded.select("node").distinct()
@@ -320,7 +322,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     bodies = saved(first, "minhash-texts")
     free_shuffles(spark)
     bound = least_agreement(percent)
-    sketch = classes.select("node", "sketch", "n_shingles")
+    sketch = classes.select("node", "sketch")
 
     # Of the documents that are smallest in a band of its own, the one with most of these bands.
     votes = banded.filter("node <> least").groupBy("node", "least").agg(F.count("*").alias("bands"))
@@ -351,20 +353,21 @@ def _equal_bytes(x, y):
 
 def _open_members(banded: DataFrame, sketch: DataFrame, reached: DataFrame) -> DataFrame:
     """Members of the bands that still have several components, with their sketches,
-    dealt to pairs of blocks of which each meets its own members and those of the other."""
-    rooted = banded.join(reached, "node", "left").select("band", "value", "node", F.coalesce("root", "node").alias("root"))
+    dealt to pairs of blocks of which each meets its own members and those of the other.
+
+    Blocks are made of numbers alone; every member of one gets its sketch once, at the end.
+    """
+    rooted = banded.join(reached, "node", "left").select("band", "value", "node", "weight", F.coalesce("root", "node").alias("root"))
     rooted = saved(rooted, "minhash-rooted")
-    several = rooted.groupBy("band", "value").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band", "value")
-    # What a member takes of a task's memory: its sketch, and its shingles when texts are compared.
-    weight = 1 + F.floor(F.col("n_shingles") / SHINGLES_A_UNIT)
-    rows = rooted.join(several, ["band", "value"]).join(sketch.withColumn("weight", weight).drop("n_shingles"), "node")
     keys = ["band", "value"]
-    sums = rows.groupBy(*keys, "root").agg(F.sum("weight").alias("own"))
+    several = rooted.groupBy(*keys).agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select(*keys)
+    members = saved(rooted.join(several, keys), "minhash-open")
+    sums = members.groupBy(*keys, "root").agg(F.sum("weight").alias("own"))
     sums = saved(sums, "minhash-weights")
     pooled = F.sum(F.when(F.col("own") <= BLOCK, F.col("own")))
     large = sums.groupBy(*keys).agg(F.sum("own").alias("total"), pooled.alias("pooled")).filter(F.col("total") > BLOCK)
     large = large.select(*keys, F.ceil(F.coalesce("pooled", F.lit(0)) / BLOCK).alias("pools"))
-    members = rows.drop("weight")
+    members = members.drop("weight")
     small = members.join(large, keys, "left_anti").withColumns({c: F.lit(0).cast("long") for c in ("first", "second", "block")})
     # A component that fills a block is dealt to blocks of its own by node, the others by root to blocks they share.
     dealt = members.join(large, keys).join(sums, [*keys, "root"])
@@ -372,7 +375,7 @@ def _open_members(banded: DataFrame, sketch: DataFrame, reached: DataFrame) -> D
     of_root = F.xxhash64("root", F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / BLOCK)))
     of_pool = F.pmod(F.xxhash64("root"), F.greatest("pools", F.lit(1)))
     dealt = dealt.withColumn("block", F.when(alone, of_root).otherwise(of_pool)).withColumn("alone", F.when(alone, F.col("root")))
-    dealt = saved(dealt.select(*keys, "node", "root", "sketch", "block", "alone"), "minhash-blocks")
+    dealt = saved(dealt.select(*keys, "node", "root", "block", "alone"), "minhash-blocks")
     blocks = dealt.select(*keys, "block", "alone").distinct()
     other = blocks.select(*keys, F.col("block").alias("second"), F.col("alone").alias("other"))
     met = blocks.withColumnRenamed("block", "first").join(other, keys)
@@ -380,5 +383,6 @@ def _open_members(banded: DataFrame, sketch: DataFrame, reached: DataFrame) -> D
     met = saved(met.select(*keys, "first", "second"), "minhash-met")
     own = dealt.drop("alone").withColumn("first", F.col("block")).join(met, [*keys, "first"])
     across = dealt.drop("alone").withColumn("second", F.col("block")).join(met.filter("first <> second"), [*keys, "second"])
-    columns = [F.col(c).cast("long").alias(c) for c in MEMBER.names] + [F.col("sketch")]
-    return small.select(*columns).unionByName(own.select(*columns)).unionByName(across.select(*columns))
+    columns = [F.col(c).cast("long").alias(c) for c in MEMBER.names]
+    placed = small.select(*columns).unionByName(own.select(*columns)).unionByName(across.select(*columns))
+    return placed.join(sketch, "node").select(*MEMBER.names, "sketch")
