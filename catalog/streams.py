@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import timedelta
+from itertools import groupby
+from operator import itemgetter
 
 from pyspark.sql import functions as F
 
@@ -30,7 +33,7 @@ from catalog.ingest import (
     push_requests,
 )
 from tickloom.operators.retention import RetentionRule
-from tickloom.session import fresh_dir
+from tickloom.session import fresh_dir, ship_package
 from tickloom.sources import event_store, tail
 from tickloom.sources.collectors import Collector, run_collectors
 from tickloom.streaming import counters, ingest, live, windows
@@ -200,17 +203,33 @@ def stream_counter_rate_state(spark, sf):
 
 
 def publish(spark, lines, folder, suffix=".log"):
-    """The lines as one text file for each `file`, which take the place of files of that name."""
-    aside = fresh_dir(spark, "files")
-    rows = lines.repartition("file").sortWithinPartitions("file", "pos").select("file", "line")
-    rows.write.partitionBy("file").text(aside)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    system = path(aside).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    system.mkdirs(path(folder))
-    for part in system.globStatus(path(f"{aside}/file=*/part-*")):
-        place = path(f"{folder}/{part.getPath().getParent().getName().removeprefix('file=')}{suffix}")
-        system.delete(place, False)
-        system.rename(part.getPath(), place)
+    """The lines as one text file for each `file`, which take the place of files of that name.
+
+    Tasks write the files, as the stream reads them; one gets its name when it is whole.
+    """
+    ship_package(spark)
+
+    def write(batches):
+        system, place = tail.opened(folder)
+        system.create_dir(place)
+        last = out = aside = None
+        for batch in batches:
+            names, rows = (batch.column(c).to_pylist() for c in ("file", "line"))
+            for name, group in groupby(zip(names, rows, strict=True), key=itemgetter(0)):
+                if out is None or name != last:
+                    if out is not None:
+                        out.close()
+                        system.move(aside, f"{place}/{last}{suffix}")
+                    last, aside = name, f"{place}/.{uuid.uuid4().hex}"
+                    out = system.open_output_stream(aside)
+                out.write("".join(f"{line or ''}\n" for _, line in group).encode())
+            yield batch.select(["file"]).slice(0, 0)
+        if out is not None:
+            out.close()
+            system.move(aside, f"{place}/{last}{suffix}")
+
+    rows = lines.repartition("file").sortWithinPartitions("file", "pos").select(F.col("file").cast("string"), "line")
+    rows.mapInArrow(write, "file string").count()
 
 
 def _moved(spark, folder, old, new):

@@ -234,3 +234,29 @@ def test_skip_until_on_whole_files(spark, tmp_path):
     stream = ingest.text_stream(spark, str(folder), files_per_batch=1)
     ingest.tail_logs(stream, CONFIG | {"skip_until": "begin"}, store, str(tmp_path / "cp"), NOW).awaitTermination()
     assert sorted(messages(spark, store).elements()) == ["after 5", "after 6", "begin 3", "begin 3"]
+
+
+def test_small_files_are_read_together(tmp_path, monkeypatch):
+    """Tasks grow with the bytes, and not with the files; every line comes once, with its file and place."""
+    monkeypatch.setattr(tail, "OPEN_BYTES", 100)
+    want = []
+    for n in range(60):
+        lines = [f"{n} {i} " + "x" * (3000 if (n, i) == (7, 2) else 20) for i in range(5)]
+        (tmp_path / f"{n:02}.log").write_text("".join(f"{line}\n" for line in lines))
+        at = 0
+        for line in lines:
+            want.append((str(tmp_path / f"{n:02}.log"), at, line))
+            at += len(line) + 1
+    collector = tail.LogTail({"path": str(tmp_path), "piece_bytes": "2000"})
+    parts = collector.partitions({}, collector.latest())
+    got = [(r["file"], r["pos"], r["line"]) for p in parts for b in collector.read(p) for r in b.to_pylist()]
+    assert got == want
+    assert len(parts) <= 12
+
+
+@pytest.mark.parametrize("size", [10, 5000, 3_000_000])
+def test_last_line_end_is_found_from_behind(tmp_path, size):
+    (tmp_path / "a.log").write_text("one\n" + "y" * size)
+    (tmp_path / "b.log").write_text("y" * size)
+    (tmp_path / "c.log").write_text("y" * size + "\n")
+    assert [v[0] for _, v in sorted(tail.reach(str(tmp_path)).items())] == [4, 0, size + 1]

@@ -14,14 +14,16 @@ was added behind:
 
 An unfinished last line waits until it is finished, or is taken with
 `whole_lines=false`. Large ranges are cut into pieces of `PIECE_BYTES`, and a
-line belongs to the piece it begins in. Two files with equal first
-`HEAD_BYTES` are told apart by their names only.
+line belongs to the piece it begins in. Small ranges are read together by one
+task, up to that size, where opening a file counts as `OPEN_BYTES`. Two files
+with equal first `HEAD_BYTES` are told apart by their names only.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from fnmatch import fnmatch
 from typing import Any
@@ -38,7 +40,10 @@ from tickloom.streaming.landing import BATCH, compact, folders, land, landed, ne
 FORMAT = "tickloom_log_tail"
 HEAD_BYTES = 256
 PIECE_BYTES = 32 << 20
+OPEN_BYTES = 1 << 20
 BLOCK = 1 << 20
+END_BYTES = 4 << 10
+READERS = 16
 BATCH_LINES = 20_000
 OFFSETS_DDL = "file string, bytes long, head string"
 STARTED_DDL = "file string, started boolean"
@@ -48,13 +53,13 @@ MERGED_AFTER = 50
 Offsets = dict[str, list]
 
 
-def _opened(path: str) -> tuple[files.FileSystem, str]:
+def opened(path: str) -> tuple[files.FileSystem, str]:
     return files.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (files.LocalFileSystem(), path)
 
 
 def _listing(path: str) -> tuple[files.FileSystem, list[files.FileInfo]]:
     """A file, the files of a folder, or those whose name fits a pattern; hidden ones are left out."""
-    system, place = _opened(path)
+    system, place = opened(path)
     folder, _, name = place.rstrip("/").rpartition("/")
     if any(c in name for c in "*?["):
         found = [x for x in system.get_file_info(files.FileSelector(folder, allow_not_found=True)) if fnmatch(x.base_name, name)]
@@ -65,29 +70,31 @@ def _listing(path: str) -> tuple[files.FileSystem, list[files.FileInfo]]:
 
 
 def _last_line_end(source: pa.NativeFile, size: int) -> int:
-    """Bytes up to the last line end."""
-    at = size
+    """Bytes up to the last line end. A line is looked for in little, then in more."""
+    at, step = size, END_BYTES
     while at > 0:
-        begin = max(0, at - BLOCK)
+        begin = max(0, at - step)
         source.seek(begin)
         found = source.read(at - begin).rfind(b"\n")
         if found >= 0:
             return begin + found + 1
-        at = begin
+        at, step = begin, min(2 * step, BLOCK)
     return 0
 
 
 def reach(path: str, whole_lines: bool = True) -> Offsets:
     """How far the files reach now."""
     system, found = _listing(path)
-    out = {}
-    for info in found:
+
+    def one(info: files.FileInfo) -> list:
         with system.open_input_file(info.path) as source:
             size = source.size()
             end = _last_line_end(source, size) if whole_lines else size
             source.seek(0)
-            out[info.path] = [end, source.read(min(end, HEAD_BYTES)).hex()]
-    return out
+            return [end, source.read(min(end, HEAD_BYTES)).hex()]
+
+    with ThreadPoolExecutor(READERS) as pool:
+        return dict(zip([info.path for info in found], pool.map(one, found), strict=True))
 
 
 def added(start: Offsets, end: Offsets) -> dict[str, tuple[int, int, str | None]]:
@@ -135,14 +142,25 @@ class LogTail(PartitionedCollector):
 
     def partitions(self, start: Offsets, end: Offsets) -> list[dict[str, Any]]:
         step = int(self._option("piece_bytes", str(PIECE_BYTES)))
-        return [
-            {"file": file, "was": was, "first": a, "from": at, "to": min(at + step, b), "end": b}
-            for file, (a, b, was) in sorted(added(start, end).items())
-            for at in range(a, b, step)
-        ]
+        out: list[dict[str, Any]] = []
+        room = 0
+        for file, (a, b, was) in sorted(added(start, end).items()):
+            for at in range(a, b, step):
+                piece = {"file": file, "was": was, "first": a, "from": at, "to": min(at + step, b), "end": b}
+                cost = OPEN_BYTES + piece["to"] - at
+                if not out or cost > room:
+                    out.append({"pieces": []})
+                    room = step
+                out[-1]["pieces"].append(piece)
+                room -= cost
+        return out
 
     def read(self, part: Mapping[str, Any]) -> Iterator[pa.RecordBatch]:
-        system, _ = _opened(self._option("path"))
+        system, _ = opened(self._option("path"))
+        for piece in part["pieces"]:
+            yield from self._piece(system, piece)
+
+    def _piece(self, system: files.FileSystem, part: Mapping[str, Any]) -> Iterator[pa.RecordBatch]:
         places, lines = [], []
         for at, line in _lines(system, part):
             places.append(at)
